@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codestrata.llm import coupling
+from codestrata.llm import coupling, encoding, leakage, packing
 from codestrata.tables import read
 
 _PAIRS = r"""
@@ -21,9 +21,18 @@ def _coupling(spark, d):
     return coupling.change_coupling(read(spark, d, "commit_files"), read(spark, d, "commits"))
 
 
+def _windows(spark, d):
+    return packing.pack_documents(read(spark, d, "documents"), read(spark, d, "context_windows"))
+
+
 QUERIES = {
     "p1_found": lambda s, d: _coupling(s, d).select("project", "file_a", "file_b"),
     "p1_coupling": _coupling,
+    "p6_windows": _windows,
+    "p6_report": lambda s, d: packing.fill_report(_windows(s, d)),
+    "p7_found": lambda s, d: leakage.leaks(read(s, d, "documents"), read(s, d, "eval_items")),
+    "p8_found": lambda s, d: encoding.garbled(read(s, d, "documents")).select("doc_id").distinct(),
+    "p8_repaired": lambda s, d: encoding.garbled(read(s, d, "documents")),
 }
 
 SQL = {
