@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codestrata.llm import coupling, encoding, leakage, packing
+from codestrata.llm import coupling, encoding, handwritten, leakage, packing
 from codestrata.tables import read
 
 _PAIRS = r"""
@@ -28,6 +28,7 @@ def _windows(spark, d):
 QUERIES = {
     "p1_found": lambda s, d: _coupling(s, d).select("project", "file_a", "file_b"),
     "p1_coupling": _coupling,
+    "p3_found": lambda s, d: handwritten.not_handwritten(read(s, d, "files"), read(s, d, "source_texts")).select("file_id"),
     "p6_windows": _windows,
     "p6_report": lambda s, d: packing.fill_report(_windows(s, d)),
     "p7_found": lambda s, d: leakage.leaks(read(s, d, "documents"), read(s, d, "eval_items")),
