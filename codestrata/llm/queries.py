@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codestrata.llm import coupling, encoding, handwritten, leakage, packing
+from codestrata.llm import coupling, docpairs, encoding, handwritten, leakage, packing
 from codestrata.tables import read
 
 _PAIRS = r"""
@@ -21,6 +21,10 @@ def _coupling(spark, d):
     return coupling.change_coupling(read(spark, d, "commit_files"), read(spark, d, "commits"))
 
 
+def _pairs(spark, d):
+    return docpairs.documented_pairs(read(spark, d, "symbols"), read(spark, d, "source_texts"))
+
+
 def _windows(spark, d):
     return packing.pack_documents(read(spark, d, "documents"), read(spark, d, "context_windows"))
 
@@ -29,6 +33,9 @@ QUERIES = {
     "p1_found": lambda s, d: _coupling(s, d).select("project", "file_a", "file_b"),
     "p1_coupling": _coupling,
     "p3_found": lambda s, d: handwritten.not_handwritten(read(s, d, "files"), read(s, d, "source_texts")).select("file_id"),
+    "p4_found": lambda s, d: _pairs(s, d).select("sid"),
+    "p4_pairs": lambda s, d: _pairs(s, d).where("code IS NOT NULL"),
+    "p4_functions": lambda s, d: docpairs.file_functions(read(s, d, "files"), read(s, d, "source_texts")),
     "p6_windows": _windows,
     "p6_report": lambda s, d: packing.fill_report(_windows(s, d)),
     "p7_found": lambda s, d: leakage.leaks(read(s, d, "documents"), read(s, d, "eval_items")),
