@@ -1,0 +1,43 @@
+"""How well a project is set up for automated work, scored from the files it has.
+
+Evidence is a table of (dimension, pattern, points); each dimension is capped and the weighted sum gives a level. Only paths are needed.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from codestrata.operators.files import known_files
+
+# Evidence as (dimension, path pattern, points for having any), caps and weights.
+EVIDENCE = (
+    ("instructions", r"(?i)^(readme|contributing|agents)\.md$", 6.0), ("instructions", r"(?i)(^|/)changelog\.md$", 2.0), ("instructions", r"(?i)(^|/)(rules|guidelines)/", 2.0),
+    ("config", r"(^|/)\.?(settings|config)\.(json|ya?ml|toml)$", 5.0), ("config", r"(^|/)config/", 3.0),
+    ("loops", r"(^|/)tests?/|_test\.[a-z]+$|(^|/)test_[^/]*$", 5.0), ("loops", r"(^|/)\.(github|gitlab|circleci)(/|-)", 4.0), ("loops", r"(?i)(^|/)(makefile|tox\.ini|pyproject\.toml|package\.json)$", 1.0),
+    ("memory", r"(?i)(^|/)(changelog|lessons|history|decisions?)[^/]*\.md$", 5.0), ("memory", r"(?i)(^|/)(adr|decisions|docs)/", 3.0),
+    ("delegation", r"(?i)(^|/)(agents|workflows|dispatch)/", 5.0), ("safety", r"(?i)(^|/)(security|\.gitignore|codeowners)(\.md)?$", 4.0))
+WEIGHTS = {"instructions": 0.2, "config": 0.15, "loops": 0.25, "memory": 0.15, "delegation": 0.1, "safety": 0.15}
+CAP = 10.0
+LEVELS = ((8.0, "optimised"), (6.0, "managed"), (4.0, "defined"), (2.0, "basic"), (0.0, "none"))
+
+
+def evidence(files: DataFrame) -> DataFrame:
+    """(project, dimension, pattern, points, example) for each kind of evidence a project has."""
+    found = F.explode(F.array(*(F.struct(F.lit(d).alias("dimension"), F.lit(p).alias("pattern"), F.lit(x).alias("points"), F.col("path").rlike(p).alias("hit")) for d, p, x in EVIDENCE)))
+    return (known_files(files).select("project", "path", found.alias("e")).where("e.hit").groupBy("project", "e.dimension", "e.pattern", "e.points").agg(F.min("path").alias("example")))
+
+
+def maturity(files: DataFrame) -> DataFrame:
+    """Capped points by dimension, the weighted score and its level for each project."""
+    e = evidence(files)
+    dims = [F.least(F.lit(CAP), F.coalesce(F.sum(F.when(F.col("dimension") == d, F.col("points"))), F.lit(0.0))).alias(d) for d in WEIGHTS]
+    rows = known_files(files).select("project").distinct().join(e.groupBy("project").agg(*dims), "project", "left").na.fill(0.0)
+    rows = rows.withColumn("score", F.round(sum((F.col(d) * w for d, w in WEIGHTS.items()), F.lit(0.0)), 4))
+    level = F.lit(LEVELS[-1][1])
+    for least, name in reversed(LEVELS):
+        level = F.when(F.col("score") >= least, name).otherwise(level)
+    return rows.withColumn("level", level)
+
+
+def evidence_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(EVIDENCE), "dimension string, pattern string, points double")
