@@ -38,7 +38,7 @@ Scanner = Callable[[str, str], Parsed]
 LANGUAGES: dict[str, dict] = {
     "c": {"ext": ".c .cpp .cc .cxx .h .hpp .hh .hxx .m .mm .asl .vfr", "line": "//", "import": r"^\s*#\s*(?:include|import)\s*[<\"]([^>\"]+)", "type": r"\b(?:class|struct|union|enum)\s+(\w+)\s*(?::\s*([^{;]+))?(?=\s*\{)", "func": r"^[A-Za-z_][\w\s*&:<>,~]*?\b([A-Za-z_]\w*)\s*\([^;{}]*\)\s*(?:const\s*)?\{"},
     "java": {"ext": ".java .cs .kt .kts .scala .groovy .dart .swift", "line": "//", "import": r"^\s*(?:import|using)\s+(?:static\s+)?([\w.*]+)", "type": r"\b(?:class|interface|enum|struct|record|object|trait|protocol)\s+(\w+)(?:<[^>]*>)?\s*(?:(?:extends|implements|:)\s*([^{]+))?(?=\s*\{)", "func": r"(?:\b(?:fun|func|def)\s+([A-Za-z_]\w*)\s*[(<\[]|^[ \t]*(?:[\w<>\[\],.?]+\s+)+([A-Za-z_]\w*)\s*\([^;{}()]*\)\s*(?:throws [\w., ]+)?\{)"},
-    "js": {"ext": ".js .mjs .cjs .jsx .ts .tsx", "line": "//", "import": r"(?:\bfrom\s+|\brequire\(\s*|\bimport\(\s*|^\s*import\s+)['\"]([^'\"]+)['\"]", "type": r"\b(?:class|interface|enum)\s+(\w+)\s*(?:(?:extends|implements)\s+([^{]+))?(?=\s*\{)", "func": r"(?:\bfunction\s*\*?\s*([A-Za-z_$][\w$]*)\s*[(<]|\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?(?:function\b|\([^()]*\)\s*=>|\w+\s*=>)|^[ \t]+(?:async\s+|static\s+|get\s+|set\s+)*([A-Za-z_$][\w$]*)\s*\([^;{}()]*\)\s*(?::\s*[\w<>\[\]|. ]+)?\{)"},
+    "js": {"ext": ".js .mjs .cjs .jsx .ts .tsx", "line": "//", "import": r"(?:\bfrom\s+|\brequire\(\s*|\bimport\(\s*|^\s*import\s+)['\"]([^'\"]+)['\"]", "type": r"\b(?:class|interface|enum)\s+(\w+)\s*(?:(?:extends|implements)\s+([^{]+))?(?=\s*\{)", "func": r"(?:\bfunction\s*\*?\s*([A-Za-z_$][\w$]*)\s*[(<]|\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?(?:function\b|\([^()]*\)\s*=>|\w+\s*=>)|(?:^[ \t]+|[{};][ \t]*)(?:async\s+|static\s+|get\s+|set\s+)*([A-Za-z_$][\w$]*)\s*\([^;{}()]*\)\s*(?::\s*[\w<>\[\]|. ]+)?\{)"},
     "go": {"ext": ".go", "line": "//", "import": r"^\s*(?:import\s+)?(?:[\w.]+\s+)?\"([\w./-]+)\"\s*$", "type": r"\btype\s+(\w+)\s+(?:struct|interface)()", "func": r"^func\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)\s*[(\[]"},
     "rust": {"ext": ".rs .zig .d .nim .v", "line": "//", "import": r"^\s*(?:pub\s+)?(?:use|import|extern crate)\s+([\w:.]+)", "type": r"\b(?:struct|enum|trait|union|class|interface)\s+(\w+)()", "func": r"\b(?:fn|proc|func)\s+([A-Za-z_]\w*)\s*[(<*]"},
     "ruby": {"ext": ".rb .cr .ex .exs .jl .lua", "line": "#", "import": r"^\s*(?:require|require_relative|import|alias|use|include)\s*\(?['\"]?([\w./:]+)", "type": r"^\s*(?:class|module|defmodule|defprotocol|struct)\s+([\w.:]+)\s*(?:<\s*([\w:.]+))?", "func": r"^\s*(?:def|defp|function|local function)\s+(?:self\.)?([A-Za-z_]\w*[?!]?)"},

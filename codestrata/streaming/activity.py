@@ -47,10 +47,12 @@ def live_viewers(events: DataFrame, ttl_seconds: int = 90) -> DataFrame:
 
 def run_to_end(spark: SparkSession, schema, path: str, transform: Callable[[DataFrame], DataFrame], name: str, mode: str = "complete") -> DataFrame:
     """Stream the Parquet files of a folder through ``transform`` until all are read, and give the result table."""
+    import uuid
+
     from codestrata.tables import scratch_dir
 
     stream = spark.readStream.schema(schema).parquet(path)
-    q = (transform(stream).writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{scratch_dir(spark)}/streams/{name}").trigger(availableNow=True).start())
+    q = (transform(stream).writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{scratch_dir(spark)}/streams/{name}-{uuid.uuid4().hex}").trigger(availableNow=True).start())
     try:
         q.awaitTermination()
     finally:
