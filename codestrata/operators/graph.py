@@ -34,8 +34,8 @@ def degrees(edges: DataFrame) -> DataFrame:
     """Incoming, outgoing and all edges of each node, and the incoming share of the scope's most linked node."""
     ends = F.explode(F.array(F.struct(F.col("s").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("t").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i"))))
     rows = typed_edges(edges).select("scope", ends.alias("e")).groupBy("scope", "e.node").agg(F.sum("e.i").alias("in_degree"), F.sum("e.o").alias("out_degree"), F.count("*").alias("degree"))
-    most = F.max("in_degree").over(Window.partitionBy("scope"))
-    return rows.withColumn("centrality", F.when(most > 0, F.round(F.col("in_degree") / most, 4)).otherwise(0.0))
+    most = rows.groupBy("scope").agg(F.max("in_degree").alias("most"))
+    return rows.join(most, "scope").withColumn("centrality", F.when(F.col("most") > 0, F.round(F.col("in_degree") / F.col("most"), 4)).otherwise(0.0)).drop("most")
 
 
 def top_targets(edges: DataFrame, top: int = 50) -> DataFrame:
@@ -43,8 +43,9 @@ def top_targets(edges: DataFrame, top: int = 50) -> DataFrame:
     n = typed_edges(edges).groupBy("scope", F.col("t").alias("node")).agg(F.count("*").alias("edges"))
     scope = Window.partitionBy("scope")
     place = F.row_number().over(scope.orderBy(F.desc("edges"), "node"))
-    share = F.col("rank") / F.count("*").over(scope)
-    return n.withColumn("rank", place).withColumn("tier", F.when(share <= 0.1, "critical").when(share <= 0.25, "warn").otherwise("info")).where(F.col("rank") <= top)
+    share = F.col("rank") / F.col("all")
+    return (n.withColumn("rank", place).where(F.col("rank") <= top).join(n.groupBy("scope").agg(F.count("*").alias("all")), "scope")
+            .withColumn("tier", F.when(share <= 0.1, "critical").when(share <= 0.25, "warn").otherwise("info")).drop("all"))
 
 
 def mutual(edges: DataFrame) -> DataFrame:
@@ -70,8 +71,8 @@ def concentration(edges: DataFrame, top: int = 3) -> DataFrame:
     """The share of the ``top`` targets in all incoming edges of a scope, in whole percent."""
     n = typed_edges(edges).groupBy("scope", F.col("t").alias("node")).agg(F.count("*").alias("edges"))
     rank = F.row_number().over(Window.partitionBy("scope").orderBy(F.desc("edges"), "node"))
-    return n.withColumn("rank", rank).groupBy("scope").agg(
-        F.sum(F.when(F.col("rank") <= top, F.col("edges"))).alias("top_edges"), F.sum("edges").alias("edges")).withColumn("percent", F.floor(100 * F.col("top_edges") / F.col("edges") + 0.5))
+    first = n.withColumn("rank", rank).where(F.col("rank") <= top).groupBy("scope").agg(F.sum("edges").alias("top_edges"))
+    return first.join(n.groupBy("scope").agg(F.sum("edges").alias("edges")), "scope").withColumn("percent", F.floor(100 * F.col("top_edges") / F.col("edges") + 0.5))
 
 
 def trust_label(kind: Column, confidence: Column) -> Column:
@@ -199,8 +200,9 @@ def strong_components(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
         live = materialize(live.join(done.select("scope", F.col("node").alias("s")), ["scope", "s"], "left_anti").join(done.select("scope", F.col("node").alias("t")), ["scope", "t"], "left_anti"), "live")
     if not found:
         return edges.select("scope", F.col("s").alias("node"), F.col("s").alias("component"), F.lit(0).cast("long").alias("size")).limit(0)
-    sized = F.count("*").over(Window.partitionBy("scope", "colour"))
-    return _union(found).withColumn("size", sized).where("size > 1").select("scope", "node", F.col("colour").alias("component"), "size")
+    members = _union(found)
+    sizes = members.groupBy("scope", "colour").agg(F.count("*").alias("size")).where("size > 1")
+    return members.join(sizes, ["scope", "colour"]).select("scope", "node", F.col("colour").alias("component"), "size")
 
 
 def cycle_report(components: DataFrame) -> DataFrame:

@@ -53,9 +53,10 @@ def week_of(date: Column) -> Column:
 def author_activity(commits: DataFrame, commit_files: DataFrame, top: int = 20) -> DataFrame:
     """Commits, lines and share of commits of the ``top`` authors of each project (a top-k report)."""
     rows = _activity(commit_totals(commits, commit_files), "project", "author")
-    total = F.sum("commits").over(Window.partitionBy("project"))
+    total = known_commits(commits).groupBy("project").agg(F.count("*").alias("total"))
     rank = F.row_number().over(Window.partitionBy("project").orderBy(F.desc("commits"), "author"))
-    return rows.withColumn("share", F.round(F.col("commits") / total, 3)).withColumn("rank", rank).where(F.col("rank") <= top)
+    return (rows.withColumn("rank", rank).where(F.col("rank") <= top).join(total, "project")
+            .withColumn("share", F.round(F.col("commits") / F.col("total"), 3)).drop("total"))
 
 
 def timeline(commits: DataFrame, commit_files: DataFrame) -> DataFrame:
@@ -68,10 +69,8 @@ def daily(commits: DataFrame, commit_files: DataFrame) -> DataFrame:
 
 
 def file_churn(commits: DataFrame, commit_files: DataFrame) -> DataFrame:
-    """Change rows (not distinct commits) and lines of each file, with its rank in the project."""
-    rows = changes(commits, commit_files).groupBy("project", "path").agg(F.count("*").alias("changes"), F.sum("add").alias("add"), F.sum("del").alias("del"))
-    order = Window.partitionBy("project").orderBy(F.desc("changes"), F.desc(F.col("add") + F.col("del")), "path")
-    return rows.withColumn("rank", F.row_number().over(order))
+    """Change rows (not distinct commits) and lines of each file. All files come out; to order them is left to whoever shows them."""
+    return changes(commits, commit_files).groupBy("project", "path").agg(F.count("*").alias("changes"), F.sum("add").alias("add"), F.sum("del").alias("del"))
 
 
 def file_timeline(commits: DataFrame, commit_files: DataFrame, files: DataFrame) -> DataFrame:
@@ -126,8 +125,8 @@ def file_complexity(symbols: DataFrame) -> DataFrame:
 def hotspots(commits: DataFrame, commit_files: DataFrame, symbols: DataFrame, top: int = 20) -> DataFrame:
     """Files ranked by churn times complexity, both scaled by the project's largest; unknown complexity counts half (a top-k report)."""
     project = Window.partitionBy("project")
-    rows = (file_churn(commits, commit_files).select("project", "path", "changes").join(file_complexity(symbols), ["project", "path"], "left")
-            .withColumns({"top_changes": F.max("changes").over(project), "top_complexity": F.max("complexity").over(project)}))
+    rows = file_churn(commits, commit_files).select("project", "path", "changes").join(file_complexity(symbols), ["project", "path"], "left")
+    rows = rows.join(rows.groupBy("project").agg(F.max("changes").alias("top_changes"), F.max("complexity").alias("top_complexity")), "project")
     scaled = F.coalesce(F.col("complexity") / F.col("top_complexity"), F.lit(0.5))
     rows = rows.withColumn("score", F.round(100 * (F.col("changes") / F.col("top_changes")) * scaled, 4))
     rank = F.row_number().over(project.orderBy(F.desc("score"), F.desc("changes"), "path"))

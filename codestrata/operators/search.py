@@ -39,7 +39,7 @@ def grep_groups(hits: DataFrame, key: str, shown: int = LINES_A_FILE) -> DataFra
 
 def page(rows: DataFrame, order: list[Column], offset: int = 0, size: int = PAGE) -> DataFrame:
     """One page of ordered rows, with whether another follows."""
-    got = rows.orderBy(*order).offset(offset).limit(size + 1).withColumn("place", F.row_number().over(Window.orderBy(*order)))
+    got = rows.orderBy(*order).offset(offset).limit(size + 1).withColumn("place", F.row_number().over(Window.orderBy(*order)))  # of one page only
     more = F.max("place").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) > size
     return got.withColumn("has_more", more).where(F.col("place") <= size)
 
@@ -52,15 +52,14 @@ def file_rank(path: Column, label: Column, term: str) -> Column:
 
 
 def find_files(files: DataFrame, term: str) -> DataFrame:
-    rows = files.select("project", "path", "label").distinct().withColumn("score", file_rank(F.col("path"), F.col("label"), term)).where("score IS NOT NULL")
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("project").orderBy(F.desc("score"), "label", "path")))
+    """All files that fit, with their score; ordering and paging are left to :func:`page`."""
+    return files.select("project", "path", "label").distinct().withColumn("score", file_rank(F.col("path"), F.col("label"), term)).where("score IS NOT NULL")
 
 
 def find_symbols(symbols: DataFrame, term: str) -> DataFrame:
-    """Symbols whose name holds the term: the exact ones first, then prefixes, then others, by name."""
+    """Symbols whose name holds the term: tier 0 the exact ones, 1 prefixes, 2 others."""
     q, low = term.lower(), F.lower("name")
-    rows = symbols.select("project", "sid", "name").distinct().where(low.contains(q)).withColumn("tier", F.when(low == q, 0).when(low.startswith(q), 1).otherwise(2))
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("project").orderBy("tier", "name", "sid")))
+    return symbols.select("project", "sid", "name").distinct().where(low.contains(q)).withColumn("tier", F.when(low == q, 0).when(low.startswith(q), 1).otherwise(2))
 
 
 def references(texts: DataFrame, key: str, name: str, around: int = 3) -> DataFrame:

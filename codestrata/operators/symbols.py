@@ -50,8 +50,8 @@ def length_stats(symbols: DataFrame, top: int = 10) -> DataFrame:
     """The ``top`` longest callables of each project beside the mean length (a top-k report)."""
     rows = known_symbols(symbols).where(_callable() & (F.col("end_line") >= F.col("line"))).select("sid", "project", "name", (F.col("end_line") - F.col("line") + 1).alias("lines")).distinct()
     project = Window.partitionBy("project")
-    ranked = rows.withColumns({"mean": F.round(F.avg("lines").over(project), 4), "rank": F.row_number().over(project.orderBy(F.desc("lines"), "sid"))})
-    return ranked.where(F.col("rank") <= top)
+    mean = rows.groupBy("project").agg(F.round(F.avg("lines"), 4).alias("mean"))
+    return rows.withColumn("rank", F.row_number().over(project.orderBy(F.desc("lines"), "sid"))).where(F.col("rank") <= top).join(mean, "project")
 
 
 def inheritance(symbols: DataFrame) -> DataFrame:
@@ -120,9 +120,10 @@ def top_callers(symbols: DataFrame, texts: DataFrame, top: int = 50) -> DataFram
     """The ``top`` files of each project by distinct outgoing calls; a god file is among the first 5 % and makes 100 or more (a top-k report)."""
     n = calls(symbols, texts).select("project", "file_id", "callee").distinct().groupBy("project", "file_id").agg(F.count("*").alias("calls"))
     project = Window.partitionBy("project")
-    rows = n.withColumns({"rank": F.row_number().over(project.orderBy(F.desc("calls"), "file_id")), "of": F.count("*").over(project)})
+    of = n.groupBy("project").agg(F.count("*").alias("of"))
+    rows = n.withColumn("rank", F.row_number().over(project.orderBy(F.desc("calls"), "file_id"))).where(F.col("rank") <= top).join(of, "project")
     god = (F.col("rank") <= F.greatest(F.lit(1), F.floor(F.col("of") * 0.05 + 0.5))) & (F.col("calls") >= 100)
-    return rows.where(F.col("rank") <= top).select("project", "file_id", "calls", "rank", god.alias("god_file"))
+    return rows.select("project", "file_id", "calls", "rank", god.alias("god_file"))
 
 
 def members(symbols: DataFrame, shown: int = 20) -> DataFrame:

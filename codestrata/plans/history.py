@@ -25,8 +25,7 @@ query("h_author_activity", _C + """, a AS (SELECT project, author, count(*) comm
 SELECT *, round(commits / sum(commits) OVER (PARTITION BY project), 3) share, row_number() OVER (PARTITION BY project ORDER BY commits DESC, author) AS rank FROM a QUALIFY rank <= 20""")(_two(h.author_activity))
 query("h_timeline", _C + "SELECT * FROM w")(_two(h.timeline))
 query("h_daily", _C + "SELECT * FROM d")(_two(h.daily))
-query("h_file_churn", _C + f""", a AS (SELECT project, path, count(*) changes, {_SUMS} FROM x GROUP BY 1, 2)
-SELECT *, row_number() OVER (PARTITION BY project ORDER BY changes DESC, "add" + del DESC, path) AS rank FROM a""")(_two(h.file_churn))
+query("h_file_churn", _C + f"SELECT project, path, count(*) changes, {_SUMS} FROM x GROUP BY 1, 2")(_two(h.file_churn))
 query("h_file_timeline", _C + f"""SELECT project, path, CAST(date_trunc('week', date) AS DATE) AS week, count(DISTINCT sha) commits, {_SUMS} FROM x
 WHERE (project, path) IN (SELECT (project, path) FROM files) GROUP BY 1, 2, 3""")(
     lambda s, d: h.file_timeline(read(s, d, "commits"), read(s, d, "commit_files"), read(s, d, "files")))

@@ -31,14 +31,12 @@ def t_grep_page(s, d):
 
 @query("t_find_files", """WITH f AS (SELECT DISTINCT project, path, label FROM files), s AS (SELECT *, CASE WHEN lower(label) = 'graph' THEN 10000 WHEN starts_with(lower(label), 'graph') THEN 5000 + greatest(0, 100 - length(label))
 WHEN contains(lower(label), 'graph') THEN 3000 + greatest(0, 100 - instr(lower(label), 'graph')) WHEN contains(lower(path), 'graph') THEN 1000 + greatest(0, 100 - instr(lower(path), 'graph'))
-WHEN regexp_matches(lower(label), 'g.*r.*a.*p.*h') THEN 500 WHEN regexp_matches(lower(path), 'g.*r.*a.*p.*h') THEN 100 END score FROM f)
-SELECT *, row_number() OVER (PARTITION BY project ORDER BY score DESC, label, path) AS rank FROM s WHERE score IS NOT NULL""")
+WHEN regexp_matches(lower(label), 'g.*r.*a.*p.*h') THEN 500 WHEN regexp_matches(lower(path), 'g.*r.*a.*p.*h') THEN 100 END score FROM f) SELECT * FROM s WHERE score IS NOT NULL""")
 def t_find_files(s, d):
     return search.find_files(read(s, d, "files"), "graph")
 
 
-@query("t_find_symbols", """WITH f AS (SELECT DISTINCT project, sid, name FROM symbols WHERE contains(lower(name), 'queue')), s AS (SELECT *, CASE WHEN lower(name) = 'queue' THEN 0 WHEN starts_with(lower(name), 'queue') THEN 1 ELSE 2 END tier FROM f)
-SELECT *, row_number() OVER (PARTITION BY project ORDER BY tier, name, sid) AS rank FROM s""")
+@query("t_find_symbols", """WITH f AS (SELECT DISTINCT project, sid, name FROM symbols WHERE contains(lower(name), 'queue')), s AS (SELECT *, CASE WHEN lower(name) = 'queue' THEN 0 WHEN starts_with(lower(name), 'queue') THEN 1 ELSE 2 END tier FROM f) SELECT * FROM s""")
 def t_find_symbols(s, d):
     return search.find_symbols(read(s, d, "symbols"), "queue")
 

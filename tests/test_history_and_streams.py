@@ -19,7 +19,7 @@ def log(spark):
 
 def test_history(spark, log):
     assert rows(h.author_activity(*log), "author", "commits", "add", "del", "share", "rank") == [("Unknown", 2, 4, 0, 0.667, 1), ("x", 1, 1, 3, 0.333, 2)]
-    assert rows(h.file_churn(*log), "path", "changes", "add", "del", "rank") == [("m/n.py", 1, 1, 2, 2), ("z", 2, 4, 1, 1)]
+    assert rows(h.file_churn(*log), "path", "changes", "add", "del") == [("m/n.py", 1, 1, 2), ("z", 2, 4, 1)]
     assert rows(h.timeline(*log), "week", "commits") == [(date(2024, 5, 13), 1), (date(2024, 5, 20), 2)]
     assert h.heatmap(*log).count() == 10 and h.commits_by_day(*log).count() == 3
     assert rows(h.window_fallback(log[0], "2025-06-01"), "days", "commits") == [(730, 3)]
