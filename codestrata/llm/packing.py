@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from codestrata.tables import materialize, spread
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
-RANK_PARTS = 64
+RANK_ROWS = 500_000  # pieces of one length that are ranked together
 
 
 def tokenizer_file(name: str = TOKENIZER) -> str:
@@ -119,7 +119,7 @@ def _slots(patterns: list[tuple[int, list[tuple[int, int]]]]) -> dict[int, np.nd
     return {k: np.array(v, np.int64) for k, v in out.items()}
 
 
-def pack(lengths: DataFrame, capacity: int) -> DataFrame:
+def pack(lengths: DataFrame, capacity: int, rank_rows: int = RANK_ROWS) -> DataFrame:
     """(doc_id, piece, start, length, window_id, position): where each piece of each text stands.
 
     ``lengths(doc_id, tokens)`` has one row a text. A text longer than ``capacity`` is cut into full windows and a
@@ -131,15 +131,22 @@ def pack(lengths: DataFrame, capacity: int) -> DataFrame:
     pieces = (
         lengths.select("doc_id", "tokens", F.explode(F.sequence(F.lit(0), cut - 1)).alias("piece"))
         .select("doc_id", "piece", (F.col("piece").cast("long") * capacity).alias("start"),
-                F.least(F.lit(capacity).cast("long"), F.col("tokens") - F.col("piece").cast("long") * capacity).alias("length"),
-                F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_PARTS)).cast("int").alias("part")))
-    counts = pieces.where("length > 0").groupBy("length", "part").agg(F.count("*").alias("n"))
-    rows = counts.collect()  # at most capacity x RANK_PARTS numbers
-    by_length: dict[int, np.ndarray] = {}
-    for r in rows:
-        by_length.setdefault(r["length"], np.zeros(RANK_PARTS, np.int64))[r["part"]] = r["n"]
-    slots = _slots(pack_histogram({k: int(v.sum()) for k, v in by_length.items()}, capacity))
-    offsets = {k: np.cumsum(v) - v for k, v in by_length.items()}
+                F.least(F.lit(capacity).cast("long"), F.col("tokens") - F.col("piece").cast("long") * capacity).alias("length")))
+    histogram = {r["length"]: r["n"] for r in pieces.where("length > 0").groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
+    # A length with many pieces is ranked in parts by hash; a part's first rank is the number of pieces in the parts before it.
+    many = {n: -(-k // rank_rows) for n, k in histogram.items() if k > rank_rows}
+    if many:
+        hot = F.broadcast(lengths.sparkSession.createDataFrame(list(many.items()), "length long, parts long"))  # at most one row for each rank_rows pieces
+        pieces = pieces.join(hot, "length", "left").withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    else:
+        pieces = pieces.withColumn("part", F.lit(0))
+    offsets = {n: np.zeros(1, np.int64) for n in histogram}
+    if many:
+        for r in pieces.where(F.col("length").isin(*many)).groupBy("length", "part").agg(F.count("*").alias("n")).collect():
+            offsets[r["length"]] = offsets[r["length"]] if len(offsets[r["length"]]) > 1 else np.zeros(many[r["length"]] + 1, np.int64)
+            offsets[r["length"]][r["part"] + 1] = r["n"]
+        offsets = {n: np.cumsum(v) for n, v in offsets.items()}
+    slots = _slots(pack_histogram(histogram, capacity))
     sent = lengths.sparkSession.sparkContext.broadcast((slots, offsets))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -165,8 +172,8 @@ def pack(lengths: DataFrame, capacity: int) -> DataFrame:
             out["position"] = pd.Series(position, index=b.index, dtype="Int64").where(b["length"] > 0)
             yield out
 
-    ranked = pieces.withColumn("nth", F.when(F.col("length") > 0, F.row_number().over(
-        Window.partitionBy("length", "part").orderBy("doc_id", "piece"))).otherwise(0).cast("long"))
+    nth = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece")).cast("long")
+    ranked = pieces.where("length > 0").withColumn("nth", nth).unionByName(pieces.where("length = 0").withColumn("nth", F.lit(0).cast("long")))
     return ranked.mapInPandas(place, "doc_id long, piece int, start long, length long, window_id long, position long")
 
 

@@ -55,10 +55,11 @@ def test_histogram_packs_everything(capacity):
     assert packing.pack_histogram({}, capacity) == []
 
 
-def test_windows_hold_each_text_once(spark):
+@pytest.mark.parametrize("rank_rows", [500_000, 90])
+def test_windows_hold_each_text_once(spark, rank_rows):
     rng = random.Random(2)
     lengths = [(i, rng.choice([0, 1, 3, 10, 10, 10, 64, 65, 200, rng.randrange(1, 64)])) for i in range(3000)]
-    out = packing.pack(spark.createDataFrame(lengths, "doc_id long, tokens long"), 64).collect()
+    out = packing.pack(spark.createDataFrame(lengths, "doc_id long, tokens long"), 64, rank_rows).collect()
     pieces, used = {}, {}
     for r in out:
         pieces.setdefault(r["doc_id"], []).append((r["start"], r["length"]))
