@@ -37,6 +37,9 @@ query("f_folder_rollup", _F + """, a AS (SELECT project, func_count, string_spli
 SELECT project, CASE WHEN n = 0 THEN '' ELSE array_to_string(p[1:n], '/') END folder, count(*) files, CAST(sum(func_count) AS BIGINT) symbols, CAST(count(*) + sum(func_count) + ceil(count(*) * 0.25) AS BIGINT) nodes FROM b GROUP BY 1, 2""")(_files(f.folder_rollup))
 query("f_fingerprint", _F + """SELECT f.project, count(*) || ':' || (SELECT count(DISTINCT sid) FROM symbols s WHERE s.project = f.project) || ':' || (SELECT count(DISTINCT edge_id) FROM module_edges e WHERE e.project = f.project)
  || ':' || count(DISTINCT module) fingerprint FROM f GROUP BY f.project""")(lambda s, d: f.fingerprint(read(s, d, "files"), read(s, d, "symbols"), read(s, d, "module_edges")))
-query("f_imports")(lambda s, d: f.imports(read(s, d, "files"), read(s, d, "source_texts")))
+_GROUPS = {ext: [ext, *(e for e, like in f.SAME_IMPORTS.items() if like == ext)] for ext in f.IMPORTS}
+_IMPORTS = " UNION ALL ".join(f"SELECT project, path, list_concat(regexp_extract_all(text, '{p.replace(chr(39), chr(39) * 2)}', 1), regexp_extract_all(text, '{p.replace(chr(39), chr(39) * 2)}', 2)) refs FROM f JOIN source_texts USING (file_id) WHERE text IS NOT NULL AND ext IN ({', '.join(repr(e) for e in _GROUPS[ext])})"
+                              for ext, p in f.IMPORTS.items())
+query("f_imports", _F + f", g AS ({_IMPORTS}), u AS (SELECT DISTINCT project, path, unnest(refs) AS ref FROM g) SELECT * FROM u WHERE ref <> ''")(lambda s, d: f.imports(read(s, d, "files"), read(s, d, "source_texts")))
 query("f_import_edges")(lambda s, d: f.import_edges(read(s, d, "files"), read(s, d, "source_texts")))
 query("f_entry_points")(lambda s, d: f.entry_points(read(s, d, "files"), f.import_edges(read(s, d, "files"), read(s, d, "source_texts"))))

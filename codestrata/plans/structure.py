@@ -21,12 +21,13 @@ b AS (SELECT r.sid, arg_min(u.sid, r.pos) upper FROM r JOIN sy u ON u.project =
 l AS MATERIALIZED (SELECT 'parent' link, * FROM p UNION ALL SELECT 'bases', * FROM b),
 up(link, sid, top, depth) AS (SELECT link, sid, upper, 1 FROM l
   UNION ALL SELECT up.link, up.sid, l.upper, up.depth + 1 FROM up JOIN l ON l.link = up.link AND l.sid = up.top WHERE up.depth < 200),
-top AS (SELECT link, sid, arg_max(top, depth) root, max(depth) depth FROM up GROUP BY 1, 2)
-SELECT link, sid, CASE WHEN depth >= 200 THEN 'cycle' ELSE root END root, CASE WHEN depth >= 200 THEN -1 ELSE depth END depth FROM top
+tops AS (SELECT link, sid, arg_max(top, depth) root, max(depth) depth FROM up GROUP BY 1, 2)
 """
+_ROOTS = _HIERARCHY + "SELECT link, sid, CASE WHEN depth >= 200 THEN 'cycle' ELSE root END root, CASE WHEN depth >= 200 THEN -1 ELSE depth END depth FROM tops"
+_PAIRS = _HIERARCHY + "SELECT up.link, up.top AS sid, up.sid AS descendant, up.depth AS distance FROM up JOIN tops ON tops.link = up.link AND tops.sid = up.sid WHERE tops.depth < 200"
 
 
-@query("p2_found", _HIERARCHY)
+@query("p2_found", _ROOTS)
 def p2_found(spark, d):
     return hierarchy.symbol_hierarchy(read(spark, d, "symbols"), paths=False)
 
@@ -36,7 +37,7 @@ def p2_hierarchy(spark, d):
     return hierarchy.symbol_hierarchy(read(spark, d, "symbols"))
 
 
-@query("p2_descendants")
+@query("p2_descendants", _PAIRS)
 def p2_descendants(spark, d):
     return hierarchy.descendants(hierarchy.symbol_hierarchy(read(spark, d, "symbols")))
 
