@@ -40,6 +40,18 @@ query("f_fingerprint", _F + """SELECT f.project, count(*) || ':' || (SELECT coun
 _GROUPS = {ext: [ext, *(e for e, like in f.SAME_IMPORTS.items() if like == ext)] for ext in f.IMPORTS}
 _IMPORTS = " UNION ALL ".join(f"SELECT project, path, list_concat(regexp_extract_all(text, '{p.replace(chr(39), chr(39) * 2)}', 1), regexp_extract_all(text, '{p.replace(chr(39), chr(39) * 2)}', 2)) refs FROM f JOIN source_texts USING (file_id) WHERE text IS NOT NULL AND ext IN ({', '.join(repr(e) for e in _GROUPS[ext])})"
                               for ext, p in f.IMPORTS.items())
-query("f_imports", _F + f", g AS ({_IMPORTS}), u AS (SELECT DISTINCT project, path, unnest(refs) AS ref FROM g) SELECT * FROM u WHERE ref <> ''")(lambda s, d: f.imports(read(s, d, "files"), read(s, d, "source_texts")))
-query("f_import_edges")(lambda s, d: f.import_edges(read(s, d, "files"), read(s, d, "source_texts")))
-query("f_entry_points")(lambda s, d: f.entry_points(read(s, d, "files"), f.import_edges(read(s, d, "files"), read(s, d, "source_texts"))))
+_REFS = f"g AS ({_IMPORTS}), u AS (SELECT DISTINCT project, path, unnest(refs) AS ref FROM g), im AS (SELECT * FROM u WHERE ref <> '')"
+_RESOLVED = _REFS + r""", d AS (SELECT *, regexp_replace(regexp_replace(ref, '^(?:crate|self|super)::|^\.+', ''), '::|\.', '/', 'g') dotted FROM im),
+ks AS (SELECT project, path, ref, 0 AS rule, regexp_replace(regexp_replace(regexp_replace(path, '[^/]*$', '') || regexp_replace(regexp_replace(ref, '^(?:\./)+', ''), '/+', '/', 'g'), '^(?:\./)+', ''), '/+', '/', 'g') AS key FROM d
+ UNION ALL SELECT project, path, ref, 1, regexp_extract(ref, '([^/]+)$', 1) FROM d UNION ALL SELECT project, path, ref, 2, lower(regexp_replace(regexp_replace(ref, '^.*(?:/|::)', ''), '^(.+)\.[A-Za-z0-9]+$', '\1')) FROM d
+ UNION ALL SELECT project, path, ref, 3, dotted FROM d UNION ALL SELECT project, path, ref, 4, dotted FROM d),
+ba AS (SELECT DISTINCT project, path, regexp_replace(path, '\.[A-Za-z0-9]+$', '') bare FROM f), pt AS (SELECT *, string_split(bare, '/') parts FROM ba), tl AS (SELECT project, path, parts, unnest(range(2, len(parts) + 1)) i FROM pt),
+ix AS (SELECT project, path target, 0 AS rule, path AS key FROM ba UNION ALL SELECT project, path, 1, regexp_extract(path, '([^/]+)$', 1) FROM ba UNION ALL SELECT project, path, 2, lower(regexp_extract(bare, '([^/]+)$', 1)) FROM ba
+ UNION ALL SELECT project, path, 3, bare FROM ba UNION ALL SELECT project, path, 4, array_to_string(parts[i:], '/') FROM tl),
+hi AS (SELECT ks.project, path, ref, ks.rule, target FROM ks JOIN ix ON ix.project = ks.project AND ix.rule = ks.rule AND ix.key = ks.key WHERE path <> target AND ks.key <> ''),
+ie AS (SELECT DISTINCT project, path s, target t FROM (SELECT *, min(rule) OVER (PARTITION BY project, path, ref) best FROM hi) WHERE rule = best)"""
+query("f_imports", _F + f", {_REFS} SELECT * FROM im")(lambda s, d: f.imports(read(s, d, "files"), read(s, d, "source_texts")))
+query("f_import_edges", _F + f", {_RESOLVED} SELECT * FROM ie")(lambda s, d: f.import_edges(read(s, d, "files"), read(s, d, "source_texts")))
+query("f_entry_points", _F + f""", {_RESOLVED} SELECT DISTINCT project, path, CASE WHEN EXISTS (SELECT 1 FROM ie WHERE ie.project = f.project AND ie.s = f.path) THEN 'entry' ELSE 'isolated' END AS role FROM f
+WHERE {_KIND} NOT IN {f.NON_CODE} AND NOT EXISTS (SELECT 1 FROM ie WHERE ie.project = f.project AND ie.t = f.path)""")(
+    lambda s, d: f.entry_points(read(s, d, "files"), f.import_edges(read(s, d, "files"), read(s, d, "source_texts"))))

@@ -63,7 +63,9 @@ query("g_shortest_path")(_edges(lambda e: g.shortest_path(e, _pairs(e))))
 query("g_components", _R + """, x AS (SELECT DISTINCT scope, s, t FROM y), r(scope, a, b) AS (SELECT scope, s, t FROM x UNION SELECT r.scope, a, t FROM r JOIN x ON x.scope = r.scope AND x.s = r.b),
 m AS (SELECT p.scope, p.a node, greatest(p.a, max(p.b)) component FROM r p JOIN r q ON p.scope = q.scope AND p.a = q.b AND p.b = q.a GROUP BY 1, 2)
 SELECT *, count(*) OVER (PARTITION BY scope, component) AS size FROM m QUALIFY size > 1""")(_edges(g.strong_components))
-query("g_cycle_report")(_edges(lambda e: g.cycle_report(g.strong_components(e))))
+query("g_cycle_report", _R + """, x AS (SELECT DISTINCT scope, s, t FROM y), r(scope, a, b) AS (SELECT scope, s, t FROM x UNION SELECT r.scope, a, t FROM r JOIN x ON x.scope = r.scope AND x.s = r.b),
+m AS (SELECT p.scope, p.a node, greatest(p.a, max(p.b)) component FROM r p JOIN r q ON p.scope = q.scope AND p.a = q.b AND p.b = q.a GROUP BY 1, 2), n AS (SELECT scope, component, count(*) AS size FROM m GROUP BY 1, 2 HAVING count(*) > 1)
+SELECT *, CASE WHEN size >= 10 THEN 'critical' WHEN size >= 5 THEN 'warn' ELSE 'info' END tier FROM n""")(_edges(lambda e: g.cycle_report(g.strong_components(e))))
 query("g_communities")(_edges(g.communities))
 query("g_modularity")(_edges(lambda e: g.modularity(e, g.communities(e))))
 query("g_modularity_by_letter", _W + """, u AS (SELECT scope, least(s, t) a, greatest(s, t) b, sum(weight) weight FROM e WHERE s <> t GROUP BY 1, 2, 3), k AS (SELECT scope, left(a, 1) ca, left(b, 1) cb, weight FROM u),

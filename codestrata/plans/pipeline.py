@@ -51,7 +51,12 @@ def r_file_pages(s, d):
     return reports.file_pages(read(s, d, "files"), read(s, d, "symbols"))
 
 
-@query("r_maturity")
+_DIMS = {d: " + ".join(f"{x} * max(CAST(regexp_matches(path, '{p}') AS INT))" for e, p, x in calibration.EVIDENCE if e == d) for d in calibration.WEIGHTS}
+_LEVEL = " ".join(f"WHEN score >= {least} THEN '{name}'" for least, name in calibration.LEVELS)
+
+
+@query("r_maturity", f"""WITH d AS (SELECT project, {', '.join(f"CAST(least(10, {x}) AS DOUBLE) AS {d}" for d, x in _DIMS.items())} FROM files WHERE path IS NOT NULL GROUP BY 1),
+s AS (SELECT *, round({' + '.join(f"{d} * {w}" for d, w in calibration.WEIGHTS.items())}, 4) score FROM d) SELECT *, CASE {_LEVEL} END AS level FROM s""")
 def r_maturity(s, d):
     return calibration.maturity(read(s, d, "files"))
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codestrata.operators import files as fl, overview as o, parse, resolution as r, symbols as y
+from codestrata.plans.files import _F, _KIND, _RESOLVED
 from codestrata.plans.registry import query
-from codestrata.plans.symbols import _CALLABLE, _CALLS, _EDGES, _S, _TYPE
+from codestrata.plans.symbols import _CALLABLE, _CALLS, _INHERIT, _S, _TYPE
 from codestrata.tables import materialize, read
 
 
@@ -39,9 +40,14 @@ query("e_call_flows", f"WITH {_S}, {_CALLS}, {_LEADS} SELECT project, leads_to,
     lambda s, d: r.call_flows(r.classify_calls(_calls(s, d), read(s, d, "symbols"))))
 _USAGE = lambda s, d: r.type_usage(read(s, d, "symbols"))
 query("e_file_symbol_graph")(lambda s, d: r.file_symbol_graph(_USAGE(s, d), read(s, d, "symbols")))
-query("e_neighbours")(lambda s, d: r.neighbours(y.inheritance(read(s, d, "symbols"))))
+query("e_neighbours", f"""WITH {_S}, {_INHERIT}, n AS (SELECT src, dst, count(*) edges FROM (SELECT DISTINCT * FROM i) GROUP BY 1, 2), b AS (SELECT src sid, 'out' direction, dst other, edges FROM n UNION ALL SELECT dst, 'in', src, edges FROM n)
+SELECT *, row_number() OVER (PARTITION BY sid, direction ORDER BY edges DESC, other) AS rank FROM b QUALIFY rank <= 80""")(lambda s, d: r.neighbours(y.inheritance(read(s, d, "symbols"))))
 query("o_project")(lambda s, d: o.project_overview(read(s, d, "files"), _edges(s, d)))
-query("o_module")(lambda s, d: o.module_overview(read(s, d, "files"), _edges(s, d)))
+query("o_module", _F + f""", {_RESOLVED}, e AS (SELECT project, CASE WHEN contains(s, '/') THEN split_part(s, '/', 1) ELSE '_root' END a, CASE WHEN contains(t, '/') THEN split_part(t, '/', 1) ELSE '_root' END b FROM ie),
+m AS (SELECT project, module, count(*) FILTER ({_KIND} NOT IN ('binary', 'other')) file_count, CAST(coalesce(sum(func_count) FILTER ({_KIND} NOT IN ('binary', 'other')), 0) AS BIGINT) func_count, count(*) FILTER ({_KIND} IN ('binary', 'other')) other_count FROM f GROUP BY 1, 2),
+c AS (SELECT *, (row_number() OVER (PARTITION BY project ORDER BY module) - 1) % 15 colour FROM m)
+SELECT c.*, (SELECT count(*) FROM e WHERE e.project = c.project AND a = module AND b = module) AS within, (SELECT count(*) FROM e WHERE e.project = c.project AND a = module AND b <> module) AS "out",
+(SELECT count(*) FROM e WHERE e.project = c.project AND b = module AND a <> module) AS "into" FROM c""")(lambda s, d: o.module_overview(read(s, d, "files"), _edges(s, d)))
 query("o_file", f"WITH {_S}, {_CALLS}, n AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY callee) n FROM cl) SELECT project, file_id, sid, count(*) callees, string_agg(callee, ', ' ORDER BY n) FILTER (n <= 10) AS names FROM n GROUP BY 1, 2, 3")(
     lambda s, d: o.file_overview(_calls(s, d)))
 query("o_symbol", f"""WITH {_S}, d AS (SELECT sid, max(coalesce(length(doc) > 0, FALSE)) documented FROM symbols GROUP BY 1), q AS (SELECT DISTINCT sid, project, file_id, kind, parent FROM s)
