@@ -16,8 +16,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from codestrata.tables import materialize
 
 BLOCK = 8192  # baskets in a bit matrix
-HEAVY_SHARE = 32  # heavy: in at least 1/32 of the scope's baskets, so a scope has at most 32 x max_size heavy items
-HEAVY_LEAST = 64
+HEAVY_SHARE = 64  # heavy: in at least 1/64 of the scope's baskets, so a scope has at most 64 x max_size heavy items
+HEAVY_LEAST = 16
 
 
 def clean_path(path: Column) -> Column:
