@@ -16,6 +16,7 @@ from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from codestrata.tables import materialize, spread
@@ -385,14 +386,13 @@ def garbled(documents: DataFrame, key: str = "doc_id", field: str = "text", sour
                    .where(F.col("text").rlike(r"[^\x00-\x7F]")))
     beliefs = texts.sparkSession.sparkContext.broadcast(learn(texts))
 
-    def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict = {}
-        for b in rows:
-            out = []
-            for k, text, src in zip(b["doc_id"], b["text"], b["source"]):
-                got = judge(text, src, beliefs.value, memo)
-                if got:
-                    out.append((k, *got))
-            yield pd.DataFrame(out, columns=["doc_id", "chain", "log_odds", "restored"])
-
-    return texts.mapInPandas(run, "doc_id long, chain string, log_odds double, restored string")
+        for b in batches:
+            got = [judge(text, src, beliefs.value, memo) for text, src in zip(b.column("text").to_pylist(), b.column("source").to_pylist())]
+            hit = [g for g in got if g]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id").filter(pa.array([g is not None for g in got], pa.bool_())), *(pa.array([g[i] for g in hit], t) for i, t in enumerate((pa.string(), pa.float64(), pa.string())))],
+                ["doc_id", "chain", "log_odds", "restored"])
+
+    return texts.mapInArrow(run, "doc_id long, chain string, log_odds double, restored string")

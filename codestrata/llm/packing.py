@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from codestrata.tables import materialize, spread
@@ -43,13 +44,13 @@ def _encoding(path: str):
 def token_lengths(documents: DataFrame, path: str) -> DataFrame:
     """(doc_id, tokens): the number of tokens of the whole text; 0 for a null or empty one."""
 
-    def count(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoding(path)
-        for b in rows:
-            n = [len(enc.encode_ordinary(t)) if t else 0 for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "tokens": np.array(n, np.int64)})
+        for b in batches:
+            n = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64())], ["doc_id", "tokens"])
 
-    return spread(documents.select("doc_id", "text")).mapInPandas(count, "doc_id long, tokens long")
+    return spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(count, "doc_id long, tokens long")
 
 
 def _place(histogram: dict[int, int], capacity: int, shortest: bool) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -174,7 +175,8 @@ def pack(lengths: DataFrame, capacity: int, rank_rows: int = RANK_ROWS) -> DataF
 
     nth = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "piece")).cast("long")
     ranked = pieces.where("length > 0").withColumn("nth", nth).unionByName(pieces.where("length = 0").withColumn("nth", F.lit(0).cast("long")))
-    return ranked.mapInPandas(place, "doc_id long, piece int, start long, length long, window_id long, position long")
+    # As text, since one null key would make pandas hold all keys of its batch as fractions.
+    return ranked.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(place, "doc_id string, piece int, start long, length long, window_id long, position long").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def pack_documents(documents: DataFrame, windows: DataFrame, tokenizer: str | None = None) -> DataFrame:

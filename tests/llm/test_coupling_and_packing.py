@@ -79,9 +79,9 @@ def test_windows_hold_each_text_once(spark, rank_rows):
 
 
 def test_pack_documents(spark):
-    d = spark.createDataFrame([(1, "some words here", 3), (2, None, 0), (3, "", 0), (4, "word " * 700, 1), (5, "some words here", 3)], "doc_id long, text string, length int")
+    d = spark.createDataFrame([(1, "some words here", 3), (2, None, 0), (3, "", 0), (4, "word " * 700, 1), (5, "some words here", 3), (None, "no key", 1)], "doc_id long, text string, length int")
     w = spark.createDataFrame([("s", 512), ("s", 512), (None, 4), ("z", 0)], "window_name string, capacity int")
     got = packing.pack_documents(d, w)
-    assert {(r["doc_id"], r["piece"]) for r in got.collect()} == {(1, 0), (2, 0), (3, 0), (4, 0), (4, 1), (5, 0)}
+    assert {(r["doc_id"], r["piece"]) for r in got.collect()} == {(1, 0), (2, 0), (3, 0), (4, 0), (4, 1), (5, 0), (None, 0)}
     assert packing.fill_report(got).first()["windows"] == 2
     assert packing.pack_documents(d.limit(0), w).count() == 0 and packing.pack_documents(d, w.limit(0)).count() == 0

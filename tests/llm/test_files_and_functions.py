@@ -28,6 +28,7 @@ def test_parser_survives_noise():
         kinds = "".join(rng.choice("DHOC") for _ in range(rng.randrange(40))) + "$"
         gll.parse(gll.BROKEN, kinds, lambda a, b: True)
         gll.functions("".join(rng.choice(["int f(int a) {\n", "}\n", "{", " x;\n", "// c\n"]) for _ in range(30)), ".c")
+    assert gll.functions("{" * 20_000, ".c") == [] and len(gll.functions("void f(int a) {\n" * 3000 + "void g(int a) { }\n", ".c")) >= 1
     deep = "void f(int a) {" + "{" * 3000 + "}" * 3000 + "}"
     assert [f.whole for f in gll.functions(deep, ".c")] == [True]
 
@@ -55,7 +56,7 @@ def test_pairs(spark):
     s = [("s1", "p", 1, "keep", " Function", 2, 3, "Blocks until it drains.", "a.py"), ("s1", "p", 1, "keep", " Function", 2, 3, "Blocks until it drains.", "a.py"), ("s2", "p", 1, "drop", "def", 5, 6, "TODO", "a.py"), ("s3", "p", 1, "K", "class", 1, 1, "Real words stay out.", "a.py"),
          ("s4", "p", 2, "gone", "fn", None, None, "Counts the bytes left.", None), ("s5", None, None, None, "fn", 1, 2, "Counts the bytes left.", None), ("s6", "p", 3, "x", None, 1, 2, "Words.", "b.py"), ("s7", "p", 1, "other", "func", 1, 99, "Reads past the end.", "a.py")]
     df = spark.createDataFrame([(*x, 5, "t") for x in s], "sid string, project string, file_id long, name string, kind string, line int, end_line int, doc string, file string, template long, ext string")
-    x = spark.createDataFrame([(1, text), (3, None)], "file_id long, text string")
+    x = spark.createDataFrame([(1, text), (3, None), (None, text)], "file_id long, text string")
     got = {r["sid"]: r for r in docpairs.documented_pairs(df, x).collect()}
     assert set(got) == {"s1", "s4", "s5", "s7"}
     assert got["s1"]["code"] == "def keep(a):\n    return a" and got["s1"]["parsed"] and got["s4"]["code"] is None and not got["s7"]["parsed"] and got["s7"]["code"]
