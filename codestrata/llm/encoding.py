@@ -21,10 +21,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from codestrata.tables import materialize, spread
 
+_CONTROL = re.compile("[\x80-\x9f]")
 INTACT = "intact"
 LOST = "lost"  # replacement characters: garbled, and the original bytes are gone
 ROUNDS = 3
 PLACE_RATE = 0.5  # of a record garbled along a chain, the share of words expected to show it
+VOTE = 3.0
 SMOOTH = 20.0
 UNSEEN = 0.01
 PRIOR_WEIGHT = 50.0  # how many words of all sources back up one source's chain rates
@@ -41,6 +43,8 @@ SWAPS = (
     ("latin-1", "cp437"), ("cp1252", "cp850"), ("latin-1", "cp850"), ("cp1252", "gbk"), ("latin-1", "gbk"), ("cp437", "gbk"), ("cp1252", "big5"),
     ("cp1252", "cp932"), ("cp866", "cp1252"), ("koi8_r", "cp1252"), ("cp1251", "cp1250"), ("cp437", "cp1250"), ("cp850", "cp1250"),
 )
+THRICE = ("cp1252", "latin-1")
+MIXED = (("cp1251", "cp1252"), ("koi8_r", "cp1251"), ("cp1250", "cp1252"))  # swapped first, then UTF-8 read as cp1252
 TWICE = ("cp1252", "latin-1", "cp1250", "cp1251", "cp437", "cp850", "mac_roman")
 
 
@@ -98,22 +102,42 @@ def _undo_wide(page: str) -> Callable[[str], str | None]:
     return undo
 
 
+def _raw(word: str, page: str) -> bytes | None:
+    """The bytes of a word on a page, or None if a character is not on it."""
+    try:
+        return word.encode(page)
+    except UnicodeEncodeError:
+        if not page.startswith("cp125") or not _CONTROL.search(word):
+            return None
+    of = _page(page)
+    try:
+        return bytes(of[c] if c > "\x7f" else ord(c) for c in word)
+    except KeyError:
+        return None
+
+
 @functools.cache
 def _undo_swap(page: str, true: str) -> Callable[[str], str | None]:
     """Undo one page read as another. Characters of the word that are not on the page make it infeasible."""
-    of = _page(page)
-
     def undo(word: str) -> str | None:
+        raw = _raw(word, page)
         try:
-            raw = bytes(of[c] if c > "\x7f" else ord(c) for c in word)
-            out = raw.decode(true)
-        except (KeyError, UnicodeDecodeError):
+            out = raw.decode(true) if raw is not None else word
+        except UnicodeDecodeError:
             return None
         return out if out != word else None
 
     return undo
 
 
+@functools.cache
+def _swaps_by_page() -> dict[str, list[tuple[str, str]]]:
+    out: dict[str, list[tuple[str, str]]] = defaultdict(list)
+    for page, true in SWAPS:
+        out[page].append((f"{true}>{page}", true))
+    return out
+
+
 def _then(first: Callable, second: Callable) -> Callable[[str], str | None]:
     def undo(word: str) -> str | None:
         half = first(word)
@@ -122,6 +146,11 @@ def _then(first: Callable, second: Callable) -> Callable[[str], str | None]:
     return undo
 
 
+def _before(page: str) -> tuple[str, ...]:
+    """The pages that a text garbled along UTF-8 may have been read with before it was read with ``page``."""
+    return TWICE if page in THRICE else THRICE
+
+
 @functools.cache
 def chains() -> dict[str, Callable[[str], str | None]]:
     """Each chain's name and the function that undoes it, or gives None where the word can't have come that way."""
@@ -129,18 +158,15 @@ def chains() -> dict[str, Callable[[str], str | None]]:
     out = dict(once)
     out |= {f"{t}>{p}": _undo_swap(p, t) for p, t in SWAPS}
     for a in TWICE:
-        for b in ("cp1252", "latin-1") if a not in ("cp1252", "latin-1") else TWICE:
+        for b in _before(a):
             out[f"utf-8>{b}, utf-8>{a}"] = _then(_undo_utf8(a), _undo_utf8(b))
-    for a in ("cp1252", "latin-1"):
+    for a in THRICE:
         out[f"utf-8>{a} three times"] = _then(_then(_undo_utf8(a), _undo_utf8(a)), _undo_utf8(a))
-    for t, p in (("cp1251", "cp1252"), ("koi8_r", "cp1251"), ("cp1250", "cp1252")):
+    for t, p in MIXED:
         out[f"{t}>{p}, utf-8>cp1252"] = _then(_undo_utf8("cp1252"), _undo_swap(p, t))
     return out
 
 
-_CONTROL = re.compile("[\x80-\x9f]")
-
-
 @functools.cache
 def _class(c: str) -> str:
     """The symbol that stands for a character in the pair counts; those of large scripts share one."""
@@ -234,28 +260,59 @@ def quoted(text: str) -> set[str]:
             if any(c.isascii() for c in core) or len(core) > 12:
                 continue
             marked = w[0] in "\"'`“(«" and len(w) > len(core)
-            outs = {o for n, u in chains().items() if n.startswith("utf-8") and (o := u(core))}
+            outs = {o for _, o in _utf8_options(core)}
             if (core == "�" and marked) or (outs and (marked or outs & bare)):
                 found.add(w)
     return found
 
 
-def _options(word: str, memo: dict) -> list[tuple[str, str]]:
-    """(chain, restored word) of each chain along which the word may have come; equal results count for the first chain."""
-    got = memo.get(word)
-    if got is None:
-        seen, got = set(), []
-        for name, undo in chains().items():
-            out = undo(word)
-            if out is not None and out not in seen and not (_CONTROL.search(out) and not _CONTROL.search(word)):
-                seen.add(out)
-                got.append((name, out))
-        if len(memo) > 200_000:
-            memo.clear()
-        memo[word] = got
+def _utf8_options(word: str) -> list[tuple[str, str]]:
+    """(chain, restored word) of the chains that began as UTF-8. What undoes a chain's last step is worked out once for all chains that share it."""
+    got = []
+    for page in BYTE_PAGES:
+        half = _undo_utf8(page)(word)
+        if half is None:
+            continue
+        got.append((f"utf-8>{page}", half))
+        if page in TWICE:
+            got += [(f"utf-8>{b}, utf-8>{page}", out) for b in _before(page) if (out := _undo_utf8(b)(half)) is not None]
+        if page in THRICE and (out := chains()[f"utf-8>{page} three times"](word)) is not None:
+            got.append((f"utf-8>{page} three times", out))
+        if page == "cp1252":
+            got += [(f"{t}>{p}, utf-8>cp1252", out) for t, p in MIXED if (out := _undo_swap(p, t)(half)) is not None]
+    return got + [(f"utf-8>{p}", out) for p in WIDE_PAGES if (out := _undo_wide(p)(word)) is not None]
+
+
+def _options(word: str, known: Callable[[str], bool] | None = None) -> dict[str, list[str]]:
+    """Each word this one may have been, with the chains that lead from it to here.
+
+    With ``known``, a swap of pages that gives a letter never seen in correct text is no option; its probability would be as good as nothing.
+    """
+    got: dict[str, list[str]] = {}
+    control = bool(_CONTROL.search(word))
+    for name, out in _utf8_options(word):
+        if control or not _CONTROL.search(out):
+            got.setdefault(out, []).append(name)
+    for page, swaps in _swaps_by_page().items():
+        raw = _raw(word, page)
+        if raw is None:
+            continue
+        for name, true in swaps:
+            try:
+                out = raw.decode(true)
+            except UnicodeDecodeError:
+                continue
+            if out != word and (known is None or all(map(known, out))) and (control or not _CONTROL.search(out)):
+                got.setdefault(out, []).append(name)
     return got
 
 
+def _scored(word: str, model: "CharacterModel") -> tuple[float, list[tuple[list[str], str, float]]]:
+    """The log probability of the word as it is, and (chains, restored, log probability) of its options."""
+    options = _options(word, model.known)
+    return (model.score(word), [(c, r, model.score(r)) for r, c in options.items()]) if options else (0.0, [])
+
+
 class Beliefs:
     """What the M-step hands to the next E-step: the character model and the log rates of chains by source."""
 
@@ -275,15 +332,20 @@ class Beliefs:
         return math.log((self.rates.get((source, chain), 0.0) + PRIOR_WEIGHT * self.shared[chain]) / (self.by_source.get(source, 0.0) + PRIOR_WEIGHT))
 
 
-def _weights(source: str, word: str, options: list[tuple[str, str]], beliefs: Beliefs | None) -> list[tuple[str, str, float]]:
+def _weights(source: str, word: str, beliefs: Beliefs | None) -> list[tuple[str, str, float]]:
     """(chain, restored, posterior) of one word, with 'intact' among the chains."""
-    if not options or beliefs is None:
+    if beliefs is None:
         return [(INTACT, word, 1.0)]
     if not beliefs.rates:  # to begin with: valid UTF-8 of known characters hidden in a word is no accident
-        utf8 = [x for x in options if x[0].startswith("utf-8>") and len(x[1]) < len(word) and all(map(beliefs.model.known, x[1]))]
+        utf8 = [(c, r) for c, r in _utf8_options(word) if len(r) < len(word) and all(map(beliefs.model.known, r))]
         return [(*min(utf8, key=lambda x: len(x[1])), 1.0)] if utf8 else [(INTACT, word, 1.0)]
-    logs = [(INTACT, word, beliefs.log_rate(source, INTACT) + beliefs.model.score(word))]
-    logs += [(c, r, beliefs.log_rate(source, c) + beliefs.model.score(r)) for c, r in options]
+    base, options = _scored(word, beliefs.model)
+    if not options:
+        return [(INTACT, word, 1.0)]
+    logs = [(INTACT, word, beliefs.log_rate(source, INTACT) + base)]
+    for names, r, x in options:  # of chains that give the same word the likeliest here
+        rate, c = max((beliefs.log_rate(source, c), c) for c in names)
+        logs.append((c, r, rate + x))
     top = max(x[2] for x in logs)
     raw = [(c, r, math.exp(x - top)) for c, r, x in logs]
     total = sum(x[2] for x in raw)
@@ -303,10 +365,9 @@ def _e_step(rows: Iterator[pd.DataFrame], beliefs: Beliefs | None) -> Iterator[p
     """Expected counts of this partition: chain rates by source, and character pairs."""
     rates: dict[tuple[str, str], float] = defaultdict(float)
     counts: dict[str, float] = defaultdict(float)
-    memo: dict = {}
     for b in rows:
         for source, word, n in zip(b["source"], b["word"], b["n"]):
-            for chain, restored, p in _weights(source, word, _options(word, memo), beliefs):
+            for chain, restored, p in _weights(source, word, beliefs):
                 rates[source, chain] += p * n
                 _count_word(restored, p * n, counts)
     yield pd.DataFrame([("rate", s, c, n) for (s, c), n in rates.items()] + [("pair", "", k, n) for k, n in counts.items()],
@@ -334,7 +395,7 @@ def learn(texts: DataFrame) -> Beliefs:
 
 
 def judge(text: str | None, source: str, beliefs: Beliefs, memo: dict) -> tuple[str, float, str] | None:
-    """(chain, log odds, restored text) if the record is garbled, else None.
+    """(chain, log odds, restored text) if the record is garbled, else None. ``memo`` keeps what words were found to be under these beliefs.
 
     For each chain the evidence of all words is added up, each word being a mixture of garbled and intact. Words that are only quoted
     give no evidence and stay as they are.
@@ -344,7 +405,7 @@ def judge(text: str | None, source: str, beliefs: Beliefs, memo: dict) -> tuple[
         return None
     skip: set[str] | None = None
     totals: dict[str, float] = defaultdict(float)
-    fixes: dict[str, list[tuple[str, str, float]]] = {}
+    fixes: dict[str, list[tuple[list[str], str, float]]] = {}
     lost = False
     for w in found:
         if "�" in w:
@@ -352,26 +413,31 @@ def judge(text: str | None, source: str, beliefs: Beliefs, memo: dict) -> tuple[
             lost = lost or w not in skip
         got = fixes.get(w)
         if got is None:
-            options = _options(w, memo)
-            base = beliefs.model.score(w) if options else 0.0
-            got = [(c, r, beliefs.model.score(r) - base) for c, r in options]
+            got = memo.get(w)
+            if got is None:
+                base, options = _scored(w, beliefs.model)
+                got = [(c, r, x - base) for c, r, x in options]
+                if len(memo) > 200_000:
+                    memo.clear()
+                memo[w] = got
             if any(x[2] > 0 for x in got):
                 skip = quoted(text) if skip is None else skip
                 if w in skip:
                     got = []
             fixes[w] = got
-        for c, _, gain in got:
-            totals[c] += math.log(1 - PLACE_RATE + PLACE_RATE * math.exp(min(gain, 500.0)))
+        for names, _, gain in got:
+            evidence = math.log(1 - PLACE_RATE + PLACE_RATE * math.exp(min(gain, 500.0)))
+            for c in names:
+                totals[c] += evidence
     odds = {c: t + beliefs.log_rate(source, c) - beliefs.log_rate(source, INTACT) for c, t in totals.items()}
     sure = {c for c, x in odds.items() if x > SURE}
     if not sure and not lost:
         return None
     best = max(sure, key=odds.get) if sure else LOST
-    swap: dict[str, str] = {}
-    for w, got in fixes.items():
-        able = [(gain + odds[c] * 1e-3, r) for c, r, gain in got if c in sure and gain > 0]
-        if able:
-            swap[w] = max(able)[1]
+    able = {w: x for w, got in fixes.items() if (x := [(c, r, gain) for names, r, gain in got if gain > 0 for c in names if c in sure])}
+    votes = Counter(max(x, key=lambda o: (o[2], odds[o[0]]))[0] for x in able.values())
+    # A word goes by its own evidence and by how many words of the record each chain explains best.
+    swap = {w: max(x, key=lambda o: (o[2] + VOTE * math.log(votes[o[0]] + 0.5), odds[o[0]]))[1] for w, x in able.items()}
     restored = re.sub(r"[^ \t\r\n]+", lambda m: swap.get(m.group(), m.group()), text) if swap else text
     return best, odds.get(best, 0.0), restored
 
