@@ -9,6 +9,7 @@ far the match can reach, and the words themselves are then compared, over window
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -20,8 +21,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from codestrata.tables import materialize, size_bytes, spread
 
-_WORD = regex.compile(r"[\p{L}\p{N}]+")
-_ASCII = regex.compile(r"[a-z0-9]+")
+_WORD = re.compile(r"[^\W_]+")
+_ASCII = re.compile(r"[a-z0-9]+")
 _FORMAT = regex.compile(r"\p{Cf}+")
 
 
@@ -35,9 +36,21 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(unicodedata.normalize("NFKC", text))
 
 
+class _Codes(dict):
+    """A 64-bit number for each word, kept for the next time; forgotten when there are too many."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        code = self[word] = xxhash.xxh3_64_intdigest(word)
+        return code
+
+
+_CODES = _Codes()
+
+
 def word_hashes(found: list[str]) -> np.ndarray:
-    """A 64-bit number for each word."""
-    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in found), dtype=np.uint64, count=len(found))
+    return np.fromiter(map(_CODES.__getitem__, found), dtype=np.uint64, count=len(found))
 
 
 def shingle_hashes(codes: np.ndarray, width: int) -> np.ndarray:
@@ -80,7 +93,9 @@ def _count_known(rows: Iterator[pd.DataFrame], known: np.ndarray, width: int, le
                 h = shingle_hashes(word_hashes(found), width)
                 at = np.searchsorted(known, h)
                 at[at == len(known)] = 0
-                np.add.at(total, at[known[at] == h], 1)
+                hit = at[known[at] == h]
+                if len(hit):
+                    np.add.at(total, hit, 1)
     hit = np.flatnonzero(total)
     yield pd.DataFrame({"shingle": known[hit], "n": total[hit]})
 
