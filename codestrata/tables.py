@@ -52,11 +52,12 @@ def _cleanup() -> None:
             jvm = spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # noqa: BLE001 - the session may be gone; the folder is scratch space
-            if path.startswith("file://") and os.path.isdir(path[7:]):
+        except Exception:  # noqa: BLE001 - the session may be gone before this
+            local = path.removeprefix("file://")
+            if local.startswith("/") and os.path.isdir(local):
                 import shutil
 
-                shutil.rmtree(path[7:], ignore_errors=True)
+                shutil.rmtree(local, ignore_errors=True)
 
 
 def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
