@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import functools
 import math
+import operator
 import re
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
@@ -75,7 +76,11 @@ def _undo_utf8(page: str) -> Callable[[str], str | None]:
         except UnicodeDecodeError:
             return m.group()
 
+    leads = frozenset(c for c, b in of.items() if 0xC2 <= b <= 0xF4)
+
     def undo(word: str) -> str | None:
+        if leads.isdisjoint(word):
+            return None
         out = pattern.sub(fix, word)
         return out if out != word else None
 
@@ -84,8 +89,11 @@ def _undo_utf8(page: str) -> Callable[[str], str | None]:
 
 @functools.cache
 def _undo_wide(page: str) -> Callable[[str], str | None]:
-    """Undo UTF-8 decoded with a multi-byte page, run by run; a run's torn last character is lost."""
+    """Undo UTF-8 decoded with a multi-byte page, run by run; a run's torn last character is lost. Such text always holds ideographs or kana."""
     def undo(word: str) -> str | None:
+        if max(word) < "\u2e80":
+            return None
+
         def fix(m: re.Match) -> str:
             try:
                 raw = m.group().encode(page)
@@ -102,8 +110,15 @@ def _undo_wide(page: str) -> Callable[[str], str | None]:
     return undo
 
 
+@functools.cache
+def _on_page(page: str) -> frozenset[str]:
+    return frozenset(_page(page)) | frozenset(map(chr, range(128)))
+
+
 def _raw(word: str, page: str) -> bytes | None:
     """The bytes of a word on a page, or None if a character is not on it."""
+    if not _on_page(page).issuperset(word):
+        return None
     try:
         return word.encode(page)
     except UnicodeEncodeError:
@@ -178,6 +193,20 @@ def _class(c: str) -> str:
     return c
 
 
+class _Steps(dict):
+    """The log probability of each pair of characters, worked out when first asked for."""
+
+    def __init__(self, model: "CharacterModel"):
+        self.model = model
+
+    def __missing__(self, pair: str) -> float:
+        got = self[pair] = self.model.step(pair[0], pair[1])
+        return got
+
+    def __reduce__(self):
+        return _Steps, (self.model,)
+
+
 class CharacterModel:
     """Pair probabilities of characters in words, smoothed by single ones; counts as collected by the M-step."""
 
@@ -193,29 +222,23 @@ class CharacterModel:
         self.wide: dict[str, float] = defaultdict(float)
         for c, v in self.one.items():
             self.wide[_class(c)] += v
-        self.memo: dict[str, float] = {}
+        self.seen = frozenset(map(chr, range(128))) | {c for c, v in self.single.items() if v > 0 and _class(c) == c} | {c for c, v in self.one.items() if v > 0}
+        self.steps = _Steps(self)
 
-    def known(self, c: str) -> bool:
-        return c <= "\x7f" or (self.one if _class(c) != c else self.single).get(c, 0.0) > 0
+    def knows(self, word: str) -> bool:
+        """Whether each character was seen in correct text."""
+        return self.seen.issuperset(word)
 
     def step(self, a: str, b: str) -> float:
-        key = a + b
-        got = self.memo.get(key)
-        if got is None:
-            x, y = _class(a), _class(b)
-            back = (self.single.get(y, 0.0) + UNSEEN) / self.total
-            got = math.log((self.pair.get(x + y, 0.0) + SMOOTH * back) / (self.first.get(x, 0.0) + SMOOTH))
-            if y != b and b > "\x7f":
-                got += math.log((self.one.get(b, 0.0) + UNSEEN) / (self.wide.get(y, 0.0) + UNSEEN * 20000))
-            self.memo[key] = got
+        x, y = _class(a), _class(b)
+        back = (self.single.get(y, 0.0) + UNSEEN) / self.total
+        got = math.log((self.pair.get(x + y, 0.0) + SMOOTH * back) / (self.first.get(x, 0.0) + SMOOTH))
+        if y != b and b > "\x7f":
+            got += math.log((self.one.get(b, 0.0) + UNSEEN) / (self.wide.get(y, 0.0) + UNSEEN * 20000))
         return got
 
     def score(self, word: str) -> float:
-        s, last = 0.0, " "
-        for c in word:
-            s += self.step(last, c)
-            last = c
-        return s + self.step(last, " ")
+        return sum(map(self.steps.__getitem__, map(operator.add, " " + word, word + " ")))
 
 
 def _count_word(word: str, weight: float, into: dict[str, float]) -> None:
@@ -302,14 +325,14 @@ def _options(word: str, known: Callable[[str], bool] | None = None) -> dict[str,
                 out = raw.decode(true)
             except UnicodeDecodeError:
                 continue
-            if out != word and (known is None or all(map(known, out))) and (control or not _CONTROL.search(out)):
+            if out != word and (known is None or known(out)) and (control or not _CONTROL.search(out)):
                 got.setdefault(out, []).append(name)
     return got
 
 
 def _scored(word: str, model: "CharacterModel") -> tuple[float, list[tuple[list[str], str, float]]]:
     """The log probability of the word as it is, and (chains, restored, log probability) of its options."""
-    options = _options(word, model.known)
+    options = _options(word, model.knows)
     return (model.score(word), [(c, r, model.score(r)) for r, c in options.items()]) if options else (0.0, [])
 
 
@@ -337,7 +360,7 @@ def _weights(source: str, word: str, beliefs: Beliefs | None) -> list[tuple[str,
     if beliefs is None:
         return [(INTACT, word, 1.0)]
     if not beliefs.rates:  # to begin with: valid UTF-8 of known characters hidden in a word is no accident
-        utf8 = [(c, r) for c, r in _utf8_options(word) if len(r) < len(word) and all(map(beliefs.model.known, r))]
+        utf8 = [(c, r) for c, r in _utf8_options(word) if len(r) < len(word) and beliefs.model.knows(r)]
         return [(*min(utf8, key=lambda x: len(x[1])), 1.0)] if utf8 else [(INTACT, word, 1.0)]
     base, options = _scored(word, beliefs.model)
     if not options:
@@ -405,7 +428,7 @@ def judge(text: str | None, source: str, beliefs: Beliefs, memo: dict) -> tuple[
         return None
     skip: set[str] | None = None
     totals: dict[str, float] = defaultdict(float)
-    fixes: dict[str, list[tuple[list[str], str, float]]] = {}
+    fixes: dict[str, tuple[list[tuple[list[str], str, float]], list[tuple[str, float]]]] = {}
     lost = False
     for w in found:
         if "�" in w:
@@ -416,25 +439,24 @@ def judge(text: str | None, source: str, beliefs: Beliefs, memo: dict) -> tuple[
             got = memo.get(w)
             if got is None:
                 base, options = _scored(w, beliefs.model)
-                got = [(c, r, x - base) for c, r, x in options]
+                gains = [(c, r, x - base) for c, r, x in options]
+                got = gains, [(c, math.log(1 - PLACE_RATE + PLACE_RATE * math.exp(min(gain, 500.0)))) for names, _, gain in gains for c in names]
                 if len(memo) > 200_000:
                     memo.clear()
                 memo[w] = got
-            if any(x[2] > 0 for x in got):
+            if any(x[2] > 0 for x in got[0]):
                 skip = quoted(text) if skip is None else skip
                 if w in skip:
-                    got = []
+                    got = [], []
             fixes[w] = got
-        for names, _, gain in got:
-            evidence = math.log(1 - PLACE_RATE + PLACE_RATE * math.exp(min(gain, 500.0)))
-            for c in names:
-                totals[c] += evidence
+        for c, evidence in got[1]:
+            totals[c] += evidence
     odds = {c: t + beliefs.log_rate(source, c) - beliefs.log_rate(source, INTACT) for c, t in totals.items()}
     sure = {c for c, x in odds.items() if x > SURE}
     if not sure and not lost:
         return None
     best = max(sure, key=odds.get) if sure else LOST
-    able = {w: x for w, got in fixes.items() if (x := [(c, r, gain) for names, r, gain in got if gain > 0 for c in names if c in sure])}
+    able = {w: x for w, (got, _) in fixes.items() if (x := [(c, r, gain) for names, r, gain in got if gain > 0 for c in names if c in sure])}
     votes = Counter(max(x, key=lambda o: (o[2], odds[o[0]]))[0] for x in able.values())
     # A word goes by its own evidence and by how many words of the record each chain explains best.
     swap = {w: max(x, key=lambda o: (o[2] + VOTE * math.log(votes[o[0]] + 0.5), odds[o[0]]))[1] for w, x in able.items()}
