@@ -21,7 +21,7 @@ CYCLE = "cycle"
 
 
 def clean_kind(kind: Column) -> Column:
-    return F.lower(F.trim(F.coalesce(kind, F.lit(""))))
+    return F.lower(F.regexp_replace(F.coalesce(kind, F.lit("")), r"^\s+|\s+$", ""))
 
 
 def referenced_name(ref: Column) -> Column:
