@@ -80,6 +80,7 @@ def pair_counts(items: DataFrame, owners: DataFrame, min_together: int = 5, min_
     part of a result, since together <= min(n_a, n_b) means n_a, n_b >= min_together and
     baskets >= min_lift * max(n_a, n_b). An empty input gives an empty result.
     """
+    items = materialize(items, "items-by-basket")  # read twice: for the sizes, and once the baskets are known
     sizes = items.groupBy("basket").agg(F.count("*").alias("size")).where(F.col("size").between(2, max_size)).select("basket")
     baskets = materialize(sizes.join(owners, "basket"), "baskets")
     scopes = baskets.groupBy("scope").agg(F.count("*").alias("baskets"))
