@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from codestrata.operators import files as fl, overview as o, parse, resolution as r, symbols as y
 from codestrata.plans.files import _F, _KIND, _RESOLVED
 from codestrata.plans.registry import query
+from codestrata.plans.structure import _REF
 from codestrata.plans.symbols import _CALLABLE, _CALLS, _INHERIT, _S, _TYPE
 from codestrata.tables import materialize, read
 
@@ -21,10 +22,17 @@ c AS (SELECT DISTINCT project, file_id, s.sid, unnest(regexp_extract_all(signatu
 l AS (SELECT file_id, name, min(sid) x FROM t GROUP BY 1, 2), u AS (SELECT project, name, min(sid) x FROM t GROUP BY 1, 2 HAVING count(*) = 1)
 SELECT DISTINCT c.project, c.sid src, coalesce(l.x, u.x) dst FROM c LEFT JOIN l ON l.file_id = c.file_id AND l.name = c.ref LEFT JOIN u ON u.project = c.project AND u.name = c.ref WHERE coalesce(l.x, u.x) IS NOT NULL""")(
     lambda s, d: r.type_usage(read(s, d, "symbols")))
-query("e_interface_candidates")(lambda s, d: r.interface_candidates(read(s, d, "symbols"), _edges(s, d)))
+query("e_interface_candidates", _F + f""", {_RESOLVED}, {_S}, ty AS (SELECT * FROM s WHERE {_TYPE}), bs AS (SELECT project, name, min(file) target FROM ty GROUP BY 1, 2 HAVING count(DISTINCT file) = 1),
+rf0 AS (SELECT project, file source, unnest(bases) ref FROM ty), rf AS (SELECT DISTINCT project, source, {_REF.format('ref')} AS name FROM rf0)
+SELECT DISTINCT rf.project, source, target, 'interface' signal, CAST(0.85 AS DOUBLE) confidence FROM rf JOIN bs ON bs.project = rf.project AND bs.name = rf.name WHERE source <> target
+AND NOT EXISTS (SELECT 1 FROM ie WHERE ie.project = rf.project AND ie.s = source AND ie.t = target)""")(lambda s, d: r.interface_candidates(read(s, d, "symbols"), _edges(s, d)))
 query("e_shared_file_candidates")(lambda s, d: r.shared_file_candidates(read(s, d, "files"), read(s, d, "source_texts")))
 query("e_process_candidates")(lambda s, d: r.process_candidates(read(s, d, "files"), read(s, d, "source_texts")))
-query("e_unreached")(lambda s, d: r.unreached(read(s, d, "files"), _edges(s, d)))
+query("e_unreached", _F + f""", {_RESOLVED}, c AS (SELECT DISTINCT project, path, ext, regexp_extract(path, '^(.*/)?[^/]*$', 1) folder, regexp_extract(path, '([^/]+?)(?:\\.[^./]*)?$', 1) stem FROM f WHERE {_KIND} NOT IN {fl.NON_CODE}),
+pk AS (SELECT project, folder, ext FROM c WHERE ext IN ('.go', '.java', '.kt', '.swift') GROUP BY 1, 2, 3 HAVING count(*) > 1), hd AS (SELECT DISTINCT c.project, folder, stem FROM c JOIN ie ON ie.project = c.project AND ie.t = c.path WHERE ext IN ('.h', '.hpp', '.hh', '.hxx'))
+SELECT c.project, c.path, CASE WHEN EXISTS (SELECT 1 FROM ie WHERE ie.project = c.project AND ie.s = c.path) THEN 'entry' ELSE 'isolated' END AS role FROM c
+WHERE NOT EXISTS (SELECT 1 FROM ie WHERE ie.project = c.project AND ie.t = c.path) AND NOT EXISTS (SELECT 1 FROM pk WHERE pk.project = c.project AND pk.folder = c.folder AND pk.ext = c.ext)
+AND NOT (coalesce(c.ext, '') IN ('.c', '.cpp', '.cc', '.cxx') AND EXISTS (SELECT 1 FROM hd WHERE hd.project = c.project AND hd.folder = c.folder AND hd.stem = c.stem))""")(lambda s, d: r.unreached(read(s, d, "files"), _edges(s, d)))
 _SYSTEM = " ".join(f"WHEN lower(callee) IN ({', '.join(repr(n) for n in names.split())}) THEN 'system:{c}'" for c, names in r.SYSTEM.items())
 _LEADS = f"""h AS (SELECT DISTINCT file_id, name FROM s WHERE {_CALLABLE}), p AS (SELECT project, name, count(DISTINCT file_id) places FROM s WHERE {_CALLABLE} GROUP BY 1, 2),
 cf AS (SELECT cl.project, cl.file_id, cl.sid, cl.callee, CASE WHEN h.name IS NOT NULL THEN 'internal' WHEN places = 1 THEN 'external' WHEN places > 1 THEN 'ambiguous' {_SYSTEM} ELSE 'unknown' END leads_to
@@ -42,7 +50,10 @@ _USAGE = lambda s, d: r.type_usage(read(s, d, "symbols"))
 query("e_file_symbol_graph")(lambda s, d: r.file_symbol_graph(_USAGE(s, d), read(s, d, "symbols")))
 query("e_neighbours", f"""WITH {_S}, {_INHERIT}, n AS (SELECT src, dst, count(*) edges FROM (SELECT DISTINCT * FROM i) GROUP BY 1, 2), b AS (SELECT src sid, 'out' direction, dst other, edges FROM n UNION ALL SELECT dst, 'in', src, edges FROM n)
 SELECT *, row_number() OVER (PARTITION BY sid, direction ORDER BY edges DESC, other) AS rank FROM b QUALIFY rank <= 80""")(lambda s, d: r.neighbours(y.inheritance(read(s, d, "symbols"))))
-query("o_project")(lambda s, d: o.project_overview(read(s, d, "files"), _edges(s, d)))
+query("o_project", _F + f""", {_RESOLVED}, m AS (SELECT project, count(DISTINCT module) modules, count(*) files FROM f GROUP BY 1), cr AS (SELECT project, count(*) n FROM ie WHERE split_part(s, '/', 1) <> split_part(t, '/', 1) GROUP BY 1),
+en AS (SELECT DISTINCT project, path FROM f WHERE {_KIND} NOT IN {fl.NON_CODE} AND EXISTS (SELECT 1 FROM ie WHERE ie.project = f.project AND ie.s = f.path) AND NOT EXISTS (SELECT 1 FROM ie WHERE ie.project = f.project AND ie.t = f.path)),
+ne AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY path) nth FROM en), e AS (SELECT project, count(*) n, string_agg(path, ', ' ORDER BY path) FILTER (nth <= 10) entries FROM ne GROUP BY 1)
+SELECT m.*, coalesce(cr.n, 0) cross_edges, coalesce(e.n, 0) n_entries, coalesce(entries, '') entries FROM m LEFT JOIN cr ON cr.project = m.project LEFT JOIN e ON e.project = m.project""")(lambda s, d: o.project_overview(read(s, d, "files"), _edges(s, d)))
 query("o_module", _F + f""", {_RESOLVED}, e AS (SELECT project, CASE WHEN contains(s, '/') THEN split_part(s, '/', 1) ELSE '_root' END a, CASE WHEN contains(t, '/') THEN split_part(t, '/', 1) ELSE '_root' END b FROM ie),
 m AS (SELECT project, module, count(*) FILTER ({_KIND} NOT IN ('binary', 'other')) file_count, CAST(coalesce(sum(func_count) FILTER ({_KIND} NOT IN ('binary', 'other')), 0) AS BIGINT) func_count, count(*) FILTER ({_KIND} IN ('binary', 'other')) other_count FROM f GROUP BY 1, 2),
 c AS (SELECT *, (row_number() OVER (PARTITION BY project ORDER BY module) - 1) % 15 colour FROM m)
