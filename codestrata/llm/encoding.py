@@ -10,6 +10,7 @@ one record is thus pooled over all records of its source. A record is then judge
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 import operator
 import re
@@ -417,17 +418,35 @@ def learn(texts: DataFrame) -> Beliefs:
     return beliefs
 
 
+def places(evidence: list[float], need: float) -> list[tuple[int, int, float]]:
+    """(first, last, sum) of the stretches whose evidence adds up to more than ``need``: each from where the sum rises from 0 to its peak, until it falls by ``need`` again."""
+    found = []
+    start = end = 0
+    total = peak = 0.0
+    for at, e in enumerate(evidence):
+        total += e
+        if total > peak:
+            peak, end = total, at
+        elif total <= 0 or peak - total >= need:
+            if peak > need:
+                found.append((start, end, peak))
+            start, total, peak = at + 1, 0.0, 0.0
+    return [*found, (start, end, peak)] if peak > need else found
+
+
 def judge(text: str | None, source: str, beliefs: Beliefs, memo: dict) -> tuple[str, float, str] | None:
     """(chain, log odds, restored text) if the record is garbled, else None. ``memo`` keeps what words were found to be under these beliefs.
 
-    For each chain the evidence of all words is added up, each word being a mixture of garbled and intact. Words that are only quoted
-    give no evidence and stay as they are.
+    For each chain the evidence of all words is added up, each word being a mixture of garbled and intact. A chain also counts if the evidence of
+    one stretch of words is enough, wherever it starts, so that a garbled place shows in a text that is correct elsewhere; then only such
+    stretches are repaired along it. Words that are only quoted give no evidence and stay as they are.
     """
     found = words(text)
     if not found:
         return None
     skip: set[str] | None = None
     totals: dict[str, float] = defaultdict(float)
+    rises: dict[str, float] = defaultdict(float)
     fixes: dict[str, tuple[list[tuple[list[str], str, float]], list[tuple[str, float]]]] = {}
     lost = False
     for w in found:
@@ -451,16 +470,37 @@ def judge(text: str | None, source: str, beliefs: Beliefs, memo: dict) -> tuple[
             fixes[w] = got
         for c, evidence in got[1]:
             totals[c] += evidence
-    odds = {c: t + beliefs.log_rate(source, c) - beliefs.log_rate(source, INTACT) for c, t in totals.items()}
-    sure = {c for c, x in odds.items() if x > SURE}
+            if evidence > 0:
+                rises[c] += evidence
+    rate = {c: beliefs.log_rate(source, c) - beliefs.log_rate(source, INTACT) for c in totals}
+    odds = {c: t + rate[c] for c, t in totals.items()}
+    whole = {c for c, x in odds.items() if x > SURE}
+    # A stretch may start at any word, which its odds have to make up for.
+    anywhere = math.log(len(found))
+    local: dict[str, list[tuple[int, int, float]]] = {}
+    for c, up in rises.items():
+        need = SURE + anywhere - rate[c]
+        if c not in whole and up > need and (spans := places([dict(fixes[w][1]).get(c, 0.0) for w in found], need)):
+            local[c] = spans
+            odds[c] = max(x for _, _, x in spans) + rate[c] - anywhere
+    sure = whole | local.keys()
     if not sure and not lost:
         return None
     best = max(sure, key=odds.get) if sure else LOST
     able = {w: x for w, (got, _) in fixes.items() if (x := [(c, r, gain) for names, r, gain in got if gain > 0 for c in names if c in sure])}
     votes = Counter(max(x, key=lambda o: (o[2], odds[o[0]]))[0] for x in able.values())
     # A word goes by its own evidence and by how many words of the record each chain explains best.
-    swap = {w: max(x, key=lambda o: (o[2] + VOTE * math.log(votes[o[0]] + 0.5), odds[o[0]]))[1] for w, x in able.items()}
-    restored = re.sub(r"[^ \t\r\n]+", lambda m: swap.get(m.group(), m.group()), text) if swap else text
+    ranked = {w: sorted(x, key=lambda o: (o[2] + VOTE * math.log(votes[o[0]] + 0.5), odds[o[0]]), reverse=True) for w, x in able.items()}
+    nth = itertools.count()
+
+    def repaired(m: re.Match) -> str:
+        w = m.group()
+        if w.isascii():
+            return w
+        at = next(nth)
+        return next((r for c, r, _ in ranked.get(w, ()) if c in whole or any(a <= at <= b for a, b, _ in local[c])), w)
+
+    restored = re.sub(r"[^ \t\r\n]+", repaired, text) if ranked else text
     return best, odds.get(best, 0.0), restored
 
 

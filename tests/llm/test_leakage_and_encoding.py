@@ -73,6 +73,21 @@ def test_garbled_texts_are_found_and_restored(spark):
     assert encoding.garbled(df.limit(0)).count() == 0
 
 
+def test_one_garbled_place_shows_in_a_long_text(spark):
+    rng = random.Random(5)
+    russian = ["Функция вызывается только из тестов, её можно удалить без последствий.", "Модуль читает настройки при запуске и хранит их до конца работы.", "Большие файлы загружаются частями, чтобы память не росла."]
+    docs = [(i, " ".join(rng.choice(russian) for _ in range(rng.randrange(2, 90))), "a") for i in range(200)]
+    text = " ".join(russian * 30)
+    half = len(text) // 2
+    at = text.index(russian[1], half)
+    bad = text[:at] + russian[1].encode("koi8_r").decode("cp1251") + text[at + len(russian[1]) :]
+    docs += [(900, bad, "a"), (901, text, "a"), (902, bad + " " + bad, "a")]
+    got = {r["doc_id"]: r for r in encoding.garbled(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()}
+    assert set(got) == {900, 902} and got[900]["chain"] == "koi8_r>cp1251"
+    assert got[900]["restored"] == text and got[902]["restored"] == text + " " + text
+    assert encoding.places([1, -1, -1, 9, -1, 8, -20, 12, -3], 10) == [(3, 5, 16), (7, 7, 12)]
+
+
 def test_chains_undo_what_they_name():
     for text in ("größtenteils", "l’été"):
         for page in ("latin-1", "mac_roman", "cp437", "cp850"):
