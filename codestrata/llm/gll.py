@@ -10,6 +10,7 @@ over, and yields the functions that are whole in a broken file.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -50,7 +51,7 @@ class Grammar:
                     self.owner.append((nonterminal, nth))
 
 
-STEPS_A_TOKEN = 100  # derivation steps a token of a broken file, beyond which closers are only counted
+STEPS_A_TOKEN = 100  # derivation steps a token of a broken file, beyond which closers are matched by their indents
 
 _ANY = DOC + HEAD + OPEN
 _BASE = {
@@ -60,10 +61,11 @@ _BASE = {
     "Block": [([OPEN, "Items", "End"], OPEN)],
 }
 PLAIN = Grammar({"Unit": [(["Items", EOF], _ANY + EOF)], "End": [([CLOSE], CLOSE)], **_BASE})
-#: A block may end without its closer before anything that stands no deeper than its opener; closers of nothing are passed over.
+#: A block may end without its closer before anything that stands no deeper than its opener; closers of nothing are passed over. Its items recur on the
+#: left, so that the places where they may end are kept once a block and not once a sibling.
 BROKEN = Grammar({
     **_BASE, "Unit": [(["Tops", EOF], _ANY + CLOSE + EOF)], "Tops": [(["Item", "Tops"], _ANY), ([CLOSE, "Tops"], CLOSE), ([], EOF)],
-    "Items": [(["Item", "Items"], _ANY), ([], _ANY + CLOSE + EOF)], "End": [([CLOSE], CLOSE), ([], _ANY + CLOSE + EOF)]})
+    "Items": [(["Items", "Item"], _ANY), ([], _ANY + CLOSE + EOF)], "End": [([CLOSE], CLOSE), ([], _ANY + CLOSE + EOF)]})
 
 
 class TooAmbiguous(Exception):
@@ -237,17 +239,45 @@ def tokens(text: str, ext: str | None) -> list[Token]:
     return python_tokens(text) if ext in PYTHON_LIKE else ruby_tokens(text) if ext in RUBY_LIKE else brace_tokens(text)
 
 
-def matched(kinds: str) -> dict[tuple[str, int], list[int]]:
-    """The functions whose closer is found by counting alone; for files broken in so many places that the parser would weigh them all."""
-    stack, out = [], {}
-    for at, kind in enumerate(kinds):
+def matched(kinds: str, indents: list[int]) -> tuple[dict[tuple[str, int], list[int]], set[int]]:
+    """The extents of all functions, and the starts of those without a closer, in one pass; for files that the parser would take too many steps for.
+
+    A closer belongs to the innermost open block of its indent, or to the innermost one if none has it. Blocks passed over, or still open at the
+    end, reach to the next token that stands no deeper than their opener.
+    """
+    stack: list[int] = []
+    held: Counter = Counter()
+    out: dict[tuple[str, int], list[int]] = {}
+    unclosed: set[int] = set()
+    deeper: list[int] = []
+    reach = [len(kinds) - 1] * len(kinds)
+    for at, indent in enumerate(indents):
+        while deeper and indents[deeper[-1]] >= indent:
+            reach[deeper.pop()] = at
+        deeper.append(at)
+
+    def leave(end: int) -> None:
+        start = stack.pop()
+        held[indents[start]] -= 1
+        if kinds[start] == HEAD:
+            unclosed.add(start)
+            out["Function", start] = [min(reach[start], end)]
+
+    for at, kind in enumerate(kinds[:-1]):
         if kind in (HEAD, OPEN):
             stack.append(at)
+            held[indents[at]] += 1
         elif kind == CLOSE and stack:
+            if held[indents[at]]:
+                while indents[stack[-1]] != indents[at]:
+                    leave(at)
             start = stack.pop()
+            held[indents[start]] -= 1
             if kinds[start] == HEAD:
                 out["Function", start] = [at + 1]
-    return out
+    while stack:
+        leave(len(kinds) - 1)
+    return out, unclosed
 
 
 def functions(text: str, ext: str | None) -> list[Function]:
@@ -255,12 +285,13 @@ def functions(text: str, ext: str | None) -> list[Function]:
     found = tokens(text, ext)
     kinds = "".join(t.kind for t in found) + EOF
     extents = parse(PLAIN, kinds)
+    unclosed: set[int] = set()
     if extents is None:
         found_indent = [t.indent for t in found] + [-1]
         try:
             extents = parse(BROKEN, kinds, lambda start, at: found_indent[at] <= found_indent[start], most_steps=STEPS_A_TOKEN * len(kinds)) or {}
         except TooAmbiguous:
-            extents = matched(kinds)
+            extents, unclosed = matched(kinds, found_indent)
     out = []
     for (_, start), ends in sorted(extents.items(), key=lambda x: x[0][1]):
         head = found[start]
@@ -277,12 +308,13 @@ def functions(text: str, ext: str | None) -> list[Function]:
             first -= 1
         if first + 1 < start:
             doc = (found[first + 1].start, found[start - 1].end)
-        if closer.kind != CLOSE:  # it is missing: the function reaches to what comes next
-            stop = len(text[: found[end].start if end < len(found) else len(text)].rstrip())
+        whole = closer.kind == CLOSE and start not in unclosed
+        if not whole:  # it is missing: the function reaches to what comes next
+            stop = max(head.end, len(text[: found[end].start if end < len(found) else len(text)].rstrip()))  # heads of one line all start with it
         elif closer.end > closer.start:
             stop = text.find("\n", closer.end)
             stop = len(text) if stop < 0 else stop
         else:
             stop = closer.end
-        out.append(Function(head.name, head.start, stop, doc, closer.kind == CLOSE))
+        out.append(Function(head.name, head.start, stop, doc, whole))
     return out

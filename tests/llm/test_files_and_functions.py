@@ -51,6 +51,16 @@ def test_described(doc, want):
     assert docpairs.describe(doc, "f") == want
 
 
+def test_a_missing_closer_costs_no_function_in_a_large_file():
+    one = "void cut(int a) {\n  x();\n" + "".join(f"void f{i}(int a) {{\n  x();\n}}\n" for i in range(2000))
+    got = gll.functions(one, ".c")
+    assert [g.name for g in got] == ["cut", *(f"f{i}" for i in range(2000))] and all(g.whole for g in got[1:])
+    assert all(one[g.start : g.end] == f"void {g.name}(int a) {{\n  x();\n}}" for g in got[1:])
+    many = "".join(f"void f{i}(int a) {{\n  x();\n" for i in range(3000))
+    assert [(g.name, g.whole) for g in gll.functions(many, ".c")] == [(f"f{i}", False) for i in range(3000)]
+    assert gll.matched("HHOCHC$", [0, 2, 4, 4, 2, 0, -1]) == ({("Function", 4): [5], ("Function", 1): [4], ("Function", 0): [6]}, {1, 4})
+
+
 def test_pairs(spark):
     text = "# h\ndef keep(a):\n    return a\n\ndef drop(a):\n    return a\n"
     s = [("s1", "p", 1, "keep", " Function", 2, 3, "Blocks until it drains.", "a.py"), ("s1", "p", 1, "keep", " Function", 2, 3, "Blocks until it drains.", "a.py"), ("s2", "p", 1, "drop", "def", 5, 6, "TODO", "a.py"), ("s3", "p", 1, "K", "class", 1, 1, "Real words stay out.", "a.py"),
