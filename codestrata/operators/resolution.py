@@ -14,6 +14,7 @@ from codestrata.operators.symbols import known_symbols
 
 # The kind of each type of edge.
 EDGE_KINDS = {"import": "include sources package library elink cif_own component depex guid_ref str_ref asl_include callback_ref hii_pkg import asset_ref config_ref schema_ref resource_hint", "call": "call", "inherit": "inherit", "inferred": "inferred"}
+NAME_PARTS = 16  # of the writers of one data file, each paired with all of its readers
 # System functions by category, for calls that leave the project.
 SYSTEM = {"io": "open read write close print printf fprintf puts gets fopen fclose readline log", "memory": "malloc free calloc realloc memcpy memset memmove alloc dealloc", "string": "strlen strcpy strcat strcmp format replace split join trim",
           "time": "sleep time now clock delay wait", "process": "exec spawn fork system exit abort run", "network": "connect listen bind accept send recv fetch request", "math": "abs sqrt pow floor ceil round min max"}
@@ -67,7 +68,8 @@ def interface_candidates(symbols: DataFrame, edges: DataFrame) -> DataFrame:
 def shared_file_candidates(files: DataFrame, texts: DataFrame) -> DataFrame:
     """(project, source, target, signal, confidence): files that write a data file another reads, by its name in a literal.
 
-    Writers and readers meet by an equality join on the data file's name; names touched by more than 20 files say nothing and are passed over.
+    Every writer meets every reader by an equality join on the data file's name. A name's writers are in parts, so that no single task pairs all files
+    of a name that many touch.
     """
     literal = r"[\"']([\w./-]+\.(?:csv|json|txt|dat|db|parquet|log|yaml|xml))[\"']"
     src = known_files(files).select("file_id", "project", "path").distinct().join(texts.where("text IS NOT NULL"), "file_id")
@@ -76,8 +78,9 @@ def shared_file_candidates(files: DataFrame, texts: DataFrame) -> DataFrame:
     base = lambda c: F.regexp_extract(c, r"([^/]+)$", 1)
     w = rows.select("project", F.col("path").alias("source"), F.explode("w").alias("f")).select("project", "source", base("f").alias("name")).distinct()
     r = rows.select("project", F.col("path").alias("target"), F.explode("r").alias("f")).select("project", "target", base("f").alias("name")).distinct()
-    few = w.unionByName(r.withColumnRenamed("target", "source")).groupBy("project", "name").agg(F.count("*").alias("n")).where("n <= 20").select("project", "name")
-    return w.join(few, ["project", "name"]).join(r, ["project", "name"]).where("source <> target").select("project", "source", "target").distinct().withColumns({"signal": F.lit("shared_file"), "confidence": F.lit(0.65)})
+    w = w.withColumn("part", F.pmod(F.xxhash64("source"), F.lit(NAME_PARTS)))
+    r = r.withColumn("part", F.explode(F.array(*[F.lit(i).cast("long") for i in range(NAME_PARTS)])))
+    return w.join(r, ["project", "name", "part"]).where("source <> target").select("project", "source", "target").distinct().withColumns({"signal": F.lit("shared_file"), "confidence": F.lit(0.65)})
 
 
 def process_candidates(files: DataFrame, texts: DataFrame) -> DataFrame:

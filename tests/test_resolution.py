@@ -18,6 +18,14 @@ def test_hints_and_candidates(spark):
     assert r.hint_edges(parse.parse_files(f.limit(0), x), f).count() == 0
 
 
+def test_a_data_file_that_many_touch_keeps_its_pairs(spark):
+    f = files(spark, *[f"w{i}.py" for i in range(15)], *[f"r{i}.py" for i in range(15)])
+    x = spark.createDataFrame([(i, "open('a/config.json', 'w')" if i <= 15 else "open('config.json')") for i in range(1, 31)], "file_id long, text string")
+    want = {(f"w{i}.py", f"r{j}.py") for i in range(15) for j in range(15)}
+    got = rows(r.shared_file_candidates(f, x), "source", "target")
+    assert len(got) == len(set(got)) and want <= set(got) and {s for s, _ in got} == {s for s, _ in want}
+
+
 def test_symbols_and_calls(spark):
     s = spark.createDataFrame([
         ("k1", "p", 1, "a.py", "Base", "class", 1, 2, None, None, True, None, "d", None), ("k2", "p", 2, "b.py", "Kid", "class", 1, 6, ["Base"], None, True, None, None, None),
