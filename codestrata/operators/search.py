@@ -79,23 +79,23 @@ def keyword_scores(modules: DataFrame, terms: list[str], top: int = 8) -> DataFr
 
 
 def seeds(questions: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(question_id, sid, strength) for questions(question_id, project, question): symbols named by a token, strong tokens exactly or as a prefix, weak ones exactly."""
+    """(question_id, project, sid, strength) for questions(question_id, project, question): symbols named by a token, strong tokens exactly or as a prefix, weak ones exactly."""
     tokens = questions.select("question_id", "project", F.explode(t.query_tokens(F.col("question"))).alias("token"))
     names = symbols.where("name IS NOT NULL").select("project", "sid", F.lower("name").alias("token"), "name").distinct()
-    exact = tokens.join(names, ["project", "token"]).select("question_id", "sid", F.when(t.is_strong(F.col("name")), 2).otherwise(1).alias("strength"))
+    exact = tokens.join(names, ["project", "token"]).select("question_id", "project", "sid", F.when(t.is_strong(F.col("name")), 2).otherwise(1).alias("strength"))
     parts = names.select("project", "sid", F.explode(F.array_distinct(F.split(t.snake(F.col("name")), "_"))).alias("token")).where(F.length("token") >= 4)
-    partly = tokens.join(parts, ["project", "token"]).select("question_id", "sid", F.lit(0).alias("strength"))
-    return exact.unionByName(partly).groupBy("question_id", "sid").agg(F.max("strength").alias("strength"))
+    partly = tokens.join(parts, ["project", "token"]).select("question_id", "project", "sid", F.lit(0).alias("strength"))
+    return exact.unionByName(partly).groupBy("question_id", "project", "sid").agg(F.max("strength").alias("strength"))
 
 
 def context(questions: DataFrame, symbols: DataFrame, edges: DataFrame, cap: int = 12) -> DataFrame:
-    """The symbols that answer each question: its seeds and their neighbours in ``edges(src, dst)``, ``cap`` of them by strength and links (a bounded context)."""
+    """The symbols that answer each question in each project it is put to: its seeds and their neighbours in ``edges(src, dst)``, ``cap`` of them by strength and links (a bounded context)."""
     s = seeds(questions, symbols)
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    near = s.join(both, s["sid"] == both["src"]).select("question_id", F.col("dst").alias("sid"), (F.col("strength") - 1).alias("strength"))
+    near = s.join(both, s["sid"] == both["src"]).select("question_id", "project", F.col("dst").alias("sid"), (F.col("strength") - 1).alias("strength"))
     degree = both.groupBy(F.col("src").alias("sid")).agg(F.count("*").alias("links"))
-    rows = s.unionByName(near).groupBy("question_id", "sid").agg(F.max("strength").alias("strength")).join(degree, "sid", "left").na.fill(0, ["links"])
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("strength"), F.desc("links"), "sid"))).where(F.col("rank") <= cap)
+    rows = s.unionByName(near).groupBy("question_id", "project", "sid").agg(F.max("strength").alias("strength")).join(degree, "sid", "left").na.fill(0, ["links"])
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("question_id", "project").orderBy(F.desc("strength"), F.desc("links"), "sid"))).where(F.col("rank") <= cap)
 
 
 def trim_history(messages: DataFrame, newest: int = 8, chars: int = 12000) -> DataFrame:

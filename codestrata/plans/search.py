@@ -56,10 +56,10 @@ def t_keyword_scores(s, d):
 
 @query("t_context")
 def t_context(s, d):
-    """The eval items taken as questions to the project whose name sorts first."""
+    """The eval items taken as questions to every project."""
     sym = read(s, d, "symbols")
-    first = sym.agg(F.min("project")).first()[0]
-    questions = read(s, d, "eval_items").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"), F.lit(first).alias("project"))
+    projects = sym.where("project IS NOT NULL").select("project").distinct()
+    questions = read(s, d, "eval_items").select(F.col("item_id").alias("question_id"), F.col("text").alias("question")).crossJoin(projects)
     return search.context(questions, sym, symbols.call_edges(sym, read(s, d, "source_texts")).select("src", "dst"))
 
 

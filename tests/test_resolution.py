@@ -59,3 +59,14 @@ def test_answer_cache(spark):
     assert o.cached_answers(q, c, spark.createDataFrame([("p", "a", "2")], "project string, path string, sha string")).first()["answer"] == "new"
     assert o.cached_answers(q, c, spark.createDataFrame([("p", "a", "3")], "project string, path string, sha string")).count() == 0
     assert rows(o.save_answers(c, spark.createDataFrame([("p", "z", "x", 9, None)], schema), keep=2), "answer") == [("newest",), ("x",)]
+
+
+def test_context_asks_every_project(spark, tmp_path):
+    from codestrata.plans.search import t_context
+
+    s = [(f"{p}{i}", p, n, "a.py", "job_queue", "function", 1, 2, None, None, True, None, None, None) for n, p in enumerate("pqr", 1) for i in range(14)]
+    spark.createDataFrame(s, SYMBOLS).write.parquet(f"{tmp_path}/symbols.parquet")
+    spark.createDataFrame([(1, "Where is job_queue?"), (2, "nothing")], "item_id long, text string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    spark.createDataFrame([(n, "x") for n in (1, 2, 3)], "file_id long, text string").write.parquet(f"{tmp_path}/source_texts.parquet")
+    got = rows(t_context(spark, str(tmp_path)), "question_id", "project", "rank")
+    assert sorted(got) == [(1, p, k) for p in "pqr" for k in range(1, 13)]
