@@ -56,12 +56,13 @@ def type_usage(symbols: DataFrame) -> DataFrame:
 
 
 def interface_candidates(symbols: DataFrame, edges: DataFrame) -> DataFrame:
-    """(project, source, target, signal, confidence): types whose base is defined in a file that theirs does not import, by edges(project, s, t)."""
+    """(project, source, target, signal, confidence): types whose base theirs does not define, with each file that does and that theirs does not import, by edges(project, s, t)."""
     s = known_symbols(symbols).where(F.col("kind").isin(*TYPE_KINDS))
-    base = s.groupBy("project", F.col("name").alias("base")).agg(F.min("file").alias("target"), F.countDistinct("file").alias("n")).where("n = 1").drop("n")
+    base = s.select("project", F.col("name").alias("base"), F.col("file").alias("target")).distinct()
     refs = s.select("project", F.col("file").alias("source"), F.explode("bases").alias("ref")).select("project", "source", referenced_name(F.col("ref")).alias("base")).distinct()
     stated = edges.select("project", F.col("s").alias("source"), F.col("t").alias("target")).distinct()
-    return (refs.join(base, ["project", "base"]).where("source <> target").select("project", "source", "target").distinct().join(stated, ["project", "source", "target"], "left_anti")
+    refs = refs.join(base.withColumnRenamed("target", "source"), ["project", "base", "source"], "left_anti")
+    return (refs.join(base, ["project", "base"]).select("project", "source", "target").distinct().join(stated, ["project", "source", "target"], "left_anti")
             .withColumns({"signal": F.lit("interface"), "confidence": F.lit(0.85)}))
 
 

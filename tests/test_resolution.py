@@ -26,6 +26,13 @@ def test_a_data_file_that_many_touch_keeps_its_pairs(spark):
     assert len(got) == len(set(got)) and want <= set(got) and {s for s, _ in got} == {s for s, _ in want}
 
 
+def test_a_base_defined_twice_gives_both_files(spark):
+    s = spark.createDataFrame([(f"k{i}", "p", i, f, n, "class", 1, 2, b, None, True, None, None, None) for i, (f, n, b) in enumerate(
+        [("a.py", "Base", None), ("b.py", "Base", None), ("c.py", "Kid", ["Base"]), ("d.py", "Base", None), ("d.py", "Own", ["Base"])])], SYMBOLS)
+    edges = spark.createDataFrame([("p", "c.py", "b.py")], "project string, s string, t string")
+    assert rows(r.interface_candidates(s, edges), "source", "target") == [("c.py", "a.py"), ("c.py", "d.py")]
+
+
 def test_symbols_and_calls(spark):
     s = spark.createDataFrame([
         ("k1", "p", 1, "a.py", "Base", "class", 1, 2, None, None, True, None, "d", None), ("k2", "p", 2, "b.py", "Kid", "class", 1, 6, ["Base"], None, True, None, None, None),
