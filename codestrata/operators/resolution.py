@@ -85,10 +85,13 @@ def shared_file_candidates(files: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def process_candidates(files: DataFrame, texts: DataFrame) -> DataFrame:
-    """(project, source, target, signal, confidence): files that start another by its name, where only one file of the project bears it."""
-    pattern = r"(?:subprocess|Popen|spawn|exec|system|fork)\w*[^\n]{0,200}?[\"']([\w./-]+\.(?:py|js|sh|rb|exe|jar))[\"']"
+    """(project, source, target, signal, confidence): files that name another within 200 characters from a word that starts processes, where only one file of the project bears it."""
+    spawn = r"(?=(?:subprocess|Popen|spawn|exec|system|fork))(?=([\s\S]{1,200}))"  # windows may overlap
+    literal = r"[\"']([\w./-]+\.(?:py|js|sh|rb|exe|jar))[\"']"
     src = known_files(files).select("file_id", "project", "path").distinct()
-    refs = src.join(texts.where("text IS NOT NULL"), "file_id").select("project", F.col("path").alias("source"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)))).alias("f"))
+    windows = F.regexp_extract_all("text", F.lit(spawn), F.lit(1))
+    named = F.array_distinct(F.flatten(F.transform(windows, lambda w: F.regexp_extract_all(w, F.lit(literal), F.lit(1)))))
+    refs = src.join(texts.where("text IS NOT NULL"), "file_id").select("project", F.col("path").alias("source"), F.explode(named).alias("f"))
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     only = src.groupBy("project", name.alias("name")).agg(F.min("path").alias("target"), F.count("*").alias("n")).where("n = 1").drop("n")
     return (refs.withColumn("name", F.regexp_extract("f", r"([^/]+)$", 1)).join(only, ["project", "name"]).where("source <> target").select("project", "source", "target").distinct()

@@ -33,6 +33,12 @@ def test_a_base_defined_twice_gives_both_files(spark):
     assert rows(r.interface_candidates(s, edges), "source", "target") == [("c.py", "a.py"), ("c.py", "d.py")]
 
 
+def test_calls_over_several_lines_keep_all_scripts(spark):
+    f = files(spark, "go.py", "a.py", "b.sh", "far.py")
+    x = spark.createDataFrame([(1, "subprocess.run(\n  ['python',\n   'a.py', 'b.sh'])\n" + "#" * 200 + "'far.py'")], "file_id long, text string")
+    assert rows(r.process_candidates(f, x), "target") == [("a.py",), ("b.sh",)]
+
+
 def test_symbols_and_calls(spark):
     s = spark.createDataFrame([
         ("k1", "p", 1, "a.py", "Base", "class", 1, 2, None, None, True, None, "d", None), ("k2", "p", 2, "b.py", "Kid", "class", 1, 6, ["Base"], None, True, None, None, None),
