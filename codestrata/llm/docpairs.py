@@ -1,12 +1,13 @@
 """Functions paired with their documentation, without those whose documentation says nothing.
 
-Source files are parsed by :mod:`codestrata.llm.gll`, which also finds the functions of broken files. A callable's documentation is
-cleaned of markers, markup, tags and directives; what is left must have wording of its own, beyond placeholders, pointers elsewhere and
+Source files are parsed by :mod:`codestrata.llm.gll`, which also finds the functions of broken files; a pair exists only for a function
+that the parser found. A callable's documentation is cleaned of markers, markup, tags and directives; what is left must have wording of its own, beyond placeholders, pointers elsewhere and
 the words of the callable's name. Descriptions repeated all over the corpus are templates and dropped by hash counts.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -21,8 +22,6 @@ from codestrata.tables import materialize, spread
 CALLABLE_KINDS = ("function", "method", "constructor", "func", "def", "fn")
 TEMPLATE_SHARE = 0.0005  # of all documented callables that a description must have to be a template
 TEMPLATE_LEAST = 20
-TEMPLATE_WORDS = 8  # longer descriptions are never templates
-LINES = 2000  # lines of a file whose callables are handled together
 
 # Words that say nothing of a function's own.
 FILLER = frozenset("""a an the of to for in on at by with from into and or is are be was it its this that these those which as given via
@@ -159,11 +158,9 @@ def describe(doc: str | None, name: str | None) -> str | None:
     return text if lines and own_words(lines, name) else None
 
 
-def template_key(description: str, name: str | None) -> int | None:
-    """A hash of a short description with the words of the name blanked, for counting; None for a long one."""
+def template_key(description: str, name: str | None) -> int:
+    """A hash of a description with the words of the name blanked, for counting."""
     words = _WORD.findall(description.lower())
-    if len(words) > TEMPLATE_WORDS:
-        return None
     known = name_stems(name)
     return xxhash.xxh3_64_intdigest(" ".join("*" if w in known or stem(w) in known else w for w in words)) - (1 << 63)
 
@@ -173,8 +170,8 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = b.column("name").to_pylist()
         found = [describe(d, n) for d, n in zip(b.column("doc").to_pylist(), names)]
         keys = [template_key(d, n) if d else None for d, n in zip(found, names)]
-        columns = [b.column(c) for c in ("sid", "project", "file_id", "name", "line", "end_line")] + [pa.array(found, pa.string()), pa.array(keys, pa.int64())]
-        out = pa.RecordBatch.from_arrays(columns, ["sid", "project", "file_id", "name", "line", "end_line", "description", "template"])
+        columns = [b.column(c) for c in ("sid", "project", "file_id", "file", "name", "line")] + [pa.array(found, pa.string()), pa.array(keys, pa.int64())]
+        out = pa.RecordBatch.from_arrays(columns, ["sid", "project", "file_id", "file", "name", "line", "description", "template"])
         yield out.filter(pa.array([d is not None for d in found], pa.bool_()))
 
 
@@ -183,66 +180,62 @@ def callables(symbols: DataFrame) -> DataFrame:
     return symbols.where(kind.isin(*CALLABLE_KINDS) & F.col("sid").isNotNull())
 
 
-_PAIR = "sid string, project string, file_id long, name string, line int, end_line int, description string"
+_PAIR = "sid string, project string, file_id long, file string, name string, line int, description string"
 
 
 def described(symbols: DataFrame) -> DataFrame:
     """The callables with a description of their own, templates dropped; repeated rows count once."""
-    source = callables(symbols).where(F.length("doc") > 0).select("sid", "project", "file_id", "name", "line", "end_line", "doc")
+    source = callables(symbols).where(F.length("doc") > 0).select("sid", "project", "file_id", "file", "name", "line", "doc")
     rows = materialize(spread(source, 1).mapInArrow(_describe, _PAIR + ", template long").dropDuplicates(["sid"]), "described")
     total = source.select("sid").distinct().count()
     bound = max(TEMPLATE_LEAST, TEMPLATE_SHARE * total)
     # Each template has at least this share of all, so there are at most 1 / TEMPLATE_SHARE of them.
-    templates = rows.where(F.col("template").isNotNull()).groupBy("template").agg(F.count("*").alias("n"), F.approx_count_distinct("name").alias("names")).where(
+    templates = rows.groupBy("template").agg(F.count("*").alias("n"), F.approx_count_distinct("name").alias("names")).where(
         (F.col("n") >= bound) & (F.col("names") > 1)).select("template")
     return rows.join(F.broadcast(templates), "template", "left_anti").drop("template")
 
 
-def _pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Parse each file once and cut out the code of its callables."""
+def _lines(text: str) -> str:
+    """The text with every line end as one line feed, positions kept."""
+    return text if "\r" not in text else re.sub(r"\r(?!\n)", "\n", text)
+
+
+def _parsed(batches: Iterator[pa.RecordBatch], with_code: bool) -> Iterator[pa.RecordBatch]:
+    """(file_id, name, line[, whole, code]) of the functions of each text; of several of one name on one line the first."""
     for batch in batches:
-        out: dict[str, list] = {k: [] for k in ("sid", "project", "file_id", "name", "code", "description", "parsed")}
-        for row in batch.to_pylist():
-            text = row["text"] or ""
-            found = {(f.name, text.count("\n", 0, f.start) + 1): f for f in gll.functions(text, row["ext"])} if text else {}
-            lines = None
-            for c in row["items"]:
-                f = found.get((c["name"], c["line"]))
-                if f:
-                    code = text[f.start : f.end].rstrip("\r\n")
-                elif text and c["line"] and c["line"] > 0:
-                    lines = lines or re.split(r"\r\n|\n|\r", text)
-                    code = "\n".join(lines[c["line"] - 1 : max(c["line"], c["end_line"] or 0)]) or None
-                else:
-                    code = None
-                for k, v in (("sid", c["sid"]), ("project", c["project"]), ("file_id", row["file_id"]), ("name", c["name"]), ("code", code), ("description", c["description"]), ("parsed", f is not None)):
-                    out[k].append(v)
-        yield pa.RecordBatch.from_pydict(out, schema=_PAIRS)
-
-
-_PAIRS = pa.schema([("sid", pa.string()), ("project", pa.string()), ("file_id", pa.int64()), ("name", pa.string()), ("code", pa.string()), ("description", pa.string()), ("parsed", pa.bool_())])
-
-
-def documented_pairs(symbols: DataFrame, texts: DataFrame, files: DataFrame | None = None) -> DataFrame:
-    """(sid, project, file_id, name, code, description, parsed) of each callable whose documentation says something.
-
-    ``code`` runs from ``line`` to ``end_line``; ``parsed`` tells that the parser found the function there, otherwise the lines are taken as they are. Without a text or
-    a usable line ``code`` is null. A null doc, name or line is allowed; equal rows count once. The callables of a file are handled
-    by stretches of lines, so a huge file is no group of unbounded size. ``files`` adds the language by extension; without it the symbols' path
-    does.
+        out: dict[str, list] = {k: [] for k in _FOUND.names}
+        for k, ext, text in zip(*(batch.column(c).to_pylist() for c in ("file_id", "ext", "text"))):
+            if not text:
+                continue
+            plain, line, at = _lines(text), 1, 0
+            seen: set[tuple[str, int]] = set()
+            for f in gll.functions(plain, ext):
+                line, at = line + plain.count("\n", at, f.start), f.start
+                if (f.name, line) in seen:
+                    continue
+                seen.add((f.name, line))
+                for c, v in zip(_FOUND.names, (k, f.name, line, f.whole, text[f.start : f.end].rstrip("\r\n") if with_code else None)):
+                    out[c].append(v)
+        yield pa.RecordBatch.from_pydict(out, schema=_FOUND)
+
+
+_FOUND = pa.schema([("file_id", pa.int64()), ("name", pa.string()), ("line", pa.int32()), ("whole", pa.bool_()), ("code", pa.string())])
+
+
+def documented_pairs(symbols: DataFrame, texts: DataFrame, with_code: bool = True) -> DataFrame:
+    """(sid, project, file_id, name, description, whole[, code]) of each callable that the parser finds in its file and whose documentation says something.
+
+    A callable is found if a function of its name starts on its ``line``. ``code`` is what the parser takes the function to be, ``whole`` tells that it is not torn, as in a
+    broken file. Callables without a text, name or line, and those whose text has no such function, give no pair. Equal rows count once. The language goes by the
+    extension of the symbols' path. Each text is shuffled and parsed once, and only where a callable of its file is documented; its functions are then joined as rows, so no
+    file is a group, however many callables it has. ``with_code=False`` leaves the code out of that join.
     """
-    rows = described(symbols)
-    paths = symbols.select("sid", "file").where(F.col("sid").isNotNull()).dropDuplicates(["sid"]) if files is None else None
-    items = F.collect_list(F.struct("sid", "project", "name", "line", "end_line", "description")).alias("items")
-    if paths is not None:
-        rows = rows.join(paths, "sid", "left")
-        ext = F.regexp_extract(F.coalesce(F.first("file", True), F.lit("")), r"(\.[A-Za-z0-9]+)$", 1).alias("ext")
-    else:
-        rows = rows.join(files.where("file_id IS NOT NULL").groupBy("file_id").agg(F.first("ext", True).alias("ext")), "file_id", "left")
-        ext = F.first("ext", True).alias("ext")
-    grouped = rows.groupBy("file_id", F.floor(F.coalesce("line", F.lit(0)) / LINES).alias("stretch")).agg(items, ext)
-    joined = grouped.join(texts.select("file_id", "text"), "file_id", "left").select("file_id", "ext", "text", "items")
-    return joined.mapInArrow(_pair_up, "sid string, project string, file_id long, name string, code string, description string, parsed boolean").dropDuplicates(["sid"])
+    rows = described(symbols).where("file_id IS NOT NULL AND name IS NOT NULL AND line > 0")
+    wanted = rows.groupBy("file_id").agg(F.lower(F.regexp_extract(F.coalesce(F.min("file"), F.lit("")), r"(\.[A-Za-z0-9]+)$", 1)).alias("ext"))
+    held = texts.where("file_id IS NOT NULL AND text IS NOT NULL").select("file_id", "text")
+    found = wanted.join(held, "file_id").mapInArrow(lambda b: _parsed(b, with_code), "file_id long, name string, line int, whole boolean, code string")
+    kept = ["sid", "project", "file_id", "name", "description", "whole", *(["code"] if with_code else [])]
+    return rows.join(found, ["file_id", "name", "line"]).select(*kept).dropDuplicates(["sid"])
 
 
 def file_functions(files: DataFrame, texts: DataFrame) -> DataFrame:
@@ -254,11 +247,13 @@ def file_functions(files: DataFrame, texts: DataFrame) -> DataFrame:
         for b in rows:
             out = []
             for k, ext, text in zip(b["file_id"], b["ext"], b["text"]):
-                for f in gll.functions(text, ext) if text else ():
+                plain = _lines(text or "")
+                feeds = [m.start() for m in re.finditer("\n", plain)]
+                for f in gll.functions(plain, ext) if plain else ():
                     doc = text[f.doc[0] : f.doc[1]] if f.doc else None
-                    out.append((k, f.name, text.count("\n", 0, f.start) + 1, text.count("\n", 0, f.end) + 1, f.whole, describe(doc, f.name)))
+                    out.append((k, f.name, bisect.bisect_left(feeds, f.start) + 1, bisect.bisect_left(feeds, f.end) + 1, f.whole, describe(doc, f.name)))
             yield pd.DataFrame(out, columns=["file_id", "name", "line", "end_line", "whole", "description"])
 
-    kinds = files.where("file_id IS NOT NULL").groupBy("file_id").agg(F.first("ext", True).alias("ext"))
+    kinds = files.where("file_id IS NOT NULL").groupBy("file_id").agg(F.min("ext").alias("ext"))
     return spread(texts.where("file_id IS NOT NULL").select("file_id", "text").join(kinds, "file_id", "left")).mapInPandas(
         run, "file_id long, name string, line int, end_line int, whole boolean, description string")

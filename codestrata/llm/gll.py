@@ -3,15 +3,14 @@
 Files are read as a short sequence of structural tokens: documentation comments, function heads, other openers and closers.
 The parser follows a grammar over them, possibly along several derivations at once; its stacks are shared in a graph
 with one node for each nonterminal and position, so the work stays polynomial however ambiguous the grammar is. Well-formed files are
-parsed by a plain grammar. If that fails, a second one with rules for missing and surplus closers takes
-over, and yields the functions that are whole in a broken file.
+parsed by a plain grammar. If that fails, the blocks whose closer stands at the indent of their opener are set aside as islands, and a
+second grammar, with rules for missing and surplus closers, parses what is left between them; it yields the functions
+of a broken file, whole or not. There is no bound on its steps.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Callable
 from dataclasses import dataclass
 
 DOC, HEAD, OPEN, CLOSE, EOF = "D", "H", "O", "C", "$"
@@ -51,34 +50,26 @@ class Grammar:
                     self.owner.append((nonterminal, nth))
 
 
-STEPS_A_TOKEN = 100  # derivation steps a token of a broken file, beyond which closers are matched by their indents
-
 _ANY = DOC + HEAD + OPEN
-_BASE = {
-    "Items": [(["Item", "Items"], _ANY), ([], CLOSE + EOF)],
-    "Item": [([DOC], DOC), (["Function"], HEAD), (["Block"], OPEN)],
-    "Function": [([HEAD, "Items", "End"], HEAD)],
-    "Block": [([OPEN, "Items", "End"], OPEN)],
-}
-PLAIN = Grammar({"Unit": [(["Items", EOF], _ANY + EOF)], "End": [([CLOSE], CLOSE)], **_BASE})
-#: A block may end without its closer before anything that stands no deeper than its opener; closers of nothing are passed over. Its items recur on the
-#: left, so that the places where they may end are kept once a block and not once a sibling.
+_BASE = {"Item": [([DOC], DOC), (["Whole"], HEAD), (["Block"], OPEN)], "Whole": [([HEAD, "Items", CLOSE], HEAD)]}
+PLAIN = Grammar({
+    **_BASE, "Unit": [(["Items", EOF], _ANY + EOF)], "Items": [(["Item", "Items"], _ANY), ([], CLOSE + EOF)], "Block": [([OPEN, "Items", CLOSE], OPEN)]})
+#: A block without its closer ends before the next token that stands no deeper than its opener ("Gap"); closers of nothing are passed over. Its items recur
+#: on the left, so that the places where they may end are kept once a block and not once a sibling.
 BROKEN = Grammar({
-    **_BASE, "Unit": [(["Tops", EOF], _ANY + CLOSE + EOF)], "Tops": [(["Item", "Tops"], _ANY), ([CLOSE, "Tops"], CLOSE), ([], EOF)],
-    "Items": [(["Items", "Item"], _ANY), ([], _ANY + CLOSE + EOF)], "End": [([CLOSE], CLOSE), ([], _ANY + CLOSE + EOF)]})
-
-
-class TooAmbiguous(Exception):
-    pass
+    "Item": [*_BASE["Item"], (["Torn"], HEAD)], "Whole": _BASE["Whole"], "Torn": [([HEAD, "Items", "Gap"], HEAD)],
+    "Block": [([OPEN, "Items", CLOSE], OPEN), ([OPEN, "Items", "Gap"], OPEN)], "Gap": [([], _ANY + CLOSE + EOF)],
+    "Unit": [(["Tops", EOF], _ANY + CLOSE + EOF)], "Tops": [(["Item", "Tops"], _ANY), ([CLOSE, "Tops"], CLOSE), ([], EOF)],
+    "Items": [(["Items", "Item"], _ANY), ([], _ANY + CLOSE + EOF)]})
 
 
-def parse(grammar: Grammar, kinds: str, may_end: Callable[[int, int], bool] | None = None, most_steps: int | None = None) -> dict[tuple[str, int], list[int]] | None:
+def parse(grammar: Grammar, kinds: str, reach: list[int] | None = None) -> dict[tuple[str, int], list[int]] | None:
     """All extents of the nonterminals in ``kinds``, which ends with EOF: (nonterminal, start) to its ends. None if it isn't a unit.
 
-    ``may_end(start, at)`` says whether the block that starts at token ``start`` may end at ``at`` without a closer. More than ``most_steps`` derivation
-    steps raise :class:`TooAmbiguous`.
+    ``reach`` says for the opener at each place how far its block goes at most: up to a closer there, or without one. With it a
+    place is an end of the blocks around it only, so the steps grow with the tokens times the depth of what is open at once.
     """
-    slots, alternatives, owner = grammar.slots, grammar.alternatives, grammar.owner
+    slots, alternatives = grammar.slots, grammar.alternatives
     nodes: dict[tuple[str, int], int] = {}
     keys: list[tuple[str, int]] = []
     edges: list[list[tuple[int, int]]] = []
@@ -101,12 +92,9 @@ def parse(grammar: Grammar, kinds: str, may_end: Callable[[int, int], bool] | No
         return n
 
     node("Unit", 0)
-    last, steps = len(kinds), 0
+    last = len(kinds)
     while todo:
         slot, n, at = todo.pop()
-        steps += 1
-        if most_steps and steps > most_steps:
-            raise TooAmbiguous
         while True:
             symbol = slots[slot]
             if symbol is None:
@@ -120,8 +108,10 @@ def parse(grammar: Grammar, kinds: str, may_end: Callable[[int, int], bool] | No
                             todo.append(d)
                 break
             if symbol in alternatives:
-                if symbol == "End" and may_end and kinds[at] != CLOSE and not may_end(keys[n][1], at):
-                    break
+                if reach:
+                    held, start = keys[n]
+                    if symbol == "Gap" and at != reach[start] or symbol == "Item" and held == "Items" and at >= reach[start - 1]:
+                        break
                 child = nodes.get((symbol, at))
                 if child is None:
                     child = node(symbol, at)
@@ -135,13 +125,13 @@ def parse(grammar: Grammar, kinds: str, may_end: Callable[[int, int], bool] | No
                             seen.add(d)
                             todo.append(d)
                 break
-            if at < last and kinds[at] == symbol:
+            if at < last and kinds[at] == symbol and not (reach and symbol == CLOSE and keys[n][0] != "Tops" and at > reach[keys[n][1]]):
                 slot, at = slot + 1, at + 1
             else:
                 break
     if last not in ends[0]:
         return None
-    return {k: e for k, e in zip(keys, ends) if e and k[0] == "Function"}
+    return {k: e for k, e in zip(keys, ends) if e and k[0] in ("Whole", "Torn")}
 
 
 # --- tokens -------------------------------------------------------------------------------------------------------------------
@@ -239,45 +229,48 @@ def tokens(text: str, ext: str | None) -> list[Token]:
     return python_tokens(text) if ext in PYTHON_LIKE else ruby_tokens(text) if ext in RUBY_LIKE else brace_tokens(text)
 
 
-def matched(kinds: str, indents: list[int]) -> tuple[dict[tuple[str, int], list[int]], set[int]]:
-    """The extents of all functions, and the starts of those without a closer, in one pass; for files that the parser would take too many steps for.
+def islands(kinds: str, indents: list[int]) -> tuple[list[int], list[int], dict[int, int]]:
+    """Set aside each block whose closer stands at its opener's indent and which holds nothing but such blocks and comments.
 
-    A closer belongs to the innermost open block of its indent, or to the innermost one if none has it. Blocks passed over, or still open at the
-    end, reach to the next token that stands no deeper than their opener.
+    Gives the places that remain (a block set aside keeps its first one), the place behind each, and the ends of the blocks set aside.
+    One pass: a closer is compared with the innermost open block only.
     """
-    stack: list[int] = []
-    held: Counter = Counter()
-    out: dict[tuple[str, int], list[int]] = {}
-    unclosed: set[int] = set()
-    deeper: list[int] = []
-    reach = [len(kinds) - 1] * len(kinds)
-    for at, indent in enumerate(indents):
-        while deeper and indents[deeper[-1]] >= indent:
-            reach[deeper.pop()] = at
-        deeper.append(at)
-
-    def leave(end: int) -> None:
-        start = stack.pop()
-        held[indents[start]] -= 1
-        if kinds[start] == HEAD:
-            unclosed.add(start)
-            out["Function", start] = [min(reach[start], end)]
-
+    kept: list[int] = []
+    behind: list[int] = []
+    opened: list[int] = []  # where in ``kept`` the open blocks are; a surplus closer bars those before it
+    ends: dict[int, int] = {}
     for at, kind in enumerate(kinds[:-1]):
+        if kind == CLOSE and opened and indents[kept[opened[-1]]] == indents[at]:
+            first = opened.pop()
+            ends[kept[first]] = at + 1
+            del kept[first + 1 :], behind[first + 1 :]
+            behind[first] = at + 1
+            continue
         if kind in (HEAD, OPEN):
-            stack.append(at)
-            held[indents[at]] += 1
-        elif kind == CLOSE and stack:
-            if held[indents[at]]:
-                while indents[stack[-1]] != indents[at]:
-                    leave(at)
-            start = stack.pop()
-            held[indents[start]] -= 1
-            if kinds[start] == HEAD:
-                out["Function", start] = [at + 1]
-    while stack:
-        leave(len(kinds) - 1)
-    return out, unclosed
+            opened.append(len(kept))
+        elif kind == CLOSE:
+            opened.clear()
+        kept.append(at)
+        behind.append(at + 1)
+    return kept, behind, ends
+
+
+def recover(kinds: str, indents: list[int]) -> dict[tuple[str, int], list[int]]:
+    """The extents of the functions of a file that is no unit of the plain grammar."""
+    kept, behind, ends = islands(kinds, indents)
+    out = {("Whole", at): [end] for at, end in ends.items() if kinds[at] == HEAD}
+    left = "".join(DOC if at in ends else kinds[at] for at in kept) + EOF
+    depth = [indents[at] for at in kept] + [-1]
+    reach = [len(kept)] * (len(kept) + 1)
+    deeper: list[int] = []
+    for nth, indent in enumerate(depth):
+        while deeper and depth[deeper[-1]] >= indent:
+            reach[deeper.pop()] = nth
+        deeper.append(nth)
+    place = [*kept, len(kinds) - 1]
+    for (name, start), found in (parse(BROKEN, left, reach) or {}).items():
+        out[name, kept[start]] = [behind[end - 1] if name == "Whole" else place[end] for end in found]
+    return out
 
 
 def functions(text: str, ext: str | None) -> list[Function]:
@@ -285,30 +278,24 @@ def functions(text: str, ext: str | None) -> list[Function]:
     found = tokens(text, ext)
     kinds = "".join(t.kind for t in found) + EOF
     extents = parse(PLAIN, kinds)
-    unclosed: set[int] = set()
     if extents is None:
-        found_indent = [t.indent for t in found] + [-1]
-        try:
-            extents = parse(BROKEN, kinds, lambda start, at: found_indent[at] <= found_indent[start], most_steps=STEPS_A_TOKEN * len(kinds)) or {}
-        except TooAmbiguous:
-            extents, unclosed = matched(kinds, found_indent)
+        extents = recover(kinds, [t.indent for t in found] + [-1])
+    # Of several extents the one whose closer stands under the head; else the shortest.
+    best: dict[int, tuple[bool, int, bool]] = {}
+    for (name, start), ends in extents.items():
+        for end in ends:
+            whole = name == "Whole"
+            fit = (not (whole and found[end - 1].indent == found[start].indent), end, whole)
+            best[start] = min(best.get(start, fit), fit)
     out = []
-    for (_, start), ends in sorted(extents.items(), key=lambda x: x[0][1]):
-        head = found[start]
-        # Of several extents the one whose closer stands under the head; else the shortest.
-        def fit(end: int, head=head) -> tuple:
-            closer = found[end - 1]
-            return (not (closer.kind == CLOSE and closer.indent == head.indent), end)
-
-        end = min(ends, key=fit)
-        closer = found[end - 1]
+    for start, (_, end, whole) in sorted(best.items()):
+        head, closer = found[start], found[end - 1]
         doc = None
         first = start - 1
         while first >= 0 and found[first].kind == DOC and not text[found[first].end : found[first + 1].start].strip():
             first -= 1
         if first + 1 < start:
             doc = (found[first + 1].start, found[start - 1].end)
-        whole = closer.kind == CLOSE and start not in unclosed
         if not whole:  # it is missing: the function reaches to what comes next
             stop = max(head.end, len(text[: found[end].start if end < len(found) else len(text)].rstrip()))  # heads of one line all start with it
         elif closer.end > closer.start:

@@ -21,8 +21,8 @@ def _coupling(spark, d):
     return coupling.change_coupling(read(spark, d, "commit_files"), read(spark, d, "commits"))
 
 
-def _pairs(spark, d):
-    return docpairs.documented_pairs(read(spark, d, "symbols"), read(spark, d, "source_texts"))
+def _pairs(spark, d, with_code=True):
+    return docpairs.documented_pairs(read(spark, d, "symbols"), read(spark, d, "source_texts"), with_code)
 
 
 def _windows(spark, d):
@@ -33,8 +33,8 @@ QUERIES = {
     "p1_found": lambda s, d: _coupling(s, d).select("project", "file_a", "file_b"),
     "p1_coupling": _coupling,
     "p3_found": lambda s, d: handwritten.not_handwritten(read(s, d, "files"), read(s, d, "source_texts")).select("file_id"),
-    "p4_found": lambda s, d: _pairs(s, d).select("sid"),
-    "p4_pairs": lambda s, d: _pairs(s, d).where("code IS NOT NULL"),
+    "p4_found": lambda s, d: _pairs(s, d, with_code=False).select("sid"),
+    "p4_pairs": lambda s, d: _pairs(s, d),
     "p4_functions": lambda s, d: docpairs.file_functions(read(s, d, "files"), read(s, d, "source_texts")),
     "p6_windows": _windows,
     "p6_report": lambda s, d: packing.fill_report(_windows(s, d)),

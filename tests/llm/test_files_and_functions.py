@@ -26,7 +26,10 @@ def test_parser_survives_noise():
     rng = random.Random(1)
     for n in range(150):
         kinds = "".join(rng.choice("DHOC") for _ in range(rng.randrange(40))) + "$"
-        gll.parse(gll.BROKEN, kinds, lambda a, b: True)
+        indents = [rng.randrange(4) for _ in kinds[:-1]] + [-1]
+        got = gll.recover(kinds, indents)
+        assert {at for _, at in got} == {at for at, k in enumerate(kinds) if k == "H"}
+        assert all(at < end < len(kinds) and kinds[end - 1] == "C" for (name, at), ends in got.items() if name == "Whole" for end in ends)
         gll.functions("".join(rng.choice(["int f(int a) {\n", "}\n", "{", " x;\n", "// c\n"]) for _ in range(30)), ".c")
     assert gll.functions("{" * 20_000, ".c") == [] and len(gll.functions("void f(int a) {\n" * 3000 + "void g(int a) { }\n", ".c")) >= 1
     deep = "void f(int a) {" + "{" * 3000 + "}" * 3000 + "}"
@@ -58,7 +61,31 @@ def test_a_missing_closer_costs_no_function_in_a_large_file():
     assert all(one[g.start : g.end] == f"void {g.name}(int a) {{\n  x();\n}}" for g in got[1:])
     many = "".join(f"void f{i}(int a) {{\n  x();\n" for i in range(3000))
     assert [(g.name, g.whole) for g in gll.functions(many, ".c")] == [(f"f{i}", False) for i in range(3000)]
-    assert gll.matched("HHOCHC$", [0, 2, 4, 4, 2, 0, -1]) == ({("Function", 4): [5], ("Function", 1): [4], ("Function", 0): [6]}, {1, 4})
+    stairs = "".join(" " * (n % 40) + f"void f{n}(int a) {{\n" + "x();\n}\n" * (n % 3) for n in range(4000))
+    assert [g.name for g in gll.functions(stairs, ".c")] == [f"f{n}" for n in range(4000)]
+    shut = "".join("  " * n + f"void f{n}(int a) {{\n" for n in range(800)) + "}\n" * 800
+    assert len(gll.functions(shut + "}\n", ".c")) == 800
+
+
+def test_the_parser_makes_the_pairs(spark, monkeypatch):
+    torn = "int cut(int a) {\r  x();\r\rint whole(int b) {\r  return b;\r}\r"
+    s = spark.createDataFrame([("a", 1, "cut", 1), ("b", 1, "whole", 4), ("c", 1, "whole", 5)], "sid string, file_id long, name string, line int").selectExpr(
+        "*", "'p' project", "'fn' kind", "'Drains what is queued.' doc", "'x.C' file")
+    x = spark.createDataFrame([(1, torn)], "file_id long, text string")
+    assert rows(docpairs.documented_pairs(s, x), "sid", "whole", "code") == [("a", False, "int cut(int a) {\r  x();"), ("b", True, "int whole(int b) {\r  return b;\r}")]
+    assert [f.name for f in gll.functions(torn.replace("\r", "\n"), ".c")] == ["cut", "whole"]
+    lame = gll.Grammar({"Unit": [([gll.EOF], gll.EOF)]})
+    monkeypatch.setattr(gll, "PLAIN", lame)
+    monkeypatch.setattr(gll, "BROKEN", lame)
+    assert gll.functions("int cut(int a) {\n  x();\n", ".c") == []
+
+
+def test_templates_of_any_length(spark):
+    long = "Wraps the {} call so that every caller goes through the same retry and logging policy of this layer"
+    s = spark.createDataFrame([(f"t{n}", 1, f"load{chr(65 + n // 26)}{chr(97 + n % 26)}x", n + 1) for n in range(30)], "sid string, file_id long, name string, line int").selectExpr(
+        "*", "'p' project", "'fn' kind", f"replace('{long}', '{{}}', name) doc", "'x.c' file")
+    own = s.limit(3).selectExpr("'own' || sid sid", "file_id", "name", "line", "project", "kind", "'Counts ' || sid || ' bytes left over after trimming.' doc", "file")
+    assert docpairs.described(s.unionByName(own)).count() == 3
 
 
 def test_pairs(spark):
@@ -68,12 +95,12 @@ def test_pairs(spark):
     df = spark.createDataFrame([(*x, 5, "t") for x in s], "sid string, project string, file_id long, name string, kind string, line int, end_line int, doc string, file string, template long, ext string")
     x = spark.createDataFrame([(1, text), (3, None), (None, text)], "file_id long, text string")
     got = {r["sid"]: r for r in docpairs.documented_pairs(df, x).collect()}
-    assert set(got) == {"s1", "s4", "s5", "s7"}
-    assert got["s1"]["code"] == "def keep(a):\n    return a" and got["s1"]["parsed"] and got["s4"]["code"] is None and not got["s7"]["parsed"] and got["s7"]["code"]
+    assert set(got) == {"s1"}  # s4, s6 without a text or name, s5 without a file, s7 where no function of its name starts
+    assert got["s1"]["code"] == "def keep(a):\n    return a" and got["s1"]["whole"] and got["s1"]["description"] == "Blocks until it drains."
+    assert rows(docpairs.documented_pairs(df, x, with_code=False)) == [("s1", "p", 1, "keep", "Blocks until it drains.", True)]
     assert docpairs.documented_pairs(df.limit(0), x).count() == 0
     f = spark.createDataFrame([(1, ".py"), (1, ".py")], "file_id long, ext string")
     assert rows(docpairs.file_functions(f, x), "name", "line", "description") == [("drop", 5, None), ("keep", 2, None)]
-    assert {r["sid"] for r in docpairs.documented_pairs(df, x, f).collect()} == set(got)
 
 
 def test_templates_are_dropped(spark):
