@@ -20,7 +20,15 @@ def brute(docs, items, run=12):
     return sorted({(d, i) for d, t in docs for w in [leakage.words(t)] for k in range(len(w) - run + 1) for i in grams.get(tuple(w[k : k + run]), ())}, key=repr)
 
 
-def test_leaks_equal_brute_force(spark):
+def test_one_character_may_hold_many_words(spark):
+    squares = "\u3300\u3314\u334d\ufdfa" * 2  # compatibility composition spells them out
+    n = len(leakage.words(squares))
+    d = spark.createDataFrame([(1, squares), (2, squares[:1])], "doc_id long, text string")
+    i = spark.createDataFrame([(7, unicodedata.normalize("NFKC", squares))], "item_id long, text string")
+    assert n >= 6 and rows(leakage.leaks(d, i, run=6, width=5)) == [(1, 7)]
+
+
+def test_leaks_equal_brute_force(spark, monkeypatch):
     rng = random.Random(7)
     vocab = [f"w{i}" for i in range(60)]
     text = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
@@ -37,7 +45,10 @@ def test_leaks_equal_brute_force(spark):
     i = spark.createDataFrame([(*x, 0) for x in [*items, items[0]]], "item_id long, text string, doc_id int")
     want = brute(docs, items)
     assert want and rows(leakage.leaks(d, i), "doc_id", "item_id") == want
-    assert rows(leakage.leaks(d, i, index_bytes=-1), "doc_id", "item_id") == want  # by shuffle
+    assert rows(leakage.leaks(d, i, index_shingles=0), "doc_id", "item_id") == want  # by shuffle
+    monkeypatch.setattr(leakage, "HOT_HITS", 3)
+    monkeypatch.setattr(leakage, "PLACES", 2)
+    assert rows(leakage.leaks(d, i, index_shingles=0), "doc_id", "item_id") == want  # hot shingles in parts
     for a, b in ((d.limit(0), i), (d, i.limit(0)), (d, i.where("item_id BETWEEN 101 AND 103"))):
         assert leakage.leaks(a, b).count() == 0
 
