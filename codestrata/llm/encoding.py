@@ -5,12 +5,15 @@ or repeatedly. Which chains occur, and how often, is learned for each source and
 E-step weighs, for every distinct word with characters beyond ASCII, what the word would be if undone along each
 chain; the M-step adds up the weights into chain rates for each source and into the character model. Evidence too weak in
 one record is thus pooled over all records of its source. A record is then judged, and repaired, by posterior.
+
+The rates by source stay a table that is joined to the words and texts; only the character model and the rates of all sources together come to the driver.
 """
 
 from __future__ import annotations
 
 import functools
 import itertools
+import json
 import math
 import operator
 import re
@@ -26,7 +29,9 @@ from codestrata.tables import materialize, spread
 _CONTROL = re.compile("[\x80-\x9f]")
 INTACT = "intact"
 LOST = "lost"  # replacement characters: garbled, and the original bytes are gone
-ROUNDS = 3
+TOLERANCE = 1e-3  # relative gain in log likelihood at which the rounds end
+MOST_ROUNDS = 50  # beyond which something is wrong
+LEAST_POSTERIOR = 1e-4  # of what a word may have been; less is shared out among the rest
 PLACE_RATE = 0.5  # of a record garbled along a chain, the share of words expected to show it
 VOTE = 3.0
 SMOOTH = 20.0
@@ -281,7 +286,7 @@ def quoted(text: str) -> set[str]:
             continue
         for w in parts:
             core = w.strip("\"'`“”()[].,;:!?") or w
-            if any(c.isascii() for c in core) or len(core) > 12:
+            if any(c.isascii() for c in core):
                 continue
             marked = w[0] in "\"'`“(«" and len(w) > len(core)
             outs = {o for _, o in _utf8_options(core)}
@@ -338,42 +343,53 @@ def _scored(word: str, model: "CharacterModel") -> tuple[float, list[tuple[list[
 
 
 class Beliefs:
-    """What the M-step hands to the next E-step: the character model and the log rates of chains by source."""
+    """What the M-step hands to the next E-step: the character model and the rates of chains over all sources. Those of one source come with its rows."""
 
-    def __init__(self, counts: dict[str, float], rates: dict[tuple[str, str], float]):
+    def __init__(self, counts: dict[str, float], rates: dict[str, float]):
         self.model = CharacterModel(counts)
-        total: dict[str, float] = defaultdict(float)
-        by_source: dict[str, float] = defaultdict(float)
-        for (source, chain), n in rates.items():
-            total[chain] += n
-            by_source[source] += n
-        every = sum(total.values()) or 1.0
+        every = sum(rates.values()) or 1.0
         names = [INTACT, *chains()]
-        self.shared = {c: (total.get(c, 0.0) + 0.5) / (every + 0.5 * len(names)) for c in names}
-        self.rates, self.by_source = rates, by_source
+        self.started = bool(rates)
+        self.shared = {c: (rates.get(c, 0.0) + 0.5) / (every + 0.5 * len(names)) for c in names}
+        self.log_rates = functools.lru_cache(10_000)(self._log_rates)
+
+    def _log_rates(self, rates: str | None) -> dict[str, float]:
+        own = json.loads(rates) if rates else {}
+        total = math.log(sum(own.values()) + PRIOR_WEIGHT)
+        return {c: math.log(own.get(c, 0.0) + PRIOR_WEIGHT * x) - total for c, x in self.shared.items()}
+
+    def __reduce__(self):
+        return _beliefs, (self.model, self.shared, self.started)
+
 
-    def log_rate(self, source: str, chain: str) -> float:
-        return math.log((self.rates.get((source, chain), 0.0) + PRIOR_WEIGHT * self.shared[chain]) / (self.by_source.get(source, 0.0) + PRIOR_WEIGHT))
+def _beliefs(model: CharacterModel, shared: dict[str, float], started: bool) -> Beliefs:
+    out = Beliefs.__new__(Beliefs)
+    out.model, out.shared, out.started = model, shared, started
+    out.log_rates = functools.lru_cache(10_000)(out._log_rates)
+    return out
 
 
-def _weights(source: str, word: str, beliefs: Beliefs | None) -> list[tuple[str, str, float]]:
-    """(chain, restored, posterior) of one word, with 'intact' among the chains."""
+def _weights(rates: str | None, word: str, beliefs: Beliefs | None) -> tuple[list[tuple[str, str, float]], float]:
+    """(chain, restored, posterior) of one word, with 'intact' among the chains, and the word's log likelihood. ``rates`` are its source's."""
     if beliefs is None:
-        return [(INTACT, word, 1.0)]
-    if not beliefs.rates:  # to begin with: valid UTF-8 of known characters hidden in a word is no accident
+        return [(INTACT, word, 1.0)], 0.0
+    if not beliefs.started:  # to begin with: valid UTF-8 of known characters hidden in a word is no accident
         utf8 = [(c, r) for c, r in _utf8_options(word) if len(r) < len(word) and beliefs.model.knows(r)]
-        return [(*min(utf8, key=lambda x: len(x[1])), 1.0)] if utf8 else [(INTACT, word, 1.0)]
+        return [(*min(utf8, key=lambda x: len(x[1])), 1.0)] if utf8 else [(INTACT, word, 1.0)], 0.0
     base, options = _scored(word, beliefs.model)
     if not options:
-        return [(INTACT, word, 1.0)]
-    logs = [(INTACT, word, beliefs.log_rate(source, INTACT) + base)]
+        return [(INTACT, word, 1.0)], 0.0
+    rate = beliefs.log_rates(rates)
+    logs = [(INTACT, word, rate[INTACT] + base)]
     for names, r, x in options:  # of chains that give the same word the likeliest here
-        rate, c = max((beliefs.log_rate(source, c), c) for c in names)
-        logs.append((c, r, rate + x))
+        best, c = max((rate[c], c) for c in names)
+        logs.append((c, r, best + x))
     top = max(x[2] for x in logs)
     raw = [(c, r, math.exp(x - top)) for c, r, x in logs]
     total = sum(x[2] for x in raw)
-    return [(c, r, x / total) for c, r, x in raw if x / total > 1e-4]
+    kept = [x for x in raw if x[2] > LEAST_POSTERIOR * total]
+    mass = sum(x[2] for x in kept)
+    return [(c, r, x / mass) for c, r, x in kept], top + math.log(total)
 
 
 def _count_words(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -386,36 +402,51 @@ def _count_words(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _e_step(rows: Iterator[pd.DataFrame], beliefs: Beliefs | None) -> Iterator[pd.DataFrame]:
-    """Expected counts of this partition: chain rates by source, and character pairs."""
-    rates: dict[tuple[str, str], float] = defaultdict(float)
-    counts: dict[str, float] = defaultdict(float)
+    """Expected counts of each batch: chain rates by source, character pairs, and the log likelihood."""
     for b in rows:
-        for source, word, n in zip(b["source"], b["word"], b["n"]):
-            for chain, restored, p in _weights(source, word, beliefs):
+        rates: dict[tuple[str, str], float] = defaultdict(float)
+        counts: dict[str, float] = defaultdict(float)
+        likelihood = 0.0
+        for source, word, n, own in zip(b["source"], b["word"], b["n"], b["rates"]):
+            found, x = _weights(own, word, beliefs)
+            likelihood += x * n
+            for chain, restored, p in found:
                 rates[source, chain] += p * n
                 _count_word(restored, p * n, counts)
-    yield pd.DataFrame([("rate", s, c, n) for (s, c), n in rates.items()] + [("pair", "", k, n) for k, n in counts.items()],
-                       columns=["what", "source", "key", "n"])
+        yield pd.DataFrame([("rate", s, c, n) for (s, c), n in rates.items()] + [("pair", "", k, n) for k, n in counts.items()] + [("likelihood", "", "", likelihood)],
+                           columns=["what", "source", "key", "n"])
 
 
-def learn(texts: DataFrame) -> Beliefs:
-    """Fit chain rates and character model to ``texts(source, text)``, all of them.
+def learn(texts: DataFrame) -> tuple[Beliefs, DataFrame]:
+    """Fit chain rates and character model to ``texts(source, text)``, all of them: the beliefs, and (source, rates) with each source's rates as JSON.
 
-    What comes to the driver is bounded by alphabets: pairs of characters of small scripts, single characters of large ones, and
-    sources times chains. The words themselves stay in a table.
+    What comes to the driver is bounded by alphabets and chains, whatever the number of texts and sources: pairs of characters of small scripts, single characters
+    of large ones, and the rates of all sources together. Words and rates by source stay tables. The rounds end when the log likelihood gains less than TOLERANCE.
     """
+    spark = texts.sparkSession
     counted = materialize(
         texts.mapInPandas(_count_words, "source string, word string, n long").groupBy("source", "word").agg(F.sum("n").alias("n")), "words")
     counted = spread(counted, 1)
-    beliefs = None
-    for rnd in range(ROUNDS + 1):  # the first only counts characters
-        held = beliefs
-        sent = texts.sparkSession.sparkContext.broadcast(held)
-        stats = (counted.mapInPandas(lambda rows, s=sent: _e_step(rows, s.value), "what string, source string, key string, n double")
-                 .groupBy("what", "source", "key").agg(F.sum("n").alias("n")).collect())
-        beliefs = Beliefs({r["key"]: r["n"] for r in stats if r["what"] == "pair"},
-                          {(r["source"], r["key"]): r["n"] for r in stats if r["what"] == "rate" and rnd})
-    return beliefs
+    beliefs, rates, before = None, None, None
+    for rnd in range(MOST_ROUNDS):
+        sent = spark.sparkContext.broadcast(beliefs)
+        rows = counted.withColumn("rates", F.lit(None).cast("string")) if rates is None else counted.join(rates, "source", "left")
+        stats = materialize(
+            rows.mapInPandas(lambda b, s=sent: _e_step(b, s.value), "what string, source string, key string, n double")
+            .groupBy("what", "source", "key").agg(F.sum("n").alias("n")), "expected")
+        all_ = {(r["what"], r["key"]): r["n"] for r in stats.groupBy("what", "key").agg(F.sum("n").alias("n")).collect()}  # alphabets and chains
+        likelihood = all_.get(("likelihood", ""), 0.0)
+        counts = {key: n for (what, key), n in all_.items() if what == "pair"}
+        beliefs = Beliefs(counts, {key: n for (what, key), n in all_.items() if what == "rate"} if rnd else {})
+        if rnd:  # the first round only counts characters
+            rates = stats.where("what = 'rate'").groupBy("source").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("key", "n")))).alias("rates"))
+        if rnd > 1:
+            if before is not None and likelihood - before <= TOLERANCE * abs(before):
+                break
+            before = likelihood
+    else:
+        raise RuntimeError(f"the rates did not settle within {MOST_ROUNDS} rounds")
+    return beliefs, rates
 
 
 def places(evidence: list[float], need: float) -> list[tuple[int, int, float]]:
@@ -434,8 +465,8 @@ def places(evidence: list[float], need: float) -> list[tuple[int, int, float]]:
     return [*found, (start, end, peak)] if peak > need else found
 
 
-def judge(text: str | None, source: str, beliefs: Beliefs, memo: dict) -> tuple[str, float, str] | None:
-    """(chain, log odds, restored text) if the record is garbled, else None. ``memo`` keeps what words were found to be under these beliefs.
+def judge(text: str | None, rates: str | None, beliefs: Beliefs, memo: dict) -> tuple[str, float, str] | None:
+    """(chain, log odds, restored text) if the record is garbled, else None. ``rates`` are its source's; ``memo`` keeps what words were found to be under these beliefs.
 
     For each chain the evidence of all words is added up, each word being a mixture of garbled and intact. A chain also counts if the evidence of
     one stretch of words is enough, wherever it starts, so that a garbled place shows in a text that is correct elsewhere; then only such
@@ -472,7 +503,8 @@ def judge(text: str | None, source: str, beliefs: Beliefs, memo: dict) -> tuple[
             totals[c] += evidence
             if evidence > 0:
                 rises[c] += evidence
-    rate = {c: beliefs.log_rate(source, c) - beliefs.log_rate(source, INTACT) for c in totals}
+    own = beliefs.log_rates(rates)
+    rate = {c: own[c] - own[INTACT] for c in totals}
     odds = {c: t + rate[c] for c, t in totals.items()}
     whole = {c for c, x in odds.items() if x > SURE}
     # A stretch may start at any word, which its odds have to make up for.
@@ -512,15 +544,16 @@ def garbled(documents: DataFrame, key: str = "doc_id", field: str = "text", sour
     """
     texts = spread(documents.select(F.col(key).alias("doc_id"), F.col(field).alias("text"), F.coalesce(F.col(source), F.lit("")).alias("source"))
                    .where(F.col("text").rlike(r"[^\x00-\x7F]")))
-    beliefs = texts.sparkSession.sparkContext.broadcast(learn(texts))
+    learned, rates = learn(texts)
+    beliefs = texts.sparkSession.sparkContext.broadcast(learned)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict = {}
         for b in batches:
-            got = [judge(text, src, beliefs.value, memo) for text, src in zip(b.column("text").to_pylist(), b.column("source").to_pylist())]
+            got = [judge(text, own, beliefs.value, memo) for text, own in zip(b.column("text").to_pylist(), b.column("rates").to_pylist())]
             hit = [g for g in got if g]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id").filter(pa.array([g is not None for g in got], pa.bool_())), *(pa.array([g[i] for g in hit], t) for i, t in enumerate((pa.string(), pa.float64(), pa.string())))],
                 ["doc_id", "chain", "log_odds", "restored"])
 
-    return texts.mapInArrow(run, "doc_id long, chain string, log_odds double, restored string")
+    return texts.join(rates, "source", "left").select("doc_id", "text", "rates").mapInArrow(run, "doc_id long, chain string, log_odds double, restored string")

@@ -107,3 +107,17 @@ def test_chains_undo_what_they_name():
     assert encoding.chains()["koi8_r>cp1251"](word.encode("koi8_r").decode("cp1251")) == word
     assert encoding.chains()["cp1251>cp1252"](word.encode("cp1251").decode("cp1252")) == word
     assert all(u("ascii") is None for u in encoding.chains().values())
+
+
+def test_a_source_for_each_text(spark, monkeypatch):
+    texts = [(i, " ".join(CLEAN[k % 6] for k in (i, i + 1)), f"s{i}") for i in range(120)] + [(500 + i, CLEAN[i % 4].encode().decode("latin-1"), f"t{i}") for i in range(6)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    learned, rates = encoding.learn(df)
+    assert rates.count() == 126 and set(learned.shared) == {encoding.INTACT, *encoding.chains()}  # what came to the driver has no sources in it
+    assert {r["doc_id"] for r in encoding.garbled(df).collect()} == set(range(500, 506))
+
+
+def test_long_quoted_examples():
+    long = "приветствие".encode().decode("cp1252", "replace").replace("\ufffd", "")
+    good = "größenübersicht".encode().decode("latin-1")
+    assert encoding.quoted(f'Encoding test: "é" and "{"éèüöäßñ".encode().decode("latin-1")}" are the same word to that viewer.') and not encoding.quoted(f"{good} {long}")
