@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from codestrata.tables import materialize
 
@@ -24,6 +24,16 @@ def clean_kind(kind: Column) -> Column:
     return F.lower(F.regexp_replace(F.coalesce(kind, F.lit("")), r"^\s+|\s+$", ""))
 
 
+def _outside(text: Column) -> Column:
+    """What stands outside all angle and square brackets, however deep they nest; nothing after one that never closes."""
+    def step(acc: Column, c: Column) -> Column:
+        opens, closes = c.isin("<", "["), c.isin(">", "]") & (acc["depth"] > 0)
+        depth = acc["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
+        return F.struct(depth.alias("depth"), F.when((acc["depth"] > 0) | opens, acc["kept"]).otherwise(F.concat(acc["kept"], c)).alias("kept"))
+
+    return F.aggregate(F.split(text, ""), F.struct(F.lit(0).alias("depth"), F.lit("").alias("kept")), step, lambda acc: acc["kept"])
+
+
 def referenced_name(ref: Column) -> Column:
     """The bare name a reference holds.
 
@@ -32,9 +42,9 @@ def referenced_name(ref: Column) -> Column:
     Null stays null and a reference without a name becomes the empty string.
     """
     out = ref
-    for _ in range(4):
+    for _ in range(2):
         out = F.regexp_replace(out, r"<[^<>]*>|\[[^\[\]]*\]", "")
-    out = F.regexp_replace(out, r"[<\[].*$", "")
+    out = F.when(out.rlike(r"[<\[]"), _outside(out)).otherwise(out)
     out = F.regexp_replace(out, r"[*&^]", " ")
     out = F.regexp_replace(out, r"(?i)(^|\s)(?:(?:public|private|protected|virtual)\b\s*)+(?=\S)", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(out, r"\s+", " "), r"^.*(?:::|->|[.\\/#])\s*", ""))
@@ -48,11 +58,11 @@ def contract(links: DataFrame, paths: bool = False, max_rounds: int = 200) -> Da
     end are ignored; of several uppers for a node the smallest counts. An empty input gives an empty result.
     """
     seg = F.array("node") if paths else F.lit(1)
+    joined = F.concat("over_seg", "seg") if paths else F.col("over_seg") + F.col("seg")
     state = materialize(
         links.where(F.col("node").isNotNull() & F.col("upper").isNotNull())
         .groupBy("node").agg(F.min("upper").alias("upper"))
         .select("node", "upper", seg.alias("seg")), "links")
-    join_seg = (lambda a, b: F.concat(a, b)) if paths else (lambda a, b: a + b)
     records: list[DataFrame] = []
     core = state.limit(0)
     for rnd in range(max_rounds):
@@ -63,39 +73,42 @@ def contract(links: DataFrame, paths: bool = False, max_rounds: int = 200) -> Da
             F.when(F.col("kids").isNull(), F.lit("rake"))
             .when((F.col("kids") == 1) & (coin(F.col("node")) == 1) & (coin(F.col("upper")) == 0), F.lit("splice"))
             .otherwise(F.lit("keep"))).drop("kids")
-        marked = materialize(marked, "marked")
-        seen = {r["mark"]: r["n"] for r in marked.groupBy("mark").agg(F.count("*").alias("n")).collect()}
-        if not seen.get("rake"):
-            core = marked.drop("mark")
-            break
         spliced = marked.where(F.col("mark") == "splice").select(
             F.col("node").alias("upper"), F.col("upper").alias("over"), F.col("seg").alias("over_seg"))
-        moved = marked.join(spliced, "upper", "left") if seen.get("splice") else marked.withColumns(
-            {"over": F.lit(None).cast(marked.schema["upper"].dataType), "over_seg": F.lit(None).cast(marked.schema["seg"].dataType)})
-        moved = materialize(moved.select(
-            "node", F.coalesce("over", "upper").alias("upper"), "mark",
-            F.when(F.col("over").isNull(), F.col("seg")).otherwise(join_seg(F.col("over_seg"), F.col("seg"))).alias("seg")), "moved")
+        seen = Observation()
+        count = lambda mark: F.count(F.when(F.col("mark") == mark, 1)).alias(mark)
+        moved = marked.join(spliced, "upper", "left").select(
+            "node", F.coalesce("over", "upper").alias("upper"), "mark", F.when(F.col("over").isNull(), F.col("seg")).otherwise(joined).alias("seg"))
+        moved = materialize(moved.observe(seen, count("rake"), count("keep")), "contracted")  # the only job of the round; it counts its marks itself
+        if not seen.get["rake"]:  # what is left, spliced nodes included, leads into circles only
+            core = state
+            break
         records.append(moved.where(F.col("mark") != "keep").drop("mark"))
         state = moved.where(F.col("mark") == "keep").drop("mark")
-        if not seen.get("keep"):
+        if not seen.get["keep"]:
             break
     else:
         raise RuntimeError(f"contraction did not end within {max_rounds} rounds")
 
     path_type = "array<string>" if paths else "int"
     nodes = core.select("node", F.lit(CYCLE).alias("root"), F.lit(-1).alias("depth"), F.lit(None).cast(path_type).alias("path"))
-    done = [nodes]
-    for record in reversed(records):
-        known = reduce(DataFrame.unionByName, done).select(F.col("node").alias("upper"), "root", "depth", "path")
-        down = record.join(known, "upper", "left")
-        length = F.size("seg") if paths else F.col("seg")
-        on_cycle = F.col("depth") == -1
-        full = (F.when(on_cycle, F.lit(None)).otherwise(F.concat(F.coalesce("path", F.array("upper")), F.col("seg")))
-                if paths else F.lit(None).cast("int"))
-        done.append(materialize(down.select(
+    length = F.size("seg") if paths else F.col("seg")
+    on_cycle = F.col("depth") == -1
+    full = (F.when(on_cycle, F.lit(None)).otherwise(F.concat(F.coalesce("path", F.array("upper")), F.col("seg")))
+            if paths else F.lit(None).cast("int"))
+
+    def replay(record: DataFrame, parts: list[DataFrame]) -> DataFrame:
+        known = reduce(DataFrame.unionByName, parts).select(F.col("node").alias("upper"), "root", "depth", "path")
+        return record.join(known, "upper", "left").select(
             "node", F.coalesce("root", "upper").alias("root"),
-            F.when(on_cycle, F.lit(-1)).otherwise(F.coalesce("depth", F.lit(0)) + length).cast("int").alias("depth"),
-            full.alias("path")), "resolved"))
+            F.when(on_cycle, F.lit(-1)).otherwise(F.coalesce("depth", F.lit(0)) + length).cast("int").alias("depth"), full.alias("path"))
+
+    # Rounds shrink in proportion, so reading all later ones again is no more work than the first. Two are replayed in one job.
+    done = [nodes]
+    for at in range(len(records), 0, -2):
+        later = replay(records[at - 1], done)
+        both = [later, replay(records[at - 2], [*done, later])] if at > 1 else [later]
+        done.append(materialize(reduce(DataFrame.unionByName, both), "resolved"))
     out = reduce(DataFrame.unionByName, done)
     return out if paths else out.drop("path")
 

@@ -34,10 +34,12 @@ def find_orphans(references: DataFrame, lifetimes: DataFrame, rows_per_group: in
     """The rows of ``references(scope, key, at, ...)`` whose key does not exist at ``at``; columns are kept.
 
     Null and empty keys refer to nothing and are no orphans. A null scope or time matches no run, so
-    such a reference is one. A key with more than ``rows_per_group`` references is salted: its references are dealt
+    such a reference is one, and takes no part in the match. A key with more than ``rows_per_group`` references is salted: its references are dealt
     into groups of about that size and its runs repeated for each, so no task gets an unbounded group.
     """
-    refs = references.where(F.col("key").isNotNull() & (F.col("key") != ""))
+    given = references.where(F.col("key").isNotNull() & (F.col("key") != ""))
+    nowhere = F.col("scope").isNull() | F.col("at").isNull()
+    refs = given.where(~nowhere)
     hot = (refs.groupBy("scope", "key").agg(F.count("*").alias("n")).where(F.col("n") > rows_per_group)
            .select("scope", "key", F.ceil(F.col("n") / rows_per_group).cast("int").alias("salts")))
     names = references.columns
@@ -56,8 +58,8 @@ def find_orphans(references: DataFrame, lifetimes: DataFrame, rows_per_group: in
     return (
         ref_rows.unionByName(run_rows)
         .withColumn("until", F.last("run_end", ignorenulls=True).over(asof))
-        .where((F.col("is_ref") == 1) & (F.col("scope").isNull() | F.col("t").isNull() | F.col("until").isNull() | (F.col("t") >= F.col("until"))))
-        .select("row.*"))
+        .where((F.col("is_ref") == 1) & (F.col("until").isNull() | (F.col("t") >= F.col("until"))))
+        .select("row.*").unionByName(given.where(nowhere)))
 
 
 def _micros(c: Column) -> Column:
