@@ -46,7 +46,8 @@ def normal_path(path: Column) -> Column:
 
 
 def snake(name: Column) -> Column:
-    return F.lower(F.regexp_replace(name, r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "_"))
+    humps = F.regexp_replace(name, r"([a-z0-9])([A-Z])", "$1_$2")
+    return F.lower(F.regexp_replace(humps, r"([A-Z])([A-Z][a-z])", "$1_$2"))
 
 
 def entropy(text: Column) -> Column:

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from codestrata.functions.text import basename, normal_path, snake
+
 # The kind of file by extension.
 FILE_TYPES = {
     "c_source": ".c .cpp .cc .cxx", "header": ".h .hpp .hh .hxx", "assembly": ".asm .s .nasm", "module_inf": ".inf", "package_dec": ".dec",
@@ -54,9 +56,12 @@ def is_skipped(path: Column, include_build: bool = False) -> Column:
     return F.arrays_overlap(folders, F.array(*map(F.lit, skip)))
 
 
+TEST_PATH = (r"(^|/)(tests?|__tests__|specs?)/|(^|/)(test(\.[^./]*)?|test[_-][^/]*|[^/]*(_test|_spec|\.test|\.spec)(\.[^./]*)?|[^/]*\.(test|spec)\.[^/]*|conftest\.py)$")
+
+
 def is_test_for_dead_code(path: Column) -> Column:
-    """A file in a tests folder, or named like a test."""
-    return path.rlike(r"(^|/)(tests?|__tests__|spec|specs)/|(^|/)test_[^/]*$|(^|/)[^/]*(_test|_spec|\.test|\.spec)\.[^/.]+$")
+    """A file in a folder of tests or specs, or named like one, in any case."""
+    return F.lower(F.replace(path, F.lit("\\"), F.lit("/"))).rlike(TEST_PATH)
 
 
 def is_test_for_security(path: Column) -> Column:
@@ -166,30 +171,36 @@ def imports(files: DataFrame, texts: DataFrame) -> DataFrame:
     return src.select("project", "path", F.explode(F.array_distinct(F.filter(found, lambda x: x != ""))).alias("ref"))
 
 
+def _no_ext(path: Column) -> Column:
+    return F.regexp_replace(path, r"(?<=[^/])\.[^./]*$", "")
+
+
 def resolve(refs: DataFrame, files: DataFrame) -> DataFrame:
     """(project, path, ref, rule, target): the files a reference leads to, by the first rule that finds any; all its matches come out.
 
-    Rules in order: 0 the exact relative path, 1 the base name, 2 the lower-case stem, 3 the dotted or ``::`` name as a path without
-    extension, 4 the same as the end of a path. The last is an equality on every tail of a path, so each rule is a hash join. A file never
-    refers to itself.
+    Rules in order: 0 the path as seen from the file's folder, with '.' and '..' resolved; 1 the base name; 2 the stem in lower case; 3 the stem of the path of rule 0; 4 the stem's
+    camel case in snake case; 5 a dotted or ``::`` name as a path without extension, in lower case, and then 6 the same as the end of a path. 0 and 3 take references with a slash or dot, of files in a folder. The
+    last rule is an equality on every tail of a path, so each rule is a hash join. A file never refers to itself, even where a rule finds nothing else.
     """
     rule = lambda n, key: F.struct(F.lit(n).alias("rule"), key.alias("key"))
-    norm = lambda c: F.regexp_replace(F.regexp_replace(c, r"^(?:\./)+", ""), r"/+", "/")
-    folder = F.regexp_replace("path", r"[^/]*$", "")
-    dotted = F.regexp_replace(F.regexp_replace(F.col("ref"), r"^(?:crate|self|super)::|^\.+", ""), r"::|\.", "/")
-    base = F.regexp_extract("ref", r"([^/]+)$", 1)
-    stem = F.lower(F.regexp_replace(F.regexp_replace(F.col("ref"), r"^.*(?:/|::)", ""), r"^(.+)\.[A-Za-z0-9]+$", "$1"))
-    keys = refs.select("project", "path", "ref", F.explode(F.array(
-        rule(0, norm(F.concat(folder, norm("ref")))), rule(1, base), rule(2, stem), rule(3, dotted), rule(4, dotted))).alias("k")).select("project", "path", "ref", "k.rule", "k.key").where("key <> ''")
-    bare = F.regexp_replace("path", r"\.[A-Za-z0-9]+$", "")
-    parts = F.split(bare, "/")
+    ref = F.replace("ref", F.lit("\\"), F.lit("/"))
+    folder = F.regexp_extract("path", r"^(.*/)?[^/]*$", 1)
+    seen = F.when((folder != "") & ref.rlike(r"[/.]"), normal_path(F.concat(folder, ref)))
+    stem = _no_ext(basename(F.regexp_replace(ref, r"::", "/")))
+    dotted = F.lower(F.regexp_replace(F.regexp_replace("ref", r"^(?:crate|self|super)::|^\.+", ""), r"::|\.", "/"))
+    dotted = F.when(~ref.contains("/"), dotted)
+    wanted = [rule(0, seen), rule(1, basename(ref)), rule(2, F.lower(stem)), rule(3, F.lower(_no_ext(basename(seen)))), rule(4, F.when(~stem.contains("_") & (stem != F.lower(stem)), snake(stem))), rule(5, dotted), rule(6, dotted)]
+    keys = refs.select("project", "path", "ref", F.explode(F.array(*wanted)).alias("k")).select("project", "path", "ref", "k.rule", "k.key").where("key <> ''")
+    bare = _no_ext(F.col("path"))
+    parts = F.split(F.lower(bare), "/")
     tails = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.concat_ws("/", F.slice(parts, i, F.size(parts))))
-    fixed = [rule(0, F.col("path")), rule(1, F.regexp_extract("path", r"([^/]+)$", 1)), rule(2, F.lower(F.regexp_extract(bare, r"([^/]+)$", 1))), rule(3, bare)]
-    ends = F.when(F.size(parts) > 1, F.transform(tails, lambda t: rule(4, t))).otherwise(F.array().cast("array<struct<rule:int,key:string>>"))
-    index = known_files(files).select("project", F.col("path").alias("target"), F.explode(F.concat(F.array(*fixed), ends)).alias("k")).select("project", "target", "k.rule", "k.key")
-    hits = keys.join(index, ["project", "rule", "key"]).where("path <> target").drop("key")
+    low = F.lower(basename(bare))
+    fixed = [rule(0, F.col("path")), rule(1, basename(F.col("path"))), rule(2, low), rule(3, low), rule(4, low), rule(5, F.lower(bare))]
+    ends = F.when(F.size(parts) > 1, F.transform(tails, lambda t: rule(6, t))).otherwise(F.array().cast("array<struct<rule:int,key:string>>"))
+    index = known_files(files).select("project", F.col("path").alias("target")).distinct().withColumn("path", F.col("target")).select("project", "target", F.explode(F.concat(F.array(*fixed), ends)).alias("k")).select("project", "target", "k.rule", "k.key")
+    hits = keys.join(index, ["project", "rule", "key"]).drop("key")
     best = F.min("rule").over(Window.partitionBy("project", "path", "ref"))
-    return hits.withColumn("best", best).where("rule = best").drop("best").distinct()
+    return hits.withColumn("best", best).where("rule = best AND path <> target").drop("best").distinct()
 
 
 def import_edges(files: DataFrame, texts: DataFrame) -> DataFrame:

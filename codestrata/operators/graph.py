@@ -76,33 +76,45 @@ def concentration(edges: DataFrame, top: int = 3) -> DataFrame:
 
 
 def trust_label(kind: Column, confidence: Column) -> Column:
-    """EXTRACTED, DERIVED, INFERRED or AMBIGUOUS: an edge without confidence was read from the source; inferred ones need 0.7."""
-    known = confidence.cast("double")
-    return (F.when(kind == "inferred", F.when(F.coalesce(known, F.lit(0.0)) >= 0.7, "INFERRED").otherwise("AMBIGUOUS"))
-            .when(known.isNull() | (known >= 1.0), "EXTRACTED").when(known >= 0.7, "DERIVED").otherwise("AMBIGUOUS"))
+    """EXTRACTED, DERIVED, INFERRED or AMBIGUOUS, by the kind of an edge and how sure it is.
+
+    Derived edges (kind holds 'deriv') count as such unless their confidence is below one half; inferred and semantic ones need a known confidence of at least one half. Any other
+    edge was read from the source if its confidence is unknown or 1, and counts as inferred down to one half. Everything else is ambiguous.
+    """
+    low, sure = F.lower(F.coalesce(kind, F.lit(""))), confidence.try_cast("double")
+    half = F.coalesce(sure >= 0.5, F.lit(False))
+    return (F.when(low.contains("deriv"), F.when(sure.isNull() | half, "DERIVED").otherwise("AMBIGUOUS"))
+            .when(low.contains("infer") | (low == "semantic"), F.when(half, "INFERRED").otherwise("AMBIGUOUS"))
+            .when(sure.isNull() | (sure >= 1.0), "EXTRACTED").when(half, "INFERRED").otherwise("AMBIGUOUS"))
 
 
 def trust_summary(edges: DataFrame) -> DataFrame:
-    """Edges by trust label for each scope, every label present. The confidence of a warehouse edge grows with its weight."""
-    confidence = F.when(F.col("kind") == "", None).otherwise(F.least(F.lit(1.0), F.col("weight") / 10.0))
+    """Edges by trust label for each scope, every label present. Edges without a column ``confidence`` have none."""
+    confidence = F.col("confidence") if "confidence" in edges.columns else F.lit(None).cast("double")
     n = edges.withColumn("label", trust_label(F.col("kind"), confidence)).groupBy("scope", "label").agg(F.count("*").alias("edges"))
     labels = F.explode(F.array(*map(F.lit, ("EXTRACTED", "DERIVED", "INFERRED", "AMBIGUOUS")))).alias("label")
     return edges.select("scope").distinct().select("scope", labels).join(n, ["scope", "label"], "left").na.fill(0, ["edges"])
 
 
 def surprising(edges: DataFrame, top: int = 5) -> DataFrame:
-    """The ``top`` edges of each scope between unlike nodes: unordered pairs scored by rare links and lopsided degrees (a top-k report)."""
-    d = degrees(edges).select("scope", "node", "degree")
-    pair = Window.partitionBy("scope", F.least("s", "t"), F.greatest("s", "t")).orderBy("edge_id")
-    first = typed_edges(edges).withColumn("nth", F.row_number().over(pair)).where("nth = 1")
-    rows = (first.join(d.select("scope", F.col("node").alias("s"), F.col("degree").alias("ds")), ["scope", "s"])
-            .join(d.select("scope", F.col("node").alias("t"), F.col("degree").alias("dt")), ["scope", "t"]))
-    lopsided = F.greatest("ds", "dt") / F.least("ds", "dt") >= 10
-    parts = [F.when(F.col("kind") == "inferred", F.lit("inferred")), F.when(lopsided, F.lit("degree ratio")), F.when(F.col("weight") == 1, F.lit("single link"))]
-    score = sum((F.when(p.isNotNull(), n).otherwise(0) for p, n in zip(parts, (1, 1, 2))), F.lit(0))
-    rank = F.row_number().over(Window.partitionBy("scope").orderBy(F.desc("score"), "s", "t"))
-    return (rows.withColumns({"score": score, "reason": F.concat_ws(" + ", *parts)}).where("score > 0").withColumn("rank", rank)
-            .where(F.col("rank") <= top).select("scope", "s", "t", "score", "reason", "rank"))
+    """The ``top`` edges(scope, s, t, kind) between files of each scope that cross most boundaries (a top-k report).
+
+    2 points for ends in different top folders, 2 for different extensions, 1 for an inferred edge, 1 where one end has ten times the links of the other. Of the edges between two files the best counts,
+    whatever its direction; ties go by name.
+    """
+    ends = F.explode(F.array("s", "t")).alias("node")
+    degree = edges.where("s <> t").select("scope", ends).groupBy("scope", "node").agg(F.count("*").alias("degree"))
+    of = lambda c: degree.select("scope", F.col("node").alias(c), F.col("degree").alias(f"d{c}"))
+    rows = edges.where("s <> t").join(of("s"), ["scope", "s"]).join(of("t"), ["scope", "t"])
+    top_folder = lambda c: F.substring_index(c, "/", 1)
+    ext = lambda c: F.regexp_extract(c, r"[^/](\.[^./]*)$", 1)
+    parts = [
+        (F.when(top_folder("s") != top_folder("t"), "cross-directory"), 2), (F.when((ext("s") != "") & (ext("t") != "") & (ext("s") != ext("t")), "cross-language"), 2),
+        (F.when(F.coalesce("kind", F.lit("")).contains("inferred"), "inferred edge"), 1), (F.when(F.greatest("ds", "dt") / F.least("ds", "dt") >= 10, "peripheral→hub"), 1)]
+    score = sum((F.when(p.isNotNull(), n).otherwise(0) for p, n in parts), F.lit(0))
+    rows = rows.withColumns({"score": score, "reason": F.concat_ws(" + ", *(p for p, _ in parts))}).where("score > 0")
+    pair = rows.groupBy("scope", F.least("s", "t"), F.greatest("s", "t")).agg(F.min(F.struct((-F.col("score")).alias("order"), "s", "t", "reason", "score")).alias("e")).select("scope", "e.s", "e.t", "e.score", "e.reason")
+    return pair.withColumn("rank", F.row_number().over(Window.partitionBy("scope").orderBy(F.desc("score"), "s", "t"))).where(F.col("rank") <= top)
 
 
 # --- iterative operators ----------------------------------------------------------------------------------------------------------
@@ -164,7 +176,9 @@ def strong_components(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """
     live = materialize(edges.where("s <> t").select("scope", "s", "t").distinct(), "live")
     found: list[DataFrame] = []
-    for _ in range(most_rounds):
+    for rnd in range(most_rounds + 1):
+        if rnd == most_rounds:
+            raise RuntimeError(f"components remain after {most_rounds} rounds")
         while True:
             size = live.count()
             sources, targets = live.select("scope", F.col("s").alias("n")).distinct(), live.select("scope", F.col("t").alias("n")).distinct()

@@ -55,14 +55,18 @@ def length_stats(symbols: DataFrame, top: int = 10) -> DataFrame:
 
 
 def inheritance(symbols: DataFrame) -> DataFrame:
-    """(project, src, dst, type): a type and each base that a type of the project bears, in the same file first; 'implements' for interfaces and mixins."""
+    """(project, src, dst, type): a type and each base that a type of its file bears, else the only type of that name in the project; 'implements' for interfaces and mixins.
+
+    Of several types of the name in the file the first by sid counts. A name that several types elsewhere bear links to none of them.
+    """
     s = known_symbols(symbols)
     types = s.where(F.col("kind").isin(*TYPE_KINDS))
     refs = types.select("project", "file_id", F.col("sid").alias("src"), F.explode("bases").alias("ref")).select("project", "file_id", "src", referenced_name(F.col("ref")).alias("name")).where("name <> ''").distinct()
     target = types.select("project", F.col("file_id").alias("tf"), F.col("sid").alias("dst"), "name", F.col("kind").alias("dst_kind"))
     hits = refs.join(target, ["project", "name"]).where("src <> dst")
-    best = F.row_number().over(Window.partitionBy("src", "name").orderBy(F.when(F.col("file_id") == F.col("tf"), 0).otherwise(1), "dst"))
-    return hits.withColumn("n", best).where("n = 1").select("project", "src", "dst", F.when(F.col("dst_kind").isin("interface", "mixin", "trait", "protocol"), "implements").otherwise("inherit").alias("type")).distinct()
+    here = F.when(F.col("file_id") == F.col("tf"), F.struct("dst", "dst_kind"))
+    picked = hits.groupBy("project", "src", "name").agg(F.min(here).alias("here"), F.min(F.struct("dst", "dst_kind")).alias("any"), F.countDistinct("dst").alias("n"))
+    return picked.where("here IS NOT NULL OR n = 1").select("project", "src", F.coalesce("here", "any").alias("to")).select("project", "src", "to.dst", "to.dst_kind").select("project", "src", "dst", F.when(F.col("dst_kind").isin("interface", "mixin", "trait", "protocol"), "implements").otherwise("inherit").alias("type")).distinct()
 
 
 def overrides(symbols: DataFrame) -> DataFrame:
@@ -79,7 +83,7 @@ def overrides(symbols: DataFrame) -> DataFrame:
 def calls(symbols: DataFrame, texts: DataFrame) -> DataFrame:
     """(project, file_id, sid, callee): the distinct names called in the lines of each callable, minus built-in ones and itself, extracted in the JVM."""
     line_array = F.split("text", r"\r\n|\n|\r", -1)
-    body = F.array_join(F.slice("lines", F.col("line") + 1, F.greatest(F.col("end_line") - F.col("line"), F.lit(0))), "\n")
+    body = F.array_join(F.slice("lines", F.col("line") + 1, F.greatest(F.col("end_line") - F.col("line"), F.lit(0))), "\n")  # sliced as it is joined: only the callable's own lines go on
     names = F.array_distinct(F.regexp_extract_all(F.regexp_replace(body, r"\"[^\"\n]*\"|'[^'\n]*'|//[^\n]*|(?m)^\s*#[^\n]*", ""), F.lit(r"([A-Za-z_]\w+)\s*\("), F.lit(1)))
     skip = F.array(*map(F.lit, [*BUILTIN_CALLS, *NOT_CALLS]))
     rows = known_symbols(symbols).where(_callable() & (F.col("line") > 0) & (F.col("end_line") >= F.col("line"))).select("project", "file_id", "sid", "name", "line", "end_line").distinct()
@@ -96,14 +100,14 @@ def call_edges(symbols: DataFrame, texts: DataFrame) -> DataFrame:
     return hit.where("dst IS NOT NULL AND dst <> sid").select("project", F.col("sid").alias("src"), "dst", F.when(F.col("local").isNotNull(), "file").otherwise("project").alias("scope")).distinct()
 
 
-def dead_code(symbols: DataFrame, texts: DataFrame) -> DataFrame:
+def dead_code(symbols: DataFrame, texts: DataFrame, calls_of: DataFrame | None = None) -> DataFrame:
     """Callables whose name is called nowhere in their project; tests, entry points and dunder names are left out.
 
-    A call counts for every file that defines the name.
+    A call counts for every file that defines the name. ``calls_of`` are calls already extracted.
     """
     defined = known_symbols(symbols).where(_callable() & F.col("name").isNotNull() & F.col("file").isNotNull()).where(
         ~is_test_for_dead_code(F.col("file")) & ~F.col("name").rlike("^__.+__$") & ~F.col("name").isin(*ENTRY_NAMES)).select("project", "sid", "file", "name").distinct()
-    called = calls(symbols, texts).select("project", F.col("callee").alias("name")).distinct()
+    called = (calls_of if calls_of is not None else calls(symbols, texts)).select("project", F.col("callee").alias("name")).distinct()
     return defined.join(called, ["project", "name"], "left_anti")
 
 
@@ -116,9 +120,9 @@ def symbol_hotspots(edges: DataFrame, symbols: DataFrame, top: int = 10) -> Data
     return named.withColumn("rank", rank).where(F.col("rank") <= top).select("project", "sid", "name", "callers", "rank")
 
 
-def top_callers(symbols: DataFrame, texts: DataFrame, top: int = 50) -> DataFrame:
+def top_callers(symbols: DataFrame, texts: DataFrame, top: int = 50, calls_of: DataFrame | None = None) -> DataFrame:
     """The ``top`` files of each project by distinct outgoing calls; a god file is among the first 5 % and makes 100 or more (a top-k report)."""
-    n = calls(symbols, texts).select("project", "file_id", "callee").distinct().groupBy("project", "file_id").agg(F.count("*").alias("calls"))
+    n = (calls_of if calls_of is not None else calls(symbols, texts)).select("project", "file_id", "callee").distinct().groupBy("project", "file_id").agg(F.count("*").alias("calls"))
     project = Window.partitionBy("project")
     of = n.groupBy("project").agg(F.count("*").alias("of"))
     rows = n.withColumn("rank", F.row_number().over(project.orderBy(F.desc("calls"), "file_id"))).where(F.col("rank") <= top).join(of, "project")

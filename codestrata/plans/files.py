@@ -12,6 +12,7 @@ _KIND = _TYPE.format("ext")
 _FAMILY = "CASE " + " ".join(f"WHEN ext IN ({', '.join(repr(v) for v in values.split())}) THEN '{name}'" for name, values in f.FAMILIES.items()) + " END"
 _F = """WITH f AS (SELECT DISTINCT file_id, project, path, label, lower(ext) ext, coalesce(size, 0) size, coalesce(loc.code, 0) code, coalesce(loc.comment, 0) "comment", coalesce(loc.blank, 0) blank,
  coalesce(func_count, 0) func_count, CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) ELSE '_root' END module FROM files)"""
+_TEST = "regexp_matches(lower(replace({0}, '\\', '/')), '" + f.TEST_PATH.replace("{", "{{") + "')"
 _SKIP = "list_has_any(string_split(path, '/')[:-2], [" + ", ".join(f"'{x}'" for x in f.SKIP_DIRS) + "])"
 
 
@@ -20,7 +21,7 @@ def _files(fn):
 
 
 query("f_nodes", _F + f"""SELECT file_id, project, path, ext, size, code + "comment" + blank lines, module, {_KIND} kind, {_SKIP} skipped,
-regexp_matches(path, '(^|/)(tests?|__tests__|spec|specs)/|(^|/)test_[^/]*$|(^|/)[^/]*(_test|_spec|\\.test|\\.spec)\\.[^/.]+$') test_dead,
+{_TEST.format('path')} test_dead,
 regexp_matches(lower(path), '(^|/)(tests?|fixtures?|mocks?|__tests__|__mocks__)/|(^|/)[^/]*test[^/]*$') test_security, {_KIND} NOT IN {f.NON_CODE} is_code FROM f""")(_files(f.file_nodes))
 query("f_loc_totals", _F + """SELECT project, CAST(sum(code) AS BIGINT) code, CAST(sum("comment") AS BIGINT) "comment", CAST(sum(blank) AS BIGINT) blank, CAST(sum(code + "comment" + blank) AS BIGINT) total FROM f GROUP BY 1""")(_files(f.loc_totals))
 query("f_type_counts", _F + f"SELECT project, {_KIND} kind, count(*) files FROM f GROUP BY 1, 2")(_files(f.type_counts))
@@ -41,15 +42,24 @@ _GROUPS = {ext: [ext, *(e for e, like in f.SAME_IMPORTS.items() if like == ext)]
 _IMPORTS = " UNION ALL ".join(f"SELECT project, path, list_concat(regexp_extract_all(text, '{p.replace(chr(39), chr(39) * 2)}', 1), regexp_extract_all(text, '{p.replace(chr(39), chr(39) * 2)}', 2)) refs FROM f JOIN source_texts USING (file_id) WHERE text IS NOT NULL AND ext IN ({', '.join(repr(e) for e in _GROUPS[ext])})"
                               for ext, p in f.IMPORTS.items())
 _REFS = f"g AS ({_IMPORTS}), u AS (SELECT DISTINCT project, path, unnest(refs) AS ref FROM g), im AS (SELECT * FROM u WHERE ref <> '')"
-_RESOLVED = _REFS + r""", d AS (SELECT *, regexp_replace(regexp_replace(ref, '^(?:crate|self|super)::|^\.+', ''), '::|\.', '/', 'g') dotted FROM im),
-ks AS (SELECT project, path, ref, 0 AS rule, regexp_replace(regexp_replace(regexp_replace(path, '[^/]*$', '') || regexp_replace(regexp_replace(ref, '^(?:\./)+', ''), '/+', '/', 'g'), '^(?:\./)+', ''), '/+', '/', 'g') AS key FROM d
- UNION ALL SELECT project, path, ref, 1, regexp_extract(ref, '([^/]+)$', 1) FROM d UNION ALL SELECT project, path, ref, 2, lower(regexp_replace(regexp_replace(ref, '^.*(?:/|::)', ''), '^(.+)\.[A-Za-z0-9]+$', '\1')) FROM d
- UNION ALL SELECT project, path, ref, 3, dotted FROM d UNION ALL SELECT project, path, ref, 4, dotted FROM d),
-ba AS (SELECT DISTINCT project, path, regexp_replace(path, '\.[A-Za-z0-9]+$', '') bare FROM f), pt AS (SELECT *, string_split(bare, '/') parts FROM ba), tl AS (SELECT project, path, parts, unnest(range(2, len(parts) + 1)) i FROM pt),
-ix AS (SELECT project, path target, 0 AS rule, path AS key FROM ba UNION ALL SELECT project, path, 1, regexp_extract(path, '([^/]+)$', 1) FROM ba UNION ALL SELECT project, path, 2, lower(regexp_extract(bare, '([^/]+)$', 1)) FROM ba
- UNION ALL SELECT project, path, 3, bare FROM ba UNION ALL SELECT project, path, 4, array_to_string(parts[i:], '/') FROM tl),
-hi AS (SELECT ks.project, path, ref, ks.rule, target FROM ks JOIN ix ON ix.project = ks.project AND ix.rule = ks.rule AND ix.key = ks.key WHERE path <> target AND ks.key <> ''),
-ie AS (SELECT DISTINCT project, path s, target t FROM (SELECT *, min(rule) OVER (PARTITION BY project, path, ref) best FROM hi) WHERE rule = best)"""
+_UP = "regexp_replace({0}, '(^|/)[^/.][^/]*/\.\.(/|$)', '\1')"
+_NORMAL = "regexp_replace(regexp_replace(regexp_replace({0}, '(^|/)(\./)+', '\\1', 'g'), '/+', '/', 'g'), '(/\.)?/?$', '')"
+for _ in range(4):
+    _NORMAL = _UP.format(_NORMAL)
+_BARE = "regexp_replace({0}, '([^/])\.[^./]*$', '\\1')"
+_LAST = "regexp_extract({0}, '([^/]*)$', 1)"
+_SNAKE = "lower(regexp_replace(regexp_replace({0}, '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1_\\2', 'g'))"
+_RESOLVED = _REFS + rf""", d0 AS (SELECT *, replace(ref, '\', '/') rs, regexp_extract(path, '^(.*/)?[^/]*$', 1) folder,
+ CASE WHEN NOT contains(replace(ref, '\', '/'), '/') THEN lower(regexp_replace(regexp_replace(ref, '^(?:crate|self|super)::|^\.+', ''), '::|\.', '/', 'g')) END dotted FROM im),
+d AS (SELECT *, CASE WHEN folder <> '' AND regexp_matches(rs, '[/.]') THEN {_NORMAL.format('(folder || rs)')} END seen, {_BARE.format(_LAST.format("replace(rs, '::', '/')"))} stem FROM d0),
+ks AS (SELECT project, path, ref, 0 AS rule, seen AS key FROM d UNION ALL SELECT project, path, ref, 1, {_LAST.format('rs')} FROM d UNION ALL SELECT project, path, ref, 2, lower(stem) FROM d
+ UNION ALL SELECT project, path, ref, 3, lower({_BARE.format(_LAST.format('seen'))}) FROM d UNION ALL SELECT project, path, ref, 4, {_SNAKE.format('stem')} FROM d WHERE NOT contains(stem, '_') AND stem <> lower(stem)
+ UNION ALL SELECT project, path, ref, 5, dotted FROM d UNION ALL SELECT project, path, ref, 6, dotted FROM d),
+ba AS (SELECT DISTINCT project, path, {_BARE.format('path')} bare FROM f), tl AS (SELECT project, path, string_split(lower(bare), '/') parts, unnest(range(2, len(string_split(bare, '/')) + 1)) i FROM ba),
+ix AS (SELECT project, path target, 0 AS rule, path AS key FROM ba UNION ALL SELECT project, path, 1, {_LAST.format('path')} FROM ba UNION ALL SELECT project, path, unnest([2, 3, 4]), lower({_LAST.format('bare')}) FROM ba
+ UNION ALL SELECT project, path, 5, lower(bare) FROM ba UNION ALL SELECT project, path, 6, array_to_string(parts[i:], '/') FROM tl),
+hi AS (SELECT ks.project, path, ref, ks.rule, target FROM ks JOIN ix ON ix.project = ks.project AND ix.rule = ks.rule AND ix.key = ks.key WHERE ks.key <> ''),
+ie AS (SELECT DISTINCT project, path s, target t FROM (SELECT *, min(rule) OVER (PARTITION BY project, path, ref) best FROM hi) WHERE rule = best AND path <> target)"""
 query("f_imports", _F + f", {_REFS} SELECT * FROM im")(lambda s, d: f.imports(read(s, d, "files"), read(s, d, "source_texts")))
 query("f_import_edges", _F + f", {_RESOLVED} SELECT * FROM ie")(lambda s, d: f.import_edges(read(s, d, "files"), read(s, d, "source_texts")))
 query("f_entry_points", _F + f""", {_RESOLVED} SELECT DISTINCT project, path, CASE WHEN EXISTS (SELECT 1 FROM ie WHERE ie.project = f.project AND ie.s = f.path) THEN 'entry' ELSE 'isolated' END AS role FROM f

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codestrata.operators import graph as g
+from codestrata.operators import files as fl, graph as g
+from codestrata.plans.files import _F, _RESOLVED
 from codestrata.plans.registry import query
 from codestrata.tables import read
 
@@ -32,15 +33,22 @@ SELECT e.scope, coalesce(a.node, 'others') s, coalesce(b.node, 'others') t, CAST
 WHERE e.s <> e.t GROUP BY 1, 2, 3""")(_edges(g.flows))
 query("g_concentration", _W + """, n AS (SELECT scope, t node, count(*) edges FROM y GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY edges DESC, node) k FROM n)
 SELECT scope, CAST(sum(edges) FILTER (k <= 3) AS BIGINT) top_edges, CAST(sum(edges) AS BIGINT) edges, CAST(floor(100 * sum(edges) FILTER (k <= 3) / sum(edges) + 0.5) AS BIGINT) percent FROM r GROUP BY 1""")(_edges(g.concentration))
-query("g_trust_summary", _W + """, c AS (SELECT scope, kind, CASE WHEN kind = '' THEN NULL ELSE least(1.0, weight / 10.0) END conf FROM e),
-l AS (SELECT scope, CASE WHEN kind = 'inferred' THEN CASE WHEN coalesce(conf, 0) >= 0.7 THEN 'INFERRED' ELSE 'AMBIGUOUS' END WHEN conf IS NULL OR conf >= 1 THEN 'EXTRACTED' WHEN conf >= 0.7 THEN 'DERIVED' ELSE 'AMBIGUOUS' END AS label FROM c),
+query("g_trust_summary", _W + """, l AS (SELECT scope, CASE WHEN lower(kind) LIKE '%deriv%' THEN 'DERIVED' WHEN lower(kind) LIKE '%infer%' OR lower(kind) = 'semantic' THEN 'AMBIGUOUS' ELSE 'EXTRACTED' END AS label FROM e),
 a AS (SELECT DISTINCT scope, unnest(['EXTRACTED', 'DERIVED', 'INFERRED', 'AMBIGUOUS']) AS label FROM e)
 SELECT a.scope, a.label, count(l.scope) edges FROM a LEFT JOIN l ON a.scope = l.scope AND a.label = l.label GROUP BY 1, 2""")(_edges(g.trust_summary))
-query("g_surprising", _W + """, p AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY scope, least(s, t), greatest(s, t) ORDER BY edge_id) = 1),
-j AS (SELECT p.*, greatest(a.degree, b.degree) / least(a.degree, b.degree) >= 10 lop FROM p JOIN dg a ON a.scope = p.scope AND a.node = p.s JOIN dg b ON b.scope = p.scope AND b.node = p.t),
-c AS (SELECT scope, s, t, CAST(kind = 'inferred' AS INT) + CAST(lop AS INT) + 2 * CAST(weight = 1 AS INT) score,
-  concat_ws(' + ', CASE WHEN kind = 'inferred' THEN 'inferred' END, CASE WHEN lop THEN 'degree ratio' END, CASE WHEN weight = 1 THEN 'single link' END) reason FROM j)
-SELECT *, row_number() OVER (PARTITION BY scope ORDER BY score DESC, s, t) AS rank FROM c WHERE score > 0 QUALIFY rank <= 5""")(_edges(g.surprising))
+
+
+def _file_edges(s, d):
+    return fl.import_edges(read(s, d, "files"), read(s, d, "source_texts")).select(F.col("project").alias("scope"), "s", "t", F.lit("import").alias("kind"))
+
+
+query("g_surprising", _F + f""", {_RESOLVED}, n AS (SELECT project, node, count(*) c FROM (SELECT project, s node FROM ie UNION ALL SELECT project, t FROM ie) GROUP BY 1, 2),
+j AS (SELECT ie.project AS scope, s, t, split_part(s, '/', 1) <> split_part(t, '/', 1) dir, regexp_extract(s, '[^/](\\.[^./]*)$', 1) xs, regexp_extract(t, '[^/](\\.[^./]*)$', 1) xt, greatest(a.c, b.c) / least(a.c, b.c) >= 10 hub
+  FROM ie JOIN n a ON a.project = ie.project AND a.node = s JOIN n b ON b.project = ie.project AND b.node = t),
+c AS (SELECT scope, s, t, 2 * CAST(dir AS INT) + 2 * CAST(xs <> '' AND xt <> '' AND xs <> xt AS INT) + CAST(hub AS INT) AS score,
+  concat_ws(' + ', CASE WHEN dir THEN 'cross-directory' END, CASE WHEN xs <> '' AND xt <> '' AND xs <> xt THEN 'cross-language' END, CASE WHEN hub THEN 'peripheral→hub' END) AS reason FROM j),
+p AS (SELECT * FROM c WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY scope, least(s, t), greatest(s, t) ORDER BY score DESC, s, t) = 1)
+SELECT *, row_number() OVER (PARTITION BY scope ORDER BY score DESC, s, t) AS rank FROM p QUALIFY rank <= 5""")(lambda s, d: g.surprising(_file_edges(s, d)))
 
 
 def _starts(edges):

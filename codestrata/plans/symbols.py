@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from codestrata.operators import graph, quality, symbols as y
+from codestrata.plans.files import _TEST
 from codestrata.plans.registry import query
 from codestrata.plans.structure import _REF
 from codestrata.tables import read
@@ -29,7 +30,8 @@ query("s_length_stats", f"""WITH {_S}, r AS (SELECT DISTINCT sid, project, name,
 SELECT *, round(avg(lines) OVER (PARTITION BY project), 4) mean, row_number() OVER (PARTITION BY project ORDER BY lines DESC, sid) AS rank FROM r QUALIFY rank <= 10""")(_sym(y.length_stats))
 _INHERIT = f"""t AS (SELECT * FROM s WHERE {_TYPE}), r0 AS (SELECT project, file_id, sid src, unnest(bases) ref FROM t), r AS (SELECT DISTINCT project, file_id, src, {_REF.format('ref')} AS name FROM r0),
 h AS (SELECT r.project, r.src, r.name, t.sid dst, t.kind dk, r.file_id = t.file_id same FROM r JOIN t ON t.project = r.project AND t.name = r.name AND t.sid <> r.src WHERE r.name <> ''),
-i AS (SELECT project, src, dst, CASE WHEN dk IN ('interface', 'mixin') THEN 'implements' ELSE 'inherit' END AS type FROM h QUALIFY row_number() OVER (PARTITION BY src, name ORDER BY CASE WHEN same THEN 0 ELSE 1 END, dst) = 1)"""
+ha AS (SELECT project, src, name, min(dst) FILTER (same) here, min(dst) only_one, count(DISTINCT dst) n FROM h GROUP BY 1, 2, 3), hb AS (SELECT project, src, coalesce(here, only_one) dst FROM ha WHERE here IS NOT NULL OR n = 1),
+i AS (SELECT DISTINCT hb.project, hb.src, hb.dst, CASE WHEN dk IN ('interface', 'mixin') THEN 'implements' ELSE 'inherit' END AS type FROM hb JOIN h ON h.src = hb.src AND h.dst = hb.dst)"""
 query("s_inheritance", f"WITH {_S}, {_INHERIT} SELECT DISTINCT * FROM i")(_sym(y.inheritance))
 query("s_overrides", f"""WITH {_S}, {_INHERIT}, m AS (SELECT DISTINCT a.project, a.sid, a.name, o.sid "owner" FROM s a JOIN s o ON o.file_id = a.file_id AND o.name = {_REF.format('a.parent')} AND NOT o.{_CALLABLE} WHERE a.{_CALLABLE} AND o.name <> '')
 SELECT DISTINCT m.project, m.sid src, b.sid dst FROM m JOIN i ON i.src = m."owner" JOIN m b ON b."owner" = i.dst AND b.name = m.name AND b.project = m.project""")(_sym(y.overrides))
@@ -44,7 +46,7 @@ ce AS (SELECT DISTINCT cl.project, cl.sid src, coalesce("local", "only") dst, CA
   LEFT JOIN un ON un.project = cl.project AND un.callee = cl.callee WHERE coalesce("local", "only") <> cl.sid)"""
 query("s_call_edges", f"WITH {_S}, {_CALLS}, {_EDGES} SELECT * FROM ce")(_both(y.call_edges))
 query("s_dead_code", f"""WITH {_S}, {_CALLS} SELECT DISTINCT project, sid, file, name FROM s WHERE {_CALLABLE} AND name IS NOT NULL AND file IS NOT NULL AND name NOT IN {y.ENTRY_NAMES} AND NOT regexp_matches(name, '^__.+__$')
-AND NOT regexp_matches(file, '(^|/)(tests?|__tests__|spec|specs)/|(^|/)test_[^/]*$|(^|/)[^/]*(_test|_spec|\\.test|\\.spec)\\.[^/.]+$') AND NOT EXISTS (SELECT 1 FROM cl WHERE cl.project = s.project AND cl.callee = s.name)""")(_both(y.dead_code))
+AND NOT {_TEST.format('file')} AND NOT EXISTS (SELECT 1 FROM cl WHERE cl.project = s.project AND cl.callee = s.name)""")(_both(y.dead_code))
 query("s_hotspots", f"""WITH {_S}, {_CALLS}, {_EDGES}, n AS (SELECT project, dst sid, count(DISTINCT src) callers FROM ce GROUP BY 1, 2 HAVING count(DISTINCT src) > 1), q AS (SELECT DISTINCT sid, name, file FROM s)
 SELECT n.project, sid, name, callers, row_number() OVER (PARTITION BY n.project ORDER BY callers DESC, sid) AS rank FROM n JOIN q USING (sid) WHERE lower(name) <> lower(regexp_extract(file, '([^/.]+)(?:\\.[^/]*)?$', 1)) QUALIFY rank <= 10""")(
     lambda s, d: y.symbol_hotspots(y.call_edges(read(s, d, "symbols"), read(s, d, "source_texts")), read(s, d, "symbols")))
@@ -57,7 +59,7 @@ cd AS (SELECT file_id, line, regexp_replace(trim(regexp_replace(raw, '[\\t\\f\\x
 kp AS (SELECT file_id, line, code FROM cd WHERE n >= 8 AND NOT (code LIKE '#%' OR code LIKE '//%' OR code LIKE '--%' OR code LIKE '/*%' OR code LIKE '*%' OR code LIKE ';%')),
 wd AS (SELECT file_id, line, lead(code, 5) OVER w IS NOT NULL AS whole, substr(md5(concat_ws(chr(10), code, lead(code, 1) OVER w, lead(code, 2) OVER w, lead(code, 3) OVER w, lead(code, 4) OVER w, lead(code, 5) OVER w)), 1, 16) AS hash
   FROM kp WINDOW w AS (PARTITION BY file_id ORDER BY line)), dw AS (SELECT hash, file_id, line FROM wd WHERE whole QUALIFY count(*) OVER (PARTITION BY hash) > 1)"""
-query("q_duplicate_windows", f"WITH {_LINES} SELECT * FROM dw")(lambda s, d: quality.duplicate_windows(read(s, d, "source_texts")))
+query("q_duplicate_windows", f"""WITH {_LINES}, fp AS (SELECT hash, min((file_id, line)) p FROM dw GROUP BY 1) SELECT p[1] || ':' || p[2] block, file_id, line FROM dw JOIN fp USING (hash)""")(lambda s, d: quality.duplicate_windows(read(s, d, "source_texts")))
 query("q_duplication", f"""WITH {_LINES}, ow AS (SELECT DISTINCT file_id, project FROM files WHERE path IS NOT NULL), tt AS (SELECT project, count(*) AS lines FROM kp JOIN ow USING (file_id) GROUP BY 1),
 x AS (SELECT project, file_id, hash, line FROM dw JOIN ow USING (file_id)), c AS (SELECT project, count(*) duplicated FROM (SELECT DISTINCT project, file_id, unnest(range(line, line + 6)) FROM x) GROUP BY 1), b AS (SELECT project, count(DISTINCT hash) blocks FROM x GROUP BY 1)
 SELECT project, lines, coalesce(duplicated, 0) duplicated, coalesce(blocks, 0) blocks, round(coalesce(duplicated, 0) / lines, 6) percent FROM tt LEFT JOIN c USING (project) LEFT JOIN b USING (project)""")(
@@ -67,4 +69,4 @@ SELECT project, lines, coalesce(duplicated, 0) duplicated, coalesce(blocks, 0) b
 @query("q_health")
 def q_health(spark, d):
     edges = graph.module_edges(read(spark, d, "module_edges"))
-    return quality.health(read(spark, d, "files"), read(spark, d, "symbols"), read(spark, d, "source_texts"), graph.strong_components(edges))
+    return quality.health(read(spark, d, "files"), read(spark, d, "symbols"), read(spark, d, "source_texts"), graph.strong_components(edges), graph.modularity(edges, graph.communities(edges)))

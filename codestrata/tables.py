@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[tuple[SparkSession, str]] = []
 
@@ -18,13 +19,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables.
+    """The shared folder for intermediate tables: the one named in ``spark.checkpoint.dir``, or else the session's checkpoint directory.
 
-    It is the one named in ``spark.checkpoint.dir``. Only where that is unset, as in tests on
-    one machine, a temporary folder is made and put into the session's settings.
+    Only in local mode, as in tests on one machine, a temporary folder is made and put into the session's settings where both are unset. On a
+    cluster that would give wrong results, so it is an error there.
     """
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         at = "file://" + tempfile.mkdtemp(prefix="codestrata-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -35,29 +38,33 @@ def materialize(df: DataFrame, label: str = "t") -> DataFrame:
 
     Unlike a plain ``cache``, the written table survives the loss of executors, cuts the plan's
     lineage and gives the optimizer true sizes for the joins that follow. Tables written by this
-    process are removed when it ends.
+    process are removed when it ends, or by :func:`release` before.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/codestrata/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    if not _OWN:
-        atexit.register(_cleanup)
     _OWN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _cleanup() -> None:
-    for spark, path in _OWN:
+def release(spark: SparkSession | None = None) -> None:
+    """Remove the tables written so far, of one session or of all; for long sessions, once the results that read them are done with."""
+    kept = []
+    for own, path in _OWN:
+        if spark is not None and own is not spark:
+            kept.append((own, path))
+            continue
         try:
-            jvm = spark.sparkContext._jvm
+            jvm = own.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            p.getFileSystem(own.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
         except Exception:  # noqa: BLE001 - the session may be gone before this
             local = path.removeprefix("file://")
             if local.startswith("/") and os.path.isdir(local):
                 import shutil
 
                 shutil.rmtree(local, ignore_errors=True)
+    _OWN[:] = kept
 
 
 def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
@@ -70,11 +77,4 @@ def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
 
 
-def size_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate; exact enough for files just written by :func:`materialize`."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def small_enough(df: DataFrame, limit: int = 64 << 20) -> DataFrame:
-    """``df`` with a broadcast hint where its estimated size is at most ``limit``, else unchanged."""
-    return F.broadcast(df) if size_bytes(df) <= limit else df
+atexit.register(release)
