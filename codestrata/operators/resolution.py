@@ -6,14 +6,22 @@ inputs give empty results.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codestrata.operators.files import NON_CODE, file_type_of, known_files, resolve
 from codestrata.operators.hierarchy import CALLABLE_KINDS, TYPE_KINDS, referenced_name
 from codestrata.operators.symbols import known_symbols
+from codestrata.tables import materialize, spread
 
 # The kind of each type of edge.
-EDGE_KINDS = {"import": "include sources package library elink cif_own component depex guid_ref str_ref asl_include callback_ref hii_pkg import asset_ref config_ref schema_ref resource_hint", "call": "call", "inherit": "inherit", "inferred": "inferred"}
+EDGE_KINDS = {
+    "include": "import", "sources": "import", "package": "import", "library": "import", "elink": "import", "cif_own": "import", "component": "import", "depex": "import", "guid_ref": "import",
+    "str_ref": "import", "asl_include": "import", "callback_ref": "import", "hii_pkg": "import", "import": "import", "asset_ref": "import", "config_ref": "import", "schema_ref": "import",
+    "resource_hint": "import", "call": "call", "inherit": "inherit", "inferred": "inferred"}
 NAME_PARTS = 16  # of the writers of one data file, each paired with all of its readers
 # System functions by category, for calls that leave the project.
 SYSTEM = {"io": "open read write close print printf fprintf puts gets fopen fclose readline log", "memory": "malloc free calloc realloc memcpy memset memmove alloc dealloc", "string": "strlen strcpy strcat strcmp format replace split join trim",
@@ -22,7 +30,7 @@ SYSTEM = {"io": "open read write close print printf fprintf puts gets fopen fclo
 
 def edge_kind(edge_type: Column) -> Column:
     """The kind of an edge type; an unknown type is an import."""
-    pairs = [F.lit(x) for kind, types in EDGE_KINDS.items() for t in types.split() for x in (t, kind)]
+    pairs = [F.lit(x) for pair in EDGE_KINDS.items() for x in pair]
     return F.coalesce(F.element_at(F.create_map(*pairs), F.coalesce(edge_type, F.lit(""))), F.lit("import"))
 
 
@@ -55,47 +63,83 @@ def type_usage(symbols: DataFrame) -> DataFrame:
     return hit.where("dst IS NOT NULL").distinct()
 
 
-def interface_candidates(symbols: DataFrame, edges: DataFrame) -> DataFrame:
-    """(project, source, target, signal, confidence): types whose base theirs does not define, with each file that does and that theirs does not import, by edges(project, s, t)."""
+# How the candidates below are told. Words that start a process, files it may be given, files of data, and what is done with them near their name.
+SPAWN = r"subprocess\.|Popen\b|os\.system\b|os\.exec\w*\b|os\.spawn\w*\b|check_call\b|check_output\b|\bspawn[vl]?p?e?\b|\bexec[vl]p?e?\b"
+SPAWNED = r"[\"']([\w./\\-]+\.(?:py|js|mjs|cjs|ts|go|rb|sh|bash|bat|cmd|ps1|exe|jar|pl))[\"']"
+DATA_EXT = ("json", "txt", "csv", "yaml", "yml", "toml", "ini", "db", "sqlite", "sqlite3", "cache", "pkl", "pickle", "log", "md", "ndjson", "jsonl")
+LITERAL = r"[\"']([\w./\\-]+\.(\w+))[\"']"
+WRITES = r"write_text|write_bytes|\.write\b|json\.dump|\.dump\b|to_json|\bsave\b|open\([^)]*[\"'][^'\")]*[\"']\s*,\s*[\"'][rwa+bt]*[wa][rwa+bt]*[\"']"
+READS = r"read_text|read_bytes|\.read\b|json\.load|\.load\b|\bload\b|open\([^,)]*\)"
+NEAR, LEAST_NAME = 200, 5
+CONFIDENCE = {"subprocess": 0.80, "shared_file": 0.65, "interface": 0.85}
+
+
+def _mentions(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(project, path, what, name, evidence): scripts named within NEAR characters behind a word that starts processes, and data files named as near to a verb of writing or reading."""
+    spawn, spawned, literal, writes, reads = map(re.compile, (SPAWN, SPAWNED, LITERAL, WRITES, READS))
+    base = lambda x: x.replace("\\", "/").rsplit("/", 1)[-1]
+    for b in rows:
+        out: dict[tuple, str] = {}
+        for project, path, text in zip(b["project"], b["path"], b["text"]):
+            for m in spawn.finditer(text):
+                line = re.sub(r"\s+", " ", text[m.start() : m.start() + 120].split("\n", 1)[0]).strip()
+                for name in spawned.findall(text[m.start() : m.start() + NEAR]):
+                    out.setdefault((project, path, "starts", base(name)), line)
+            for m in literal.finditer(text):
+                name = base(m[1])
+                if m[2].lower() in DATA_EXT and len(name) >= LEAST_NAME:
+                    around = text[max(0, m.start() - NEAR) : m.end() + NEAR]
+                    for what, verb in (("writes", writes), ("reads", reads)):
+                        if verb.search(around):
+                            out.setdefault((project, path, what, name), f"writes/reads {name}")
+        yield pd.DataFrame([(*k, v) for k, v in out.items()], columns=["project", "path", "what", "name", "evidence"])
+
+
+def mentions(files: DataFrame, texts: DataFrame) -> DataFrame:
+    """What :func:`_mentions` finds in all texts that name a file at all, which is tested before any leaves the JVM."""
+    src = known_files(files).select("file_id", "project", "path").distinct().join(texts.where(F.col("text").rlike(LITERAL)).select("file_id", "text"), "file_id")
+    return spread(src.select("project", "path", "text")).mapInPandas(_mentions, "project string, path string, what string, name string, evidence string").distinct()
+
+
+def _told(pairs: DataFrame, signal: str, stated: DataFrame | None) -> DataFrame:
+    """Candidates (project, source, target, evidence) with signal and confidence, without those that an edge(project, s, t) states; the least evidence of each."""
+    out = pairs.where("source <> target").groupBy("project", "source", "target").agg(F.min("evidence").alias("evidence"))
+    if stated is not None:
+        out = out.join(stated.select("project", F.col("s").alias("source"), F.col("t").alias("target")).distinct(), ["project", "source", "target"], "left_anti")
+    return out.select("project", "source", "target", F.lit(signal).alias("signal"), F.lit(CONFIDENCE[signal]).alias("confidence"), "evidence")
+
+
+def interface_candidates(symbols: DataFrame, stated: DataFrame | None = None) -> DataFrame:
+    """Types whose base theirs does not define, with each file that does and that theirs does not import."""
     s = known_symbols(symbols).where(F.col("kind").isin(*TYPE_KINDS))
     base = s.select("project", F.col("name").alias("base"), F.col("file").alias("target")).distinct()
-    refs = s.select("project", F.col("file").alias("source"), F.explode("bases").alias("ref")).select("project", "source", referenced_name(F.col("ref")).alias("base")).distinct()
-    stated = edges.select("project", F.col("s").alias("source"), F.col("t").alias("target")).distinct()
+    refs = s.select("project", F.col("file").alias("source"), "name", F.explode("bases").alias("ref")).select("project", "source", "name", referenced_name(F.col("ref")).alias("base")).distinct()
     refs = refs.join(base.withColumnRenamed("target", "source"), ["project", "base", "source"], "left_anti")
-    return (refs.join(base, ["project", "base"]).select("project", "source", "target").distinct().join(stated, ["project", "source", "target"], "left_anti")
-            .withColumns({"signal": F.lit("interface"), "confidence": F.lit(0.85)}))
+    return _told(refs.join(base, ["project", "base"]).withColumn("evidence", F.concat(F.lit("class "), "name", F.lit("("), "base", F.lit(")"))), "interface", stated)
 
 
-def shared_file_candidates(files: DataFrame, texts: DataFrame) -> DataFrame:
-    """(project, source, target, signal, confidence): files that write a data file another reads, by its name in a literal.
+def shared_file_candidates(found: DataFrame, stated: DataFrame | None = None) -> DataFrame:
+    """Files that write a data file another reads, by its name, of :func:`mentions`.
 
     Every writer meets every reader by an equality join on the data file's name. A name's writers are in parts, so that no single task pairs all files
     of a name that many touch.
     """
-    literal = r"[\"']([\w./-]+\.(?:csv|json|txt|dat|db|parquet|log|yaml|xml))[\"']"
-    src = known_files(files).select("file_id", "project", "path").distinct().join(texts.where("text IS NOT NULL"), "file_id")
-    grab = lambda pattern: F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)))
-    rows = src.select("project", "path", grab(r"(?:write|save|dump|to_\w+|open)\w*\([^)\n]*?" + literal + r"[^)\n]*[\"'](?:w|a|wb)[\"']").alias("w"), grab(r"(?:read|load|open)\w*\([^)\n]*?" + literal).alias("r"))
-    base = lambda c: F.regexp_extract(c, r"([^/]+)$", 1)
-    w = rows.select("project", F.col("path").alias("source"), F.explode("w").alias("f")).select("project", "source", base("f").alias("name")).distinct()
-    r = rows.select("project", F.col("path").alias("target"), F.explode("r").alias("f")).select("project", "target", base("f").alias("name")).distinct()
-    w = w.withColumn("part", F.pmod(F.xxhash64("source"), F.lit(NAME_PARTS)))
-    r = r.withColumn("part", F.explode(F.array(*[F.lit(i).cast("long") for i in range(NAME_PARTS)])))
-    return w.join(r, ["project", "name", "part"]).where("source <> target").select("project", "source", "target").distinct().withColumns({"signal": F.lit("shared_file"), "confidence": F.lit(0.65)})
-
-
-def process_candidates(files: DataFrame, texts: DataFrame) -> DataFrame:
-    """(project, source, target, signal, confidence): files that name another within 200 characters from a word that starts processes, where only one file of the project bears it."""
-    spawn = r"(?=(?:subprocess|Popen|spawn|exec|system|fork))(?=([\s\S]{1,200}))"  # windows may overlap
-    literal = r"[\"']([\w./-]+\.(?:py|js|sh|rb|exe|jar))[\"']"
-    src = known_files(files).select("file_id", "project", "path").distinct()
-    windows = F.regexp_extract_all("text", F.lit(spawn), F.lit(1))
-    named = F.array_distinct(F.flatten(F.transform(windows, lambda w: F.regexp_extract_all(w, F.lit(literal), F.lit(1)))))
-    refs = src.join(texts.where("text IS NOT NULL"), "file_id").select("project", F.col("path").alias("source"), F.explode(named).alias("f"))
-    name = F.regexp_extract("path", r"([^/]+)$", 1)
-    only = src.groupBy("project", name.alias("name")).agg(F.min("path").alias("target"), F.count("*").alias("n")).where("n = 1").drop("n")
-    return (refs.withColumn("name", F.regexp_extract("f", r"([^/]+)$", 1)).join(only, ["project", "name"]).where("source <> target").select("project", "source", "target").distinct()
-            .withColumns({"signal": F.lit("process"), "confidence": F.lit(0.8)}))
+    side = lambda what, c: found.where(F.col("what") == what).select("project", "name", "evidence", F.col("path").alias(c)).distinct()
+    w = side("writes", "source").withColumn("part", F.pmod(F.xxhash64("source"), F.lit(NAME_PARTS)))
+    r = side("reads", "target").drop("evidence").withColumn("part", F.explode(F.array(*[F.lit(i).cast("long") for i in range(NAME_PARTS)])))
+    return _told(w.join(r, ["project", "name", "part"]), "shared_file", stated)
+
+
+def process_candidates(found: DataFrame, files: DataFrame, stated: DataFrame | None = None) -> DataFrame:
+    """Files that start another, of :func:`mentions`, where only one file of the project bears the name."""
+    only = known_files(files).select("project", "path").distinct().groupBy("project", F.regexp_extract("path", r"([^/]+)$", 1).alias("name")).agg(F.min("path").alias("target"), F.count("*").alias("n")).where("n = 1").drop("n")
+    return _told(found.where("what = 'starts'").withColumnRenamed("path", "source").join(only, ["project", "name"]), "subprocess", stated)
+
+
+def candidates(files: DataFrame, texts: DataFrame, symbols: DataFrame, stated: DataFrame | None = None) -> DataFrame:
+    """(project, source, target, signal, confidence, evidence): all candidate edges that nothing states outright, each (source, target, signal) once."""
+    found = materialize(mentions(files, texts), "mentions")
+    return process_candidates(found, files, stated).unionByName(shared_file_candidates(found, stated)).unionByName(interface_candidates(symbols, stated))
 
 
 def classify_calls(calls: DataFrame, symbols: DataFrame) -> DataFrame:

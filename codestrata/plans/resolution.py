@@ -22,12 +22,12 @@ c AS (SELECT DISTINCT project, file_id, s.sid, unnest(regexp_extract_all(signatu
 l AS (SELECT file_id, name, min(sid) x FROM t GROUP BY 1, 2), u AS (SELECT project, name, min(sid) x FROM t GROUP BY 1, 2 HAVING count(*) = 1)
 SELECT DISTINCT c.project, c.sid src, coalesce(l.x, u.x) dst FROM c LEFT JOIN l ON l.file_id = c.file_id AND l.name = c.ref LEFT JOIN u ON u.project = c.project AND u.name = c.ref WHERE coalesce(l.x, u.x) IS NOT NULL""")(
     lambda s, d: r.type_usage(read(s, d, "symbols")))
-query("e_interface_candidates", _F + f""", {_RESOLVED}, {_S}, ty AS (SELECT * FROM s WHERE {_TYPE}), bs AS (SELECT project, name, min(file) target FROM ty GROUP BY 1, 2 HAVING count(DISTINCT file) = 1),
-rf0 AS (SELECT project, file source, unnest(bases) ref FROM ty), rf AS (SELECT DISTINCT project, source, {_REF.format('ref')} AS name FROM rf0)
-SELECT DISTINCT rf.project, source, target, 'interface' signal, CAST(0.85 AS DOUBLE) confidence FROM rf JOIN bs ON bs.project = rf.project AND bs.name = rf.name WHERE source <> target
-AND NOT EXISTS (SELECT 1 FROM ie WHERE ie.project = rf.project AND ie.s = source AND ie.t = target)""")(lambda s, d: r.interface_candidates(read(s, d, "symbols"), _edges(s, d)))
-query("e_shared_file_candidates")(lambda s, d: r.shared_file_candidates(read(s, d, "files"), read(s, d, "source_texts")))
-query("e_process_candidates")(lambda s, d: r.process_candidates(read(s, d, "files"), read(s, d, "source_texts")))
+query("e_interface_candidates", _F + f""", {_RESOLVED}, {_S}, ty AS (SELECT * FROM s WHERE {_TYPE}), bs AS (SELECT DISTINCT project, name, file target FROM ty),
+rf0 AS (SELECT project, file source, name "of", unnest(bases) ref FROM ty), rf AS (SELECT DISTINCT project, source, "of", {_REF.format('ref')} AS name FROM rf0)
+SELECT rf.project, source, target, 'interface' signal, CAST(0.85 AS DOUBLE) confidence, min('class ' || "of" || '(' || rf.name || ')') evidence FROM rf JOIN bs ON bs.project = rf.project AND bs.name = rf.name WHERE source <> target
+AND NOT EXISTS (SELECT 1 FROM bs own WHERE own.project = rf.project AND own.name = rf.name AND own.target = source)
+AND NOT EXISTS (SELECT 1 FROM ie WHERE ie.project = rf.project AND ie.s = source AND ie.t = target) GROUP BY 1, 2, 3""")(lambda s, d: r.interface_candidates(read(s, d, "symbols"), _edges(s, d)))
+query("e_candidates")(lambda s, d: r.candidates(read(s, d, "files"), read(s, d, "source_texts"), read(s, d, "symbols"), _edges(s, d)))
 query("e_unreached", _F + f""", {_RESOLVED}, c AS (SELECT DISTINCT project, path, ext, regexp_extract(path, '^(.*/)?[^/]*$', 1) folder, regexp_extract(path, '([^/]+?)(?:\\.[^./]*)?$', 1) stem FROM f WHERE {_KIND} NOT IN {fl.NON_CODE}),
 pk AS (SELECT project, folder, ext FROM c WHERE ext IN ('.go', '.java', '.kt', '.swift') GROUP BY 1, 2, 3 HAVING count(*) > 1), hd AS (SELECT DISTINCT c.project, folder, stem FROM c JOIN ie ON ie.project = c.project AND ie.t = c.path WHERE ext IN ('.h', '.hpp', '.hh', '.hxx'))
 SELECT c.project, c.path, CASE WHEN EXISTS (SELECT 1 FROM ie WHERE ie.project = c.project AND ie.s = c.path) THEN 'entry' ELSE 'isolated' END AS role FROM c

@@ -51,5 +51,22 @@ def test_paths_and_communities(spark):
 
 def test_trust(spark):
     from pyspark.sql import functions as F
-    df = spark.createDataFrame([("uses", None), ("uses", 0.8), ("uses", 0.2), ("inferred", 0.9), ("inferred", None)], "kind string, c double")
-    assert [r[0] for r in df.select(g.trust_label(F.col("kind"), F.col("c"))).collect()] == ["EXTRACTED", "DERIVED", "AMBIGUOUS", "INFERRED", "AMBIGUOUS"]
+    cases = [("import", None, "EXTRACTED"), ("import", "1.0", "EXTRACTED"), ("call", "0.7", "INFERRED"), ("call", "0.5", "INFERRED"), ("call", "0.49", "AMBIGUOUS"), ("inferred", "0.5", "INFERRED"), ("inferred", None, "AMBIGUOUS"),
+             ("INFERRED_x", "0.9", "INFERRED"), ("semantic", "0.4", "AMBIGUOUS"), ("derived", None, "DERIVED"), ("derived", "0.5", "DERIVED"), ("derived", "0.2", "AMBIGUOUS"), (None, None, "EXTRACTED"), ("inferred", "high", "AMBIGUOUS"), ("call", "x", "EXTRACTED")]
+    df = spark.createDataFrame(cases, "kind string, c string, want string")
+    assert df.where(g.trust_label(F.col("kind"), F.col("c")) != F.col("want")).collect() == []
+
+
+def test_surprising(spark):
+    e = spark.createDataFrame([("p", "a/x.py", "b/y.js", "inferred"), ("p", "b/y.js", "a/x.py", "import"), ("p", "a/x.py", "a/z.py", "import")] + [("p", f"a/n{i}.py", "a/z.py", "import") for i in range(12)], "scope string, s string, t string, kind string")
+    got = rows(g.surprising(e), "s", "t", "score", "reason")
+    assert ("a/x.py", "b/y.js", 5, "cross-directory + cross-language + inferred edge") in got and len(got) == 5
+    assert ("a/n0.py", "a/z.py", 1, "peripheral→hub") in got and not any(x[0] == "a/x.py" and x[1] == "a/z.py" for x in got)
+    assert g.surprising(e.limit(0)).count() == 0
+
+
+def test_health_scores(spark):
+    from codestrata.operators import quality
+    df = spark.createDataFrame([("a", 12.0, 3, 4, 50, 5, 20, 0.25, 0.4, 2, 1), ("b", 0.0, 0, 0, 0, 0, 0, 0.0, -0.2, 0, 0)],
+                               "project string, mean_complexity double, cycles long, god long, files long, dead long, functions long, percent double, modularity double, complex long, blocks long")
+    assert rows(quality.health_scores(df), "complexity_score", "coupling_score", "dead_code_score", "duplication_score", "cohesion_score", "score", "band") == [(10.0, 10.0, 10.0, 10.0, 0.0, 8.5, "green"), (8.8, 5.0, 7.5, 7.5, 4.0, 6.87, "amber")]

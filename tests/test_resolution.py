@@ -11,18 +11,22 @@ def files(spark, *paths):
 
 def test_hints_and_candidates(spark):
     f = files(spark, "web/a.html", "web/b.js", "run/go.py", "run/job.py")
-    x = spark.createDataFrame([(1, "<script src='b.js'></script>"), (2, "x"), (3, "subprocess.run(['python', 'job.py'])\nopen('out.csv', 'w')"), (4, "df = read_table('data/out.csv')")], "file_id long, text string")
+    x = spark.createDataFrame([(1, "<script src='b.js'></script>"), (2, "x"), (3, "subprocess.run(['python', 'job.py'])\n" + "#" * 250 + "\nopen('out.csv', 'w')"), (4, "rows = load('data/out.csv')")], "file_id long, text string")
     assert rows(r.hint_edges(parse.parse_files(f, x), f), "s", "t", "kind") == [("web/a.html", "web/b.js", "import")]
-    assert rows(r.process_candidates(f, x), "source", "target") == [("run/go.py", "run/job.py")]
-    assert rows(r.shared_file_candidates(f, x), "source", "target") == [("run/go.py", "run/job.py")]
+    m = r.mentions(f, x)
+    assert rows(r.process_candidates(m, f), "source", "target", "evidence") == [("run/go.py", "run/job.py", "subprocess.run(['python', 'job.py'])")]
+    assert rows(r.shared_file_candidates(m), "source", "target", "confidence") == [("run/go.py", "run/job.py", 0.65)]
+    stated = spark.createDataFrame([("p", "run/go.py", "run/job.py")], "project string, s string, t string")
+    assert r.process_candidates(m, f, stated).count() == 0 and r.shared_file_candidates(m, stated).count() == 0
+    assert r.mentions(f, x.limit(0)).count() == 0
     assert r.hint_edges(parse.parse_files(f.limit(0), x), f).count() == 0
 
 
 def test_a_data_file_that_many_touch_keeps_its_pairs(spark):
     f = files(spark, *[f"w{i}.py" for i in range(15)], *[f"r{i}.py" for i in range(15)])
-    x = spark.createDataFrame([(i, "open('a/config.json', 'w')" if i <= 15 else "open('config.json')") for i in range(1, 31)], "file_id long, text string")
+    x = spark.createDataFrame([(i, "json.dump(x, 'a/config.json')" if i <= 15 else "open('config.json')") for i in range(1, 31)], "file_id long, text string")
     want = {(f"w{i}.py", f"r{j}.py") for i in range(15) for j in range(15)}
-    got = rows(r.shared_file_candidates(f, x), "source", "target")
+    got = rows(r.shared_file_candidates(r.mentions(f, x)), "source", "target")
     assert len(got) == len(set(got)) and want <= set(got) and {s for s, _ in got} == {s for s, _ in want}
 
 
@@ -36,7 +40,7 @@ def test_a_base_defined_twice_gives_both_files(spark):
 def test_calls_over_several_lines_keep_all_scripts(spark):
     f = files(spark, "go.py", "a.py", "b.sh", "far.py")
     x = spark.createDataFrame([(1, "subprocess.run(\n  ['python',\n   'a.py', 'b.sh'])\n" + "#" * 200 + "'far.py'")], "file_id long, text string")
-    assert rows(r.process_candidates(f, x), "target") == [("a.py",), ("b.sh",)]
+    assert rows(r.process_candidates(r.mentions(f, x), f), "target") == [("a.py",), ("b.sh",)]
 
 
 def test_symbols_and_calls(spark):
