@@ -57,7 +57,7 @@ def test_parse_files_and_cache(spark):
     assert first.count() == 3
     changed = spark.createDataFrame([(1, "def g(): pass"), (2, None)], "file_id long, text string")
     again = parse.parse_files(f, changed, first.cache())
-    assert {r["file_id"]: r["functions"] for r in again.collect()} == {1: ["g"], 2: []}
+    assert {r["file_id"]: [f["label"] for f in r["functions"]] for r in again.collect()} == {1: ["g"], 2: []}
     assert parse.parse_files(f.limit(0), x).count() == 0
 
 
