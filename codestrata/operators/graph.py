@@ -225,7 +225,45 @@ def cycle_report(components: DataFrame) -> DataFrame:
     return components.groupBy("scope", "component").agg(F.count("*").alias("size")).withColumn("tier", tier)
 
 
-def communities(edges: DataFrame, rounds: int = 20) -> DataFrame:
+def cycle_examples(edges: DataFrame, components: DataFrame, most: int = 64) -> DataFrame:
+    """(scope, component, hops, path): one simple circle of each strong component, the shortest through its least node and of these the least by name.
+
+    Found by expanding paths from that node within the component, one join a step; each node keeps its first and least path only. A circle of more than ``most`` links is an error.
+    """
+    name = lambda c: components.select("scope", F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    inside = materialize(edges.where("s <> t").select("scope", "s", "t").distinct().join(name("s"), ["scope", "s"]).join(name("t"), ["scope", "t"]).where("of_s = of_t").select("scope", F.col("of_s").alias("component"), "s", "t"), "inside")
+    start = components.groupBy("scope", "component").agg(F.min("node").alias("start"))
+    frontier = materialize(start.select("scope", "component", "start", F.col("start").alias("node"), F.array("start").alias("path")), "circles")
+    seen, done = [frontier], []
+    for _ in range(most):
+        step = (frontier.join(inside.withColumnRenamed("s", "node"), ["scope", "component", "node"]).groupBy("scope", "component", "start", F.col("t").alias("node"))
+                .agg(F.min(F.concat("path", F.array("t"))).alias("path")))
+        step = materialize(step, "circles")
+        closed = step.where("node = start")
+        done.append(closed)
+        known = _union([x.select("scope", "component", "node") for x in seen])
+        frontier = materialize(step.join(known, ["scope", "component", "node"], "left_anti").join(_union(done).select("scope", "component"), ["scope", "component"], "left_anti"), "circles")
+        if frontier.isEmpty():
+            break
+        seen.append(frontier)
+    else:
+        raise RuntimeError(f"a circle has more than {most} links")
+    return _union(done).select("scope", "component", (F.size("path") - 1).alias("hops"), F.array_join("path", " > ").alias("path"))
+
+
+def large_communities(labels: DataFrame, least: int = 3) -> DataFrame:
+    """(scope, node, community, size) without communities of fewer than ``least`` nodes."""
+    n = labels.groupBy("scope", "community").agg(F.count("*").alias("size")).where(F.col("size") >= least)
+    return labels.join(n, ["scope", "community"]).select("scope", "node", "community", "size")
+
+
+def dominant_community(labels: DataFrame, owners: DataFrame) -> DataFrame:
+    """(scope, file, community, nodes): the community most nodes of each owners(scope, node, file) are in; the least by name on ties."""
+    n = labels.join(owners.select("scope", "node", "file").distinct(), ["scope", "node"]).groupBy("scope", "file", "community").agg(F.count("*").alias("nodes"))
+    return n.groupBy("scope", "file").agg(F.min(F.struct((-F.col("nodes")).alias("order"), "community", "nodes")).alias("m")).select("scope", "file", "m.community", "m.nodes")
+
+
+def communities(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """(scope, node, community) by local moving: a node joins the neighbouring community that adds most to modularity, the smallest name on ties.
 
     All nodes start alone. In each round half of the nodes, by hash, may move, which keeps two nodes from swapping for ever; it ends
@@ -250,8 +288,8 @@ def communities(edges: DataFrame, rounds: int = 20) -> DataFrame:
         label = nxt.drop("old")
         still = still + 1 if nxt.where("community <> old").isEmpty() else 0
         if still == 2:
-            break
-    return label
+            return label
+    raise RuntimeError(f"communities did not settle within {rounds} rounds")
 
 
 def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:

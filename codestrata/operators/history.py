@@ -210,3 +210,10 @@ def daily_snapshots(commits: DataFrame, keep: int = 500) -> DataFrame:
     """One live entry a project and day, the latest commit's, trimmed to the ``keep`` latest days."""
     days = newest_per_bucket(commits, "day")
     return merge_history(days, days.limit(0), ["project", "bucket"], "bucket", keep)
+
+
+def touched_complexity(touched: DataFrame, complexity: DataFrame, hotspots: DataFrame) -> DataFrame:
+    """(branch, files, mean_complexity, hot_files) for touched(project, branch, path): files a branch touched, their mean of complexity(project, path, mean) where known, and how many are in hotspots(project, path)."""
+    hot = hotspots.select("project", "path").distinct().withColumn("hot", F.lit(1))
+    rows = touched.select("project", "branch", "path").distinct().join(complexity.select("project", "path", "mean"), ["project", "path"], "left").join(hot, ["project", "path"], "left")
+    return rows.groupBy("project", "branch").agg(F.count("*").alias("files"), F.round(F.avg("mean"), 4).alias("mean_complexity"), F.count("hot").alias("hot_files"))

@@ -76,6 +76,21 @@ def save_answers(cache: DataFrame, new: DataFrame, keep: int = 200) -> DataFrame
     return both.withColumn("n", latest).where("n = 1").withColumn("n", newest).where(F.col("n") <= keep).drop("n")
 
 
-def flow_question(question: Column) -> Column:
-    """Whether a question asks how one thing leads to another."""
-    return F.lower(question).rlike(r"\b(flow|path|trace|from .+ to |between|reach(es)?|lead(s)? to|call chain|depend(s)? on)\b")
+def flow_question(question: Column, seed_files: Column | None = None) -> Column:
+    """Whether a question asks how one thing leads to another: by its words, or because it names two files or more."""
+    told = F.coalesce(F.lower(question).rlike(r"\b(flow|path|trace|from .+ to |between|reach(es)?|lead(s)? to|call chain|depend(s)? on)\b"), F.lit(False))
+    return told if seed_files is None else told | (F.coalesce(seed_files, F.lit(0)) >= 2)
+
+
+def clamp_answer(text: Column, budget: Column) -> Column:
+    """An answer of at most ``budget`` characters; where it is cut, a notice says how many are left out."""
+    cut = F.concat(F.substring(text, F.lit(1), budget), F.lit("\n… "), (F.length(text) - budget).cast("string"), F.lit(" characters left out"))
+    return F.when(F.length(text) > budget, cut).otherwise(text)
+
+
+def render_context(context: DataFrame, symbols: DataFrame, budget: int = 6000) -> DataFrame:
+    """(question_id, project, body): the symbols of :func:`codestrata.operators.search.context` as text, one a line by rank, within the budget."""
+    named = known_symbols(symbols).groupBy("sid").agg(F.min(F.struct("name", "kind", "file", "line")).alias("n"))
+    line = F.concat(F.lit("- "), F.coalesce("n.name", F.lit("?")), F.lit(" ("), "n.kind", F.lit(") "), F.coalesce("n.file", F.lit("?")), F.lit(":"), F.coalesce(F.col("n.line").cast("string"), F.lit("?")))
+    rows = context.join(named, "sid").withColumn("text", line).groupBy("question_id", "project").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("all"))  # a context is bounded
+    return rows.select("question_id", "project", clamp_answer(F.array_join(F.transform("all", lambda x: x["text"]), "\n"), F.lit(budget)).alias("body"))

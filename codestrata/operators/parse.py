@@ -578,3 +578,22 @@ def parse_files(files: DataFrame, texts: DataFrame, cache: DataFrame | None = No
     if cache is None:
         return fresh
     return fresh.unionByName(cache.join(rows.select(*key), key, "left_semi").select(*fresh.columns))
+
+
+def function_rows(parsed: DataFrame, shown: int = 200) -> DataFrame:
+    """(file_id, path, id, label, is_public, is_efiapi, doc): the functions of parsed files, numbered within their file; static ones are not public, documentation is a summary of ``shown`` characters."""
+    f = parsed.select("file_id", "path", F.posexplode("functions").alias("id", "f"))
+    return f.select("file_id", "path", "id", "f.label", (~F.col("f.is_static")).alias("is_public"), "f.is_efiapi", F.substring("f.doc", 1, shown).alias("doc"))
+
+
+def symbol_rows(parsed: DataFrame, files: DataFrame) -> DataFrame:
+    """(project, sym_id, file_id, path, ...): the symbols of parsed files with ids 'sym_<file>_<symbol>' that count files of a project by path and symbols by place.
+
+    Only the paths, one row a file, are numbered in one sorted pass a project.
+    """
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("project").orderBy("path", "file_id")) - 1
+    numbered = files.where("file_id IS NOT NULL AND path IS NOT NULL").select("file_id", "project", "path").distinct().withColumn("nth", place).select("file_id", "project", "nth")
+    return parsed.select("file_id", "path", F.posexplode("symbols").alias("at", "s")).join(numbered, "file_id").select(
+        "project", F.concat(F.lit("sym_"), "nth", F.lit("_"), "at").alias("sym_id"), "file_id", "path", "s.*")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codestrata.operators.files import NON_CODE, file_type_of, known_files, resolve
 from codestrata.operators.hierarchy import CALLABLE_KINDS, TYPE_KINDS, referenced_name
-from codestrata.operators.symbols import known_symbols
+from codestrata.operators.symbols import NOT_CALLS, known_symbols
 from codestrata.tables import materialize, spread
 
 # The kind of each type of edge.
@@ -35,19 +35,57 @@ def edge_kind(edge_type: Column) -> Column:
 
 
 def hint_edges(parsed: DataFrame, files: DataFrame) -> DataFrame:
-    """(project, s, t, type, kind, line): what the hints of parsed files resolve to; the first line of each (s, t, type)."""
+    """(project, s, t, type, kind, via, subtype, origin, confidence, line): what the hints of parsed files resolve to; the first by line of each (s, t, type, subtype). An unknown type is an import."""
     owner = known_files(files).select("file_id", "project").distinct()
-    hints = parsed.select("file_id", "path", F.explode("hints").alias("h")).join(owner, "file_id").select("project", "path", F.col("h.target").alias("ref"), F.col("h.type").alias("type"), F.col("h.line").alias("line"))
+    fields = ("type", "line", "via", "subtype", "origin", "confidence")
+    hints = parsed.select("file_id", "path", F.explode("hints").alias("h")).join(owner, "file_id").select("project", "path", F.col("h.target").alias("ref"), *(F.col(f"h.{x}").alias(x) for x in fields))
+    hints = hints.withColumn("type", F.when(F.col("type").isin(*EDGE_KINDS), F.col("type")).otherwise("import"))
     known = resolve(hints.select("project", "path", "ref").distinct(), files)
-    return (hints.join(known, ["project", "path", "ref"]).groupBy("project", F.col("path").alias("s"), F.col("target").alias("t"), "type").agg(F.min("line").alias("line"))
-            .withColumn("kind", edge_kind(F.col("type"))))
+    first = F.min(F.struct("line", "via", "origin", "confidence")).alias("f")
+    return (hints.join(known, ["project", "path", "ref"]).groupBy("project", F.col("path").alias("s"), F.col("target").alias("t"), "type", "subtype").agg(first)
+            .select("project", "s", "t", "type", edge_kind(F.col("type")).alias("kind"), "f.via", "subtype", "f.origin", "f.confidence", "f.line"))
 
 
-def declared_ids(parsed: DataFrame) -> DataFrame:
-    """(path, declares, name) of identifiers in firmware manifests: those that sources refer to joined with the packages that list them, in any case."""
-    rows = parsed.select("path", F.explode("hints").alias("h")).where("h.type = 'guid_ref'").select("path", F.lower("h.target").alias("name")).distinct()
-    decl = rows.where(F.col("path").rlike(r"(?i)\.dec$")).groupBy("name").agg(F.min("path").alias("declares"))
-    return rows.where(~F.col("path").rlike(r"(?i)\.dec$")).join(decl, "name").select("path", "declares", "name")
+def trust_kind(origin: Column, edge_type: Column) -> Column:
+    """What an edge is trusted by: its origin if stated, else 'inferred' or 'import' by its type."""
+    return F.coalesce(origin, F.when(edge_type.contains("inferred"), "inferred").otherwise("import"))
+
+
+def declared_edges(parsed: DataFrame, files: DataFrame) -> DataFrame:
+    """(project, s, t, type, via): files that refer to an identifier or string another declares, names in any case: manifests to packages (guid_ref), forms to their strings (str_ref). One file a name, the least by path."""
+    owner = known_files(files).select("file_id", "project").distinct()
+    rows = materialize(parsed.where("size(hints) + size(symbols) > 0").select("file_id", "path", "hints", "symbols").join(owner, "file_id"), "declared")
+    refs = rows.where(~F.col("path").rlike(r"(?i)\.dec$")).select("project", "path", F.explode("hints").alias("h")).where("h.type IN ('guid_ref', 'str_ref')").select("project", F.col("path").alias("s"), "h.type", F.lower("h.target").alias("name"), F.col("h.target").alias("via")).distinct()
+    kind = F.when(F.col("y.kind") == "guid", "guid_ref").when(F.col("y.kind") == "string", "str_ref")
+    decl = rows.select("project", "path", F.explode("symbols").alias("y")).select("project", "path", kind.alias("type"), F.lower("y.name").alias("name")).where("type IS NOT NULL").groupBy("project", "type", "name").agg(F.min("path").alias("t"))
+    return refs.join(decl, ["project", "type", "name"]).where("s <> t").groupBy("project", "s", "t", "type").agg(F.min("via").alias("via"))
+
+
+def global_edges(parsed: DataFrame, files: DataFrame) -> DataFrame:
+    """(project, s, t, type, origin, via): script files without imports, and the only file that defines a global name they use; names of three letters or more. The least name of each pair is ``via``."""
+    code = parsed.where(F.col("path").rlike(r"(?i)\.(js|jsx|mjs|cjs|ts|tsx)$")).join(known_files(files).select("file_id", "project").distinct(), "file_id").select("project", "path", "imports", "defines", "uses")
+    only = code.select("project", F.col("path").alias("t"), F.explode("defines").alias("via")).distinct().groupBy("project", "via").agg(F.min("t").alias("t"), F.count("*").alias("n")).where("n = 1").drop("n")
+    uses = code.where(F.size("imports") == 0).select("project", F.col("path").alias("s"), F.explode("uses").alias("via")).distinct().where((F.length("via") >= 3) & ~F.col("via").isin(*NOT_CALLS))
+    return uses.join(only, ["project", "via"]).where("s <> t").groupBy("project", "s", "t").agg(F.min("via").alias("via")).select("project", "s", "t", F.lit("import").alias("type"), F.lit("inferred").alias("origin"), "via")
+
+
+def central_definitions(calls: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:
+    """(project, file_id, callee, target): which file defines what a file calls: the only one of the project, else the file itself, else the one that most files import, by edges(project, s, t); the least path on ties."""
+    defs = known_symbols(symbols).where(F.col("kind").isin(*CALLABLE_KINDS) & F.col("file").isNotNull()).select("project", F.col("name").alias("callee"), F.col("file_id").alias("at"), F.col("file").alias("target")).distinct()
+    indegree = edges.select("project", "s", F.col("t").alias("target")).distinct().groupBy("project", "target").agg(F.count("*").alias("links"))
+    ranked = defs.join(indegree, ["project", "target"], "left").na.fill(0, ["links"])
+    best = ranked.groupBy("project", "callee").agg(F.min(F.struct((-F.col("links")).alias("order"), "target")).alias("m")).select("project", "callee", F.col("m.target").alias("central"))
+    here = defs.groupBy("project", F.col("at").alias("file_id"), "callee").agg(F.min("target").alias("own"))
+    return calls.select("project", "file_id", "callee").distinct().join(best, ["project", "callee"]).join(here, ["project", "file_id", "callee"], "left").select("project", "file_id", "callee", F.coalesce("own", "central").alias("target"))
+
+
+def link_symbols(pairs: DataFrame, edges: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(project, s, t, link): what links two files of pairs(project, s, t): the first caller and callee of edges(src, dst), by line and name, that lead from one to the other, else 'import edge'."""
+    at = known_symbols(symbols).groupBy("sid").agg(F.min(F.struct("file", "line", "name")).alias("a"))
+    end = lambda c: at.select(F.col("sid").alias(c), F.col("a").alias(f"at_{c}"))
+    crossing = edges.select("project", "src", "dst").distinct().join(end("src"), "src").join(end("dst"), "dst").select("project", F.col("at_src.file").alias("s"), F.col("at_dst.file").alias("t"), F.col("at_src.line").alias("line"), F.concat("at_src.name", F.lit(" -> "), "at_dst.name").alias("link"))
+    first = crossing.where("s <> t").groupBy("project", "s", "t").agg(F.min(F.struct("line", "link")).alias("f"))
+    return pairs.select("project", "s", "t").distinct().join(first, ["project", "s", "t"], "left").select("project", "s", "t", F.coalesce("f.link", F.lit("import edge")).alias("link"))
 
 
 def type_usage(symbols: DataFrame) -> DataFrame:

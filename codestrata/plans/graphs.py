@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codestrata.operators import files as fl, graph as g
+from codestrata.operators import files as fl, flows, graph as g, search
 from codestrata.plans.files import _F, _RESOLVED
 from codestrata.plans.registry import query
 from codestrata.tables import read
@@ -51,6 +51,21 @@ p AS (SELECT * FROM c WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY sc
 SELECT *, row_number() OVER (PARTITION BY scope ORDER BY score DESC, s, t) AS rank FROM p QUALIFY rank <= 5""")(lambda s, d: g.surprising(_file_edges(s, d)))
 
 
+query("g_edge_weights", _W + " SELECT scope, s, t, kind, count(*) times FROM e WHERE s <> t GROUP BY 1, 2, 3, 4")(_edges(flows.edge_weights))
+query("g_folder_flows", _F + f""", {_RESOLVED}, p AS (SELECT project, split_part(min(path), '/', 1) prefix FROM f WHERE contains(path, '/') GROUP BY 1), w AS (SELECT ie.project, s, t, prefix FROM ie JOIN p USING (project) WHERE starts_with(s, prefix || '/') OR starts_with(t, prefix || '/')),
+x AS (SELECT project, CASE WHEN starts_with(s, prefix || '/') THEN split_part(substr(s, length(prefix) + 2), '/', 1) ELSE '[' || split_part(s, '/', 1) || ']' END s, CASE WHEN starts_with(t, prefix || '/') THEN split_part(substr(t, length(prefix) + 2), '/', 1) ELSE '[' || split_part(t, '/', 1) || ']' END t FROM w),
+fl AS (SELECT project, s, t, count(*) edges FROM x WHERE s <> t GROUP BY 1, 2, 3), k1 AS (SELECT project, s FROM fl GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY project ORDER BY sum(edges) DESC, s) <= 24), k2 AS (SELECT project, t FROM fl GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY project ORDER BY sum(edges) DESC, t) <= 24)
+SELECT fl.project, coalesce(k1.s, 'others') s, coalesce(k2.t, 'others') t, CAST(sum(edges) AS BIGINT) edges FROM fl LEFT JOIN k1 ON k1.project = fl.project AND k1.s = fl.s LEFT JOIN k2 ON k2.project = fl.project AND k2.t = fl.t GROUP BY 1, 2, 3""")(
+    lambda s, d: flows.fold_sides(flows.folder_flows(_file_edges(s, d).withColumnRenamed("scope", "project"), read(s, d, "files").where("contains(path, '/')").groupBy("project").agg(F.substring_index(F.min("path"), "/", 1).alias("prefix")))))
+query("g_cycle_examples")(_edges(lambda e: g.cycle_examples(e, g.strong_components(e))))
+query("g_explain", _W + """, n AS (SELECT DISTINCT project AS scope, id node FROM modules WHERE project IS NOT NULL AND contains(lower(id), 'a')), u AS (SELECT DISTINCT scope, s, t FROM e WHERE s <> t),
+a AS (SELECT scope, s node, t other, row_number() OVER (PARTITION BY scope, s ORDER BY t) k FROM u), b AS (SELECT scope, t node, s other, row_number() OVER (PARTITION BY scope, t ORDER BY s) k FROM u),
+x AS (SELECT scope, node, count(*) c, string_agg(other, ', ' ORDER BY k) FILTER (k <= 10) l FROM a GROUP BY 1, 2), y2 AS (SELECT scope, node, count(*) c, string_agg(other, ', ' ORDER BY k) FILTER (k <= 10) l FROM b GROUP BY 1, 2)
+SELECT n.scope, n.node, CASE WHEN coalesce(x.c, 0) = 0 AND coalesce(y2.c, 0) = 0 THEN 'isolated' WHEN coalesce(y2.c, 0) = 0 THEN 'entry' WHEN coalesce(x.c, 0) = 0 THEN 'leaf' WHEN y2.c >= 4 * x.c THEN 'hub' ELSE 'link' END AS role,
+coalesce(x.c, 0) imports, coalesce(y2.c, 0) imported_by, coalesce(x.l, '') uses, coalesce(y2.l, '') used_by FROM n LEFT JOIN x ON x.scope = n.scope AND x.node = n.node LEFT JOIN y2 ON y2.scope = n.scope AND y2.node = n.node""")(
+    lambda s, d: search.explain(g.module_edges(read(s, d, "module_edges")), read(s, d, "modules").select(F.col("project").alias("scope"), F.col("id").alias("node")).where("scope IS NOT NULL"), "a"))
+
+
 def _starts(edges):
     """The most imported module of each project."""
     return g.top_targets(edges, 1).select("scope", F.col("node").alias("start"))

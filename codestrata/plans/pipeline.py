@@ -23,7 +23,12 @@ def r_parse(s, d):
 
 @query("r_parsed_symbols")
 def r_parsed_symbols(s, d):
-    return _parsed(s, d).select("file_id", F.explode("symbols").alias("s")).select("file_id", "s.kind", "s.name", "s.line", "s.end_line", "s.parent", "s.signature", "s.complexity")
+    return parse.symbol_rows(_parsed(s, d), read(s, d, "files"))
+
+
+@query("r_functions")
+def r_functions(s, d):
+    return parse.function_rows(_parsed(s, d))
 
 
 @query("r_parse_again")
@@ -51,6 +56,19 @@ def r_file_pages(s, d):
     return reports.file_pages(read(s, d, "files"), read(s, d, "symbols"))
 
 
+@query("r_symbol_pages", _FILES + """, s AS (SELECT DISTINCT file_id, sid, name, lower(trim(coalesce(kind, ''))) kind, line FROM symbols WHERE sid IS NOT NULL), n AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY line, sid) nth FROM s),
+l AS (SELECT file_id, count(*) symbols, string_agg('- ' || kind || ' ' || coalesce(name, '?') || ' ' || coalesce(CAST(line AS VARCHAR), '?'), chr(10) ORDER BY nth) FILTER (nth <= 120) top FROM n GROUP BY 1)
+SELECT project, path page, symbols, '# ' || path || chr(10) || chr(10) || top body FROM (SELECT DISTINCT file_id, project, path FROM f) JOIN l USING (file_id)""")
+def r_symbol_pages(s, d):
+    return reports.symbol_pages(read(s, d, "files"), read(s, d, "symbols"))
+
+
+@query("h_window_days", """SELECT i - 100 AS asked, i % 97 * 60 AS configured, coalesce(greatest(7, least(3650, CASE WHEN i % 3 > 0 THEN i - 100 END)), CASE WHEN i % 97 * 60 BETWEEN 7 AND 3650 THEN i % 97 * 60 END, 180) AS days FROM range(5000) t(i)""")
+def h_window_days(s, d):
+    rows = s.range(5000).select((F.col("id") - 100).alias("asked"), (F.col("id") % 97 * 60).alias("configured"), F.when(F.col("id") % 3 > 0, F.col("id") - 100).alias("given"))
+    return rows.select("asked", "configured", reports.window_days(F.col("given"), F.col("configured")).cast("long").alias("days"))
+
+
 _DIMS = {d: " + ".join(f"{x} * max(CAST(regexp_matches(path, '{p}') AS INT))" for e, p, x in calibration.EVIDENCE if e == d) for d in calibration.WEIGHTS}
 _LEVEL = " ".join(f"WHEN score >= {least} THEN '{name}'" for least, name in calibration.LEVELS)
 

@@ -44,6 +44,10 @@ def _calls(s, d):
 
 
 query("e_classify_calls", f"WITH {_S}, {_CALLS}, {_LEADS} SELECT * FROM cf")(lambda s, d: r.classify_calls(_calls(s, d), read(s, d, "symbols")))
+query("e_central_definitions", _F + f""", {_RESOLVED}, {_S}, {_CALLS}, df AS (SELECT DISTINCT project, name callee, file_id fid, file target FROM s WHERE {_CALLABLE} AND file IS NOT NULL), dg AS (SELECT project, t, count(DISTINCT s) links FROM ie GROUP BY 1, 2),
+ce AS (SELECT df.project, callee, arg_min(target, (-coalesce(links, 0), target)) central FROM df LEFT JOIN dg ON dg.project = df.project AND dg.t = df.target GROUP BY 1, 2), ow AS (SELECT project, fid, callee, min(target) own FROM df GROUP BY 1, 2, 3)
+SELECT DISTINCT cl.project, cl.file_id, cl.callee, coalesce(own, central) target FROM cl JOIN ce ON ce.project = cl.project AND ce.callee = cl.callee LEFT JOIN ow ON ow.project = cl.project AND ow.fid = cl.file_id AND ow.callee = cl.callee""")(
+    lambda s, d: r.central_definitions(_calls(s, d), read(s, d, "symbols"), _edges(s, d)))
 query("e_call_flows", f"WITH {_S}, {_CALLS}, {_LEADS} SELECT project, leads_to, count(*) calls, count(DISTINCT callee) callees FROM cf GROUP BY 1, 2")(
     lambda s, d: r.call_flows(r.classify_calls(_calls(s, d), read(s, d, "symbols"))))
 _USAGE = lambda s, d: r.type_usage(read(s, d, "symbols"))

@@ -109,3 +109,22 @@ def t_security_summary(s, d):
 @query("t_security_rules")
 def t_security_rules(s, d):
     return security.by_rule(security.scan(read(s, d, "files"), read(s, d, "source_texts")))
+
+
+@query("t_text_score", """SELECT DISTINCT project, path, CASE WHEN lower(path) = 'graph' THEN 1000 WHEN starts_with(lower(path), 'a') THEN 500 WHEN contains(lower(path), 'a') THEN 101 - instr(lower(path), 'a') ELSE -1 END AS score FROM files WHERE path IS NOT NULL""")
+def t_text_score(s, d):
+    return read(s, d, "files").where("path IS NOT NULL").select("project", "path").distinct().withColumn("score", search.text_score(F.col("path"), "a"))
+
+
+@query("t_call_sites", r"""WITH s AS (SELECT DISTINCT sid, file_id, line "first", end_line FROM symbols WHERE sid IS NOT NULL AND lower(trim(coalesce(kind, ''))) IN ('function', 'method', 'constructor', 'func', 'def', 'fn') AND line > 0 AND end_line >= line),
+l AS (SELECT file_id, unnest(regexp_split_to_array(text, '\r\n|\n|\r')) raw, generate_subscripts(regexp_split_to_array(text, '\r\n|\n|\r'), 1) line FROM source_texts WHERE regexp_matches(text, '\breturn\b'))
+SELECT sid, CAST(line AS INT) line, trim(raw, ' ') code FROM l JOIN s USING (file_id) WHERE regexp_matches(raw, '\breturn\b') AND line BETWEEN "first" AND end_line""")
+def t_call_sites(s, d):
+    return search.call_sites(read(s, d, "symbols"), read(s, d, "source_texts"), "return")
+
+
+@query("t_related_files", r"""WITH w AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[\w.-]*\w')) word FROM eval_items WHERE text IS NOT NULL),
+p AS (SELECT DISTINCT project, path, lower(regexp_extract(path, '([^/]*)$', 1)) label FROM files WHERE project IS NOT NULL AND path IS NOT NULL), q AS (SELECT project, path, label, regexp_replace(label, '^(.+)\.[^.]*$', '\1') stem FROM p),
+n AS (SELECT project, path, label word FROM q UNION SELECT project, path, stem FROM q WHERE length(stem) > 2) SELECT DISTINCT item_id, project, path FROM w JOIN n USING (word)""")
+def t_related_files(s, d):
+    return search.related_files(read(s, d, "eval_items"), read(s, d, "files"), "item_id")

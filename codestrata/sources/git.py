@@ -119,6 +119,21 @@ def branches(root: str, top: int = 30) -> list[dict]:
     return rows[:top]
 
 
+def clone(source: str, to: str) -> str | None:
+    """A shallow clone of a repository, local or not; the folder, or None if it fails. Names that git would take for options are refused."""
+    if source.startswith("-"):
+        raise ValueError(source)
+    got = subprocess.run(["git", "clone", "-q", "--depth", "1", "--", f"file://{source}" if source.startswith("/") else source, to], capture_output=True)
+    return to if got.returncode == 0 else None
+
+
+def branch_changes(root: str, base: str, branch: str) -> list[tuple[str, int, int]]:
+    """(path, additions, deletions) of each file a branch touched since it left the base; '-' counts 0."""
+    out = run_git(root, "diff", "--numstat", f"{base}...{branch}") or ""
+    number = lambda x: int(x) if x.isdigit() else 0
+    return [(f[2], number(f[0]), number(f[1])) for line in out.splitlines() if len(f := line.split("\t")) == 3]
+
+
 def ignored(root: str, paths: list[str]) -> set[str]:
     """Those of ``paths`` that the repository's ignore rules exclude; none outside a repository."""
     got = subprocess.run(["git", "-C", root, "check-ignore", "-z", "--stdin"], input="\0".join(paths), capture_output=True, text=True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import tarfile
 import zipfile
 from pathlib import Path
 
@@ -22,6 +23,28 @@ def read_tree(spark: SparkSession, root: str, include_build: bool = False) -> Da
             .withColumn("is_source", ~F.col("ext").isin(*BINARY_EXT)))
 
 
+def _inside(target: Path, name: str) -> None:
+    if name.startswith(("/", "\\")) or ".." in Path(name.replace("\\", "/")).parts or not (target / name).resolve().is_relative_to(target):
+        raise ValueError(f"archive member outside the target: {name}")
+
+
+def _only_folder(target: Path) -> str:
+    inside = [p for p in target.iterdir() if not p.name.startswith("__MACOSX")]
+    return str(inside[0] if len(inside) == 1 and inside[0].is_dir() else target)
+
+
+def untar(data: bytes, to: str) -> str:
+    """Unpack a package's tarball, compressed or not, as :func:`unzip` does an archive. Links and devices are refused as well."""
+    target = Path(to).resolve()
+    with tarfile.open(fileobj=io.BytesIO(data)) as t:
+        for m in t.getmembers():
+            _inside(target, m.name)
+            if not (m.isfile() or m.isdir()):
+                raise ValueError(f"archive member is no file or folder: {m.name}")
+        t.extractall(target, filter="data")
+    return _only_folder(target)
+
+
 def unzip(data: bytes, to: str) -> str:
     """Unpack an archive and give the folder that holds its tree, the only folder at its top if there is just one.
 
@@ -30,8 +53,6 @@ def unzip(data: bytes, to: str) -> str:
     target = Path(to).resolve()
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         for name in z.namelist():
-            if name.startswith(("/", "\\")) or ".." in Path(name.replace("\\", "/")).parts or not (target / name).resolve().is_relative_to(target):
-                raise ValueError(f"archive member outside the target: {name}")
+            _inside(target, name)
         z.extractall(target)
-    inside = [p for p in target.iterdir() if not p.name.startswith("__MACOSX")]
-    return str(inside[0] if len(inside) == 1 and inside[0].is_dir() else target)
+    return _only_folder(target)
