@@ -65,8 +65,10 @@ def is_test_for_dead_code(path: Column) -> Column:
 
 
 def is_test_for_security(path: Column) -> Column:
-    """Broader: any file with 'test' in its name, and fixtures and mocks."""
-    return F.lower(path).rlike(r"(^|/)(tests?|fixtures?|mocks?|__tests__|__mocks__)/|test[^/]*$|(^|/)[^/]*test[^/]*$")
+    """The broader predicate of the security scan."""
+    from codestrata.operators.security import is_test
+
+    return is_test(path)
 
 
 def known_files(files: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ def _files(fn):
 
 query("f_nodes", _F + f"""SELECT file_id, project, path, ext, size, code + "comment" + blank lines, module, {_KIND} kind, {_SKIP} skipped,
 {_TEST.format('path')} test_dead,
-regexp_matches(lower(path), '(^|/)(tests?|fixtures?|mocks?|__tests__|__mocks__)/|(^|/)[^/]*test[^/]*$') test_security, {_KIND} NOT IN {f.NON_CODE} is_code FROM f""")(_files(f.file_nodes))
+regexp_matches(lower(replace(path, '\\', '/')), '(^|/)(?:test|tests|spec|specs|__tests__|fixtures|mocks)/|(?:test|[._]spec\\.)[^/]*$') test_security, {_KIND} NOT IN {f.NON_CODE} is_code FROM f""")(_files(f.file_nodes))
 query("f_loc_totals", _F + """SELECT project, CAST(sum(code) AS BIGINT) code, CAST(sum("comment") AS BIGINT) "comment", CAST(sum(blank) AS BIGINT) blank, CAST(sum(code + "comment" + blank) AS BIGINT) total FROM f GROUP BY 1""")(_files(f.loc_totals))
 query("f_type_counts", _F + f"SELECT project, {_KIND} kind, count(*) files FROM f GROUP BY 1, 2")(_files(f.type_counts))
 query("f_top_languages", _F + """, n AS (SELECT project, coalesce(ext, '') ext, count(*) files FROM f GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY files DESC, ext) nth FROM n)
@@ -42,13 +42,13 @@ _GROUPS = {ext: [ext, *(e for e, like in f.SAME_IMPORTS.items() if like == ext)]
 _IMPORTS = " UNION ALL ".join(f"SELECT project, path, list_concat(regexp_extract_all(text, '{p.replace(chr(39), chr(39) * 2)}', 1), regexp_extract_all(text, '{p.replace(chr(39), chr(39) * 2)}', 2)) refs FROM f JOIN source_texts USING (file_id) WHERE text IS NOT NULL AND ext IN ({', '.join(repr(e) for e in _GROUPS[ext])})"
                               for ext, p in f.IMPORTS.items())
 _REFS = f"g AS ({_IMPORTS}), u AS (SELECT DISTINCT project, path, unnest(refs) AS ref FROM g), im AS (SELECT * FROM u WHERE ref <> '')"
-_UP = "regexp_replace({0}, '(^|/)[^/.][^/]*/\.\.(/|$)', '\1')"
-_NORMAL = "regexp_replace(regexp_replace(regexp_replace({0}, '(^|/)(\./)+', '\\1', 'g'), '/+', '/', 'g'), '(/\.)?/?$', '')"
+_UP = r"regexp_replace({0}, '(^|/)[^/.][^/]*/\.\.(/|$)', '\1')"
+_NORMAL = r"regexp_replace(regexp_replace(regexp_replace({0}, '(^|/)(\./)+', '\1', 'g'), '/+', '/', 'g'), '(/\.)?/?$', '')"
 for _ in range(4):
     _NORMAL = _UP.format(_NORMAL)
-_BARE = "regexp_replace({0}, '([^/])\.[^./]*$', '\\1')"
+_BARE = r"regexp_replace({0}, '([^/])\.[^./]*$', '\1')"
 _LAST = "regexp_extract({0}, '([^/]*)$', 1)"
-_SNAKE = "lower(regexp_replace(regexp_replace({0}, '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1_\\2', 'g'))"
+_SNAKE = r"lower(regexp_replace(regexp_replace({0}, '([a-z0-9])([A-Z])', '\1_\2', 'g'), '([A-Z])([A-Z][a-z])', '\1_\2', 'g'))"
 _RESOLVED = _REFS + rf""", d0 AS (SELECT *, replace(ref, '\', '/') rs, regexp_extract(path, '^(.*/)?[^/]*$', 1) folder,
  CASE WHEN NOT contains(replace(ref, '\', '/'), '/') THEN lower(regexp_replace(regexp_replace(ref, '^(?:crate|self|super)::|^\.+', ''), '::|\.', '/', 'g')) END dotted FROM im),
 d AS (SELECT *, CASE WHEN folder <> '' AND regexp_matches(rs, '[/.]') THEN {_NORMAL.format('(folder || rs)')} END seen, {_BARE.format(_LAST.format("replace(rs, '::', '/')"))} stem FROM d0),

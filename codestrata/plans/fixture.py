@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codestrata.operators import files as fl, graph, parse, quality, resolution as r, symbols as y
+from codestrata.operators import calibration, files as fl, graph, parse, quality, resolution as r, symbols as y
 from codestrata.plans.registry import query
 from codestrata.tables import materialize
 
@@ -118,6 +118,18 @@ query("fx_health_scores", _values(
     ("a", 8.8, 5.0, 7.5, 7.5, 4.0, 6.87, "amber", 645, 10.8), ("b", 10.0, 10.0, 10.0, 10.0, 0.0, 8.5, "green", 0, 0.0), ("c", 0.0, 0.0, 0.0, 0.0, 10.0, 1.5, "red", 2900, 48.3)))(
     lambda s, d: quality.health_scores(s.createDataFrame([("a", 12.0, 3, 4, 50, 5, 20, 0.25, 0.4, 2, 1), ("b", 0.0, 0, 0, 0, 0, 0, 0.0, -0.2, 0, 0), ("c", 120.0, 20, 10, 100, 40, 40, 1.5, 1.0, 20, 0)], _HEALTH)).select(
         "project", "complexity_score", "coupling_score", "dead_code_score", "duplication_score", "cohesion_score", "score", "band", "debt_minutes", "debt_hours"))
+_HARNESS = [("rich", "CLAUDE.md", "Run pytest.\nNever touch prod; delegate to a subagent.\n" + "x\n" * 60), ("rich", "AGENTS.md", "See CLAUDE.md\n"), ("rich", ".claude/settings.json", '{"permissions": {}}'), ("rich", ".claude/agents/a.md", ""), ("rich", ".claude/agents/b.md", ""),
+            ("rich", ".claude/agents/c.md", ""), ("rich", "tests/test_a.py", ""), ("rich", ".github/workflows/ci.yml", ""), ("rich", "LESSONS.md", "## cache-miss (2026-01-02)\n"), ("rich", "CHANGELOG.md", ""), ("rich", ".gitignore", "x\n.env\n"),
+            ("thin", "CLAUDE.md", ""), ("thin", ".env", "A=1"), ("thin", "src/tests/test_a.py", ""), ("thin", ".claude/settings.json", "{}"), ("none", "a.py", "x")]
+query("fx_maturity", _values(
+    "project, instructions, harness_config, loop_engineering, memory_learning, delegation, safety_governance, score, level", ("rich", 10.0, 7.0, 10.0, 10.0, 6.5, 10.0, 9.0, "self_improving"), ("thin", 8.0, 4.0, 0.0, 0.0, 0.0, 1.0, 2.4, "basic"),
+    ("none", 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.2, "none_adhoc")))(lambda s, d: calibration.maturity(_tree(s, _HARNESS), s.createDataFrame([(n, x[2]) for n, x in enumerate(_HARNESS)], "file_id long, text string")))
+
+
+def _tree(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    return spark.createDataFrame([(n, x[0], x[1], x[1].rsplit("/", 1)[-1], "", 0, None, 0) for n, x in enumerate(rows)], "file_id long, project string, path string, label string, ext string, size long, loc struct<code:int,comment:int,blank:int>, func_count int")
+
+
 _LOOP = [("p", a, b) for a, b in (("a", "b"), ("b", "c"), ("c", "a"), ("b", "a"), ("x", "y"), ("y", "z"), ("z", "x"), ("c", "x"))]
 query("fx_cycle_examples", _values("component, hops, path", ("c", 2, "a > b > a"), ("z", 3, "x > y > z > x")))(
     lambda s, d: (lambda e: graph.cycle_examples(e, graph.strong_components(e)).drop("scope"))(s.createDataFrame(_LOOP, "scope string, s string, t string")))

@@ -69,14 +69,16 @@ def h_window_days(s, d):
     return rows.select("asked", "configured", reports.window_days(F.col("given"), F.col("configured")).cast("long").alias("days"))
 
 
-_DIMS = {d: " + ".join(f"{x} * max(CAST(regexp_matches(path, '{p}') AS INT))" for e, p, x in calibration.EVIDENCE if e == d) for d in calibration.WEIGHTS}
-_LEVEL = " ".join(f"WHEN score >= {least} THEN '{name}'" for least, name in calibration.LEVELS)
+_KEPT = [(e, f"regexp_matches(path, '{e.path}')" + (f" AND regexp_matches(coalesce(text, ''), '{e.text}')" if e.text else f" AND NOT regexp_matches(coalesce(text, ''), '{e.unless}')" if e.unless else "")) for e in calibration.EVIDENCE]
+_HITS = " UNION ALL ".join(f"SELECT project, '{e.dimension}' dim, {e.points} * least(count(*), {e.times}) points FROM f WHERE {cond} GROUP BY 1" for e, cond in _KEPT)
+_LEVEL = f"WHEN score >= 8 AND memory_learning >= {calibration.MEMORY_NEEDED} THEN 'self_improving' " + " ".join(f"WHEN score >= {least} THEN '{name}'" for least, name in calibration.LEVELS[1:])
 
 
-@query("r_maturity", f"""WITH d AS (SELECT project, {', '.join(f"CAST(least(10, {x}) AS DOUBLE) AS {d}" for d, x in _DIMS.items())} FROM files WHERE path IS NOT NULL GROUP BY 1),
-s AS (SELECT *, round({' + '.join(f"{d} * {w}" for d, w in calibration.WEIGHTS.items())}, 4) score FROM d) SELECT *, CASE {_LEVEL} END AS level FROM s""")
+@query("r_maturity", f"""WITH f AS (SELECT DISTINCT f.file_id, project, path, text FROM files f LEFT JOIN source_texts USING (file_id) WHERE path IS NOT NULL AND project IS NOT NULL), h AS ({_HITS} UNION ALL SELECT project, 'safety_governance', 1.0 FROM f GROUP BY 1 HAVING NOT bool_or(path = '.env')),
+d AS (SELECT project, {', '.join(f"CAST(least(10, coalesce(sum(points) FILTER (dim = '{d}'), 0)) AS DOUBLE) AS {d}" for d in calibration.WEIGHTS)} FROM h GROUP BY 1), p AS (SELECT DISTINCT project FROM f),
+s AS (SELECT p.project, {', '.join(f"coalesce({d}, 0) {d}" for d in calibration.WEIGHTS)}, round({' + '.join(f"coalesce({d}, 0) * {w}" for d, w in calibration.WEIGHTS.items())}, 1) score FROM p LEFT JOIN d USING (project)) SELECT *, CASE {_LEVEL} END AS level FROM s""")
 def r_maturity(s, d):
-    return calibration.maturity(read(s, d, "files"))
+    return calibration.maturity(read(s, d, "files"), read(s, d, "source_texts"))
 
 
 @query("a_daily_events", """SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, CAST(date_trunc('day', ts) + INTERVAL 1 DAY AS TIMESTAMP) AS "end", event_type, count(*) events, round(sum(value), 4) AS value FROM events WHERE ts IS NOT NULL GROUP BY 1, 2, 3""")

@@ -45,7 +45,7 @@ def test_files(spark):
     assert rows(fl.entry_points(f, edges), "path", "role") == [("src/a.py", "entry")]
     assert rows(fl.loc_totals(f), "code", "total") == [(3, 4)]
     assert rows(fl.folder_rollup(f), "folder", "files") == [("", 3), ("src", 2)]
-    assert calibration.maturity(f).first()["instructions"] == 6.0
+    assert rows(calibration.maturity(f, x), "safety_governance", "level") == [(1.0, "none_adhoc")] and calibration.maturity(f.limit(0), x).count() == 0
     assert fl.file_nodes(f.limit(0)).count() == 0
 
 

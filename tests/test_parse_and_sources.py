@@ -109,3 +109,77 @@ def test_reports(spark, tmp_path):
     reports.write_pages(pages, str(tmp_path / "out"))
     reports.save_tables({"pages": reports.module_pages(f)}, str(tmp_path / "t"))
     assert spark.read.parquet(str(tmp_path / "t/pages.parquet")).count() == 1
+
+
+def test_parser_output():
+    p = parse.scan("/** Holds. */\n@Entity\npublic class D extends E implements F {\n  private G g;\n  // Adds.\n  @Override\n  public static int add(Crate c) throws Full {\n    if (c) { push(c); }\n    return 1;\n  }\n  private void drop() {\n    add(g);\n  }\n}\n", ".java")
+    d, add, drop = p.symbols
+    assert (d["doc"], d["decorators"], d["bases"], d["is_public"]) == ("Holds.", ["@Entity"], ["E", "F"], True)
+    assert (add["doc"], add["decorators"], add["is_static"], add["complexity"], add["type_refs"], add["line"], add["end_line"], add["parent"]) == ("Adds.", ["@Override"], True, 2, ["Crate", "Full"], 7, 10, "D")
+    assert not drop["is_public"] and [(c["caller"], c["callees"]) for c in p.calls_by_function] == [("add", ["push"]), ("drop", ["add"])]
+    c = parse.scan("EFI_STATUS EFIAPI Start(VOID) {\n  return go();\n}\nstatic int hide(int a)\n{\n  return 1;\n}\n", ".c")
+    assert [(f["label"], f["is_efiapi"], f["is_static"]) for f in c.functions] == [("Start", True, False), ("hide", False, True)]
+    for ext, text, want in [(".go", "// Runs.\nfunc Run(a Arg) Out {\n}\nfunc hide() {\n}\n", [("Run", True, "Runs."), ("hide", False, None)]), (".rs", "/// Fills.\npub fn fill() {}\nfn hide() {}\n", [("fill", True, "Fills."), ("hide", False, None)]),
+                            (".ex", "defmodule T do\n  # Fills.\n  def fill(x) do\n    if x do\n      1\n    end\n  end\n  defp hide(x), do: x\nend\n", [("T", True, None), ("fill", True, "Fills."), ("hide", False, None)]),
+                            (".vb", "' A tank.\nClass Tank\n  Private Sub Fill()\n  End Sub\nEnd Class\n", [("Tank", True, "A tank."), ("Fill", False, None)]), (".hs", "-- | Fills.\nfill :: Level -> Tank\nfill x = pour x\n", [("fill", True, "Fills.")])]:
+        assert [(s["name"], s["is_public"], s["doc"]) for s in parse.scan(text, ext).symbols] == want
+    long = "fn go(\n" + "".join(f"    a{i}: Part{i},\n" for i in range(60)) + ") -> Out {\n    if a { b() }\n}\n"
+    assert (s := parse.scan(long, ".rs").symbols[0])["complexity"] == 2 and s["end_line"] == 64 and "Part59" in s["type_refs"]
+    assert parse.scan("function f() {\n", ".js").symbols[0]["end_line"] == 2 and parse.scan("x = (", ".js").symbols == []
+
+
+def test_every_extension_has_a_scanner_that_survives_noise():
+    import random
+    rng = random.Random(3)
+    noise = ["".join(rng.choice("abC_ {}()[];:=<>'\"#/*-\n\t.,@$") for _ in range(300)) for _ in range(6)]
+    for ext, f in parse.SCANNERS.items():
+        for text in [*noise, "", "{" * 200, "(" * 200, "\n" * 50]:
+            p = f(text, ext)
+            assert all(s["line"] >= 1 and s["end_line"] >= s["line"] for s in p.symbols), ext
+    assert parse.fingerprint(parse.scan_sql) != parse.fingerprint(lambda text, ext: None)
+
+
+def test_saved_results_and_packages(spark, tmp_path):
+    import tarfile
+    df = spark.createDataFrame([(1,)], "a int")
+    folder = f"file://{tmp_path}/result"
+    assert reports.load_result(spark, folder) is None and reports.stale(spark, folder, "1")
+    reports.save_result({"x": df}, folder, "2024-01-02", head="abc")
+    assert reports.load_result(spark, folder)["x"].count() == 1 and reports.load_meta(spark, folder)["head"] == "abc" and not reports.stale(spark, folder, "2024-01-02")
+    assert [m["folder"] for m in reports.recent_results(spark, [folder, folder + "-none"])] == [folder]
+    data = io.BytesIO()
+    with tarfile.open(fileobj=data, mode="w:gz") as t:
+        info = tarfile.TarInfo("package/a.js")
+        info.size = 1
+        t.addfile(info, io.BytesIO(b"x"))
+    assert trees.untar(data.getvalue(), str(tmp_path / "pkg")).endswith("package")
+    bad = io.BytesIO()
+    with tarfile.open(fileobj=bad, mode="w") as t:
+        t.addfile(tarfile.TarInfo("../up"))
+    with pytest.raises(ValueError):
+        trees.untar(bad.getvalue(), str(tmp_path / "bad"))
+    q = spark.createDataFrame([("ask", "How?", "So.", 3)], "tool string, question string, answer string, ms long")
+    reports.log_queries(q, f"file://{tmp_path}/log")
+    assert spark.read.json(f"file://{tmp_path}/log").first()["chars"] == 3
+    (tmp_path / "edges.json").write_text('{"source": "a", "target": "b", "confidence": 0.5, "reason": "' + "x" * 200 + '"}\n{"source": "a", "target": "a"}\n')
+    e = reports.inferred_edges(spark, f"file://{tmp_path}/edges.json").first()
+    assert len(e["reason"]) == 160 and e["origin"] == "inferred"
+    v = spark.createDataFrame([("p", "a", "b", "1", "2"), ("p", "a", "c", "1", "9")], "project string, source string, target string, source_sha string, target_sha string")
+    now = spark.createDataFrame([("p", "a", "1"), ("p", "b", "2"), ("p", "c", "3")], "project string, path string, sha string")
+    assert rows(reports.valid_edges(v, now), "target", "stale") == [("b", False), ("c", True)]
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from codestrata import tables
+
+    class Conf(dict):
+        get = dict.get
+
+    class Fake:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://x:7077", "getCheckpointDir": lambda self: None})()
+
+    with pytest.raises(RuntimeError):
+        tables.scratch_dir(Fake())
+    Fake.sparkContext = type("C", (), {"master": "spark://x:7077", "getCheckpointDir": lambda self: "hdfs://n/c"})()
+    assert tables.scratch_dir(Fake()) == "hdfs://n/c"
