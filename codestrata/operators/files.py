@@ -12,30 +12,38 @@ from codestrata.functions.text import basename, normal_path, snake
 
 # The kind of file by extension.
 FILE_TYPES = {
-    "c_source": ".c .cpp .cc .cxx", "header": ".h .hpp .hh .hxx", "assembly": ".asm .s .nasm", "module_inf": ".inf", "package_dec": ".dec",
-    "platform_dsc": ".dsc", "flash_desc": ".fdf", "common_file": ".sdl .sd .cif .mak .hfr", "hii_vfr": ".vfr", "hii_string": ".uni", "acpi_asl": ".asl",
-    "py_source": ".py", "js_source": ".js .mjs .cjs", "jsx_source": ".jsx", "ts_source": ".ts", "tsx_source": ".tsx", "go_source": ".go", "java_source": ".java",
-    "kotlin_source": ".kt .kts", "scala_source": ".scala", "groovy_source": ".groovy", "dart_source": ".dart", "swift_source": ".swift", "objc_source": ".m .mm",
-    "csharp_source": ".cs", "vb_source": ".vb", "fsharp_source": ".fs .fsx", "ruby_source": ".rb", "php_source": ".php", "perl_source": ".pl .pm", "lua_source": ".lua",
-    "shell_source": ".sh .bash .zsh", "r_source": ".r", "julia_source": ".jl", "rust_source": ".rs", "zig_source": ".zig", "d_source": ".d", "nim_source": ".nim",
-    "crystal_source": ".cr", "elixir_source": ".ex .exs", "erlang_source": ".erl .hrl", "clojure_source": ".clj .cljs", "haskell_source": ".hs", "ocaml_source": ".ml .mli",
-    "elm_source": ".elm", "sql_source": ".sql", "graphql_source": ".graphql .gql", "proto_source": ".proto", "css_source": ".css", "scss_source": ".scss",
-    "sass_source": ".sass", "less_source": ".less", "stylus_source": ".styl", "html_source": ".html .htm .xhtml", "json_config": ".json", "yaml_source": ".yaml .yml",
-    "toml_source": ".toml", "markdown_doc": ".md .markdown .mdown .mkd", "rst_doc": ".rst", "text_doc": ".txt", "powershell_source": ".ps1 .psm1 .psd1",
+    ".c": "c_source", ".cpp": "c_source", ".cc": "c_source", ".cxx": "c_source", ".h": "header", ".hpp": "header", ".hh": "header", ".hxx": "header", ".asm": "assembly", ".s": "assembly",
+    ".nasm": "assembly", ".inf": "module_inf", ".dec": "package_dec", ".dsc": "platform_dsc", ".fdf": "flash_desc", ".sdl": "common_file", ".sd": "common_file", ".cif": "common_file",
+    ".mak": "common_file", ".hfr": "common_file", ".vfr": "hii_vfr", ".uni": "hii_string", ".asl": "acpi_asl", ".py": "py_source", ".js": "js_source", ".mjs": "js_source", ".cjs": "js_source",
+    ".jsx": "jsx_source", ".ts": "ts_source", ".tsx": "tsx_source", ".go": "go_source", ".java": "java_source", ".kt": "kotlin_source", ".kts": "kotlin_source", ".scala": "scala_source",
+    ".groovy": "groovy_source", ".dart": "dart_source", ".swift": "swift_source", ".m": "objc_source", ".mm": "objc_source", ".cs": "csharp_source", ".vb": "vb_source", ".fs": "fsharp_source",
+    ".fsx": "fsharp_source", ".rb": "ruby_source", ".php": "php_source", ".pl": "perl_source", ".pm": "perl_source", ".lua": "lua_source", ".sh": "shell_source", ".bash": "shell_source",
+    ".zsh": "shell_source", ".r": "r_source", ".jl": "julia_source", ".rs": "rust_source", ".zig": "zig_source", ".d": "d_source", ".nim": "nim_source", ".cr": "crystal_source",
+    ".ex": "elixir_source", ".exs": "elixir_source", ".erl": "erlang_source", ".hrl": "erlang_source", ".clj": "clojure_source", ".cljs": "clojure_source", ".hs": "haskell_source",
+    ".ml": "ocaml_source", ".mli": "ocaml_source", ".elm": "elm_source", ".sql": "sql_source", ".graphql": "graphql_source", ".gql": "graphql_source", ".proto": "proto_source", ".css": "css_source",
+    ".scss": "scss_source", ".sass": "sass_source", ".less": "less_source", ".styl": "stylus_source", ".html": "html_source", ".htm": "html_source", ".xhtml": "html_source", ".json": "json_config",
+    ".yaml": "yaml_source", ".yml": "yaml_source", ".toml": "toml_source", ".md": "markdown_doc", ".markdown": "markdown_doc", ".mdown": "markdown_doc", ".mkd": "markdown_doc", ".rst": "rst_doc",
+    ".txt": "text_doc", ".ps1": "powershell_source", ".psm1": "powershell_source", ".psd1": "powershell_source",
 }
 NON_CODE = ("json_config", "yaml_source", "toml_source", "markdown_doc", "rst_doc", "text_doc")
 BINARY_EXT = (".veb", ".lib", ".obj", ".efi", ".rom", ".bin", ".log", ".map")
 SKIP_DIRS = ("Build", "build", ".git", "__pycache__", "Conf", "DEBUG", "RELEASE", "node_modules", ".next", ".nuxt", "dist", "out", ".output", ".cache", "coverage",
              ".nyc_output", "storybook-static", "vendor", ".venv", "venv", "env", ".env", ".tox", ".pytest_cache", ".mypy_cache", "site-packages", "__pypackages__", ".idea", ".vscode", ".DS_Store")
 BUILD_DIRS = ("Build", "build", "DEBUG", "RELEASE")
-FAMILIES = {"c": ".c .cpp .cc .cxx .h .hpp", "python": ".py", "javascript": ".js .mjs .cjs .jsx", "typescript": ".ts .tsx", "go": ".go", "java": ".java", "dotnet": ".cs .vb .fs",
-            "ruby": ".rb", "rust": ".rs", "php": ".php", "swift": ".swift", "kotlin": ".kt .kts"}
+FAMILY_ORDER = ("go", "typescript", "react", "javascript", "python", "c_cpp", "java", "kotlin", "scala", "dart", "swift", "groovy", "objc", "csharp", "rust", "ruby", "php", "lua", "elixir", "haskell", "html", "yaml", "powershell", "toml")
+FAMILIES = {
+    ".go": "go", ".ts": "typescript", ".tsx": "typescript", ".js": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".py": "python", ".c": "c_cpp", ".cpp": "c_cpp", ".cc": "c_cpp", ".h": "c_cpp", ".hpp": "c_cpp",
+    ".java": "java", ".kt": "kotlin", ".kts": "kotlin", ".scala": "scala", ".dart": "dart", ".swift": "swift", ".groovy": "groovy", ".m": "objc", ".mm": "objc", ".cs": "csharp", ".rs": "rust", ".rb": "ruby", ".php": "php",
+    ".lua": "lua", ".ex": "elixir", ".exs": "elixir", ".hs": "haskell", ".html": "html", ".htm": "html", ".xhtml": "html", ".yaml": "yaml", ".yml": "yaml", ".ps1": "powershell", ".psm1": "powershell", ".psd1": "powershell", ".toml": "toml",
+}
+REACT_EXT = (".jsx", ".tsx")
+FIRMWARE_EXT = (".inf", ".sdl", ".cif", ".dec", ".dsc", ".fdf")
+MIXED_SHARE = 0.35
 PALETTE_SIZE = 15
 
 
 def _lookup(key: Column, table: dict[str, str], otherwise: Column) -> Column:
-    """A map literal from blank-separated values to their name."""
-    pairs = [F.lit(x) for name, values in table.items() for v in values.split() for x in (v, name)]
+    pairs = [F.lit(x) for pair in table.items() for x in pair]
     return F.coalesce(F.element_at(F.create_map(*pairs), F.coalesce(key, F.lit(""))), otherwise)
 
 
@@ -49,9 +57,9 @@ def file_type_of(ext: Column) -> Column:
     return F.when(low.isin(*BINARY_EXT), "binary").otherwise(_lookup(low, FILE_TYPES, F.lit("other")))
 
 
-def is_skipped(path: Column, include_build: bool = False) -> Column:
-    """Whether a folder of the path is one that scans leave out."""
-    skip = [x for x in SKIP_DIRS if not (include_build and x in BUILD_DIRS)]
+def is_skipped(path: Column, include_build: bool = False, include: tuple[str, ...] = ()) -> Column:
+    """Whether a folder of the path is one that scans leave out; those named in ``include`` are kept."""
+    skip = [x for x in SKIP_DIRS if not (include_build and x in BUILD_DIRS) and x not in include]
     folders = F.slice(F.split(path, "/"), 1, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))
     return F.arrays_overlap(folders, F.array(*map(F.lit, skip)))
 
@@ -113,20 +121,32 @@ def module_summary(files: DataFrame) -> DataFrame:
 
 
 def project_types(files: DataFrame) -> DataFrame:
-    """The leading language family of each project; 'mixed' where the second has more than 35 % of the first's files."""
-    n = (known_files(files).withColumn("family", _lookup(F.col("ext"), FAMILIES, F.lit(None).cast("string"))).where("family IS NOT NULL")
-         .groupBy("project", "family").agg(F.count("*").alias("files")))
-    order = Window.partitionBy("project").orderBy(F.desc("files"), "family")
-    ranked = n.withColumns({"rank": F.row_number().over(order), "second": F.lead("files", 1, 0).over(order)})
-    return ranked.where("rank = 1").select("project", "family", "files", "second", F.when(F.col("second") / F.col("files") > 0.35, "mixed").otherwise(F.col("family")).alias("project_type"))
-
+    """(project, family, files, second, project_type): the leading language family of each project; 'mixed' where the second has more than 35 % of the first's files.
 
-def treemap(files: DataFrame) -> DataFrame:
-    """The area a file takes in a tree map, by lines or else by size, and the group it falls in: up to two folders, else its extension."""
+    Any firmware description makes a project firmware. Pages of components count as a family of their own where they are more than half of the typed ones. Ties go by a fixed order; a
+    project of no family is C.
+    """
+    held = known_files(files).groupBy("project", F.coalesce("ext", F.lit("")).alias("ext")).agg(F.count("*").alias("files"))
+    some = lambda exts: F.coalesce(F.sum(F.when(F.col("ext").isin(*exts), F.col("files"))), F.lit(0))
+    whole = held.groupBy("project").agg(some(FIRMWARE_EXT).alias("firmware"), some(REACT_EXT).alias("react"), some([e for e, f in FAMILIES.items() if f == "typescript"]).alias("typed"))
+    react = whole.where((F.col("react") > 0) & (F.col("react") > F.col("typed") * 0.5)).select("project", F.lit("react").alias("family"), F.col("react").alias("files"))
+    n = held.withColumn("family", _lookup(F.col("ext"), FAMILIES, F.lit(None).cast("string"))).where("family IS NOT NULL").groupBy("project", "family").agg(F.sum("files").alias("files")).unionByName(react)
+    place = F.array_position(F.array(*map(F.lit, FAMILY_ORDER)), F.col("family"))
+    order = Window.partitionBy("project").orderBy(F.desc("files"), place)
+    first = n.withColumns({"rank": F.row_number().over(order), "second": F.lead("files", 1, 0).over(order)}).where("rank = 1").select("project", "family", "files", "second")
+    rows = whole.select("project", "firmware").join(first, "project", "left")
+    mixed = F.col("second") / F.col("files") > MIXED_SHARE
+    kind = F.when(F.col("firmware") > 0, "firmware").when(F.col("family").isNull(), "c_cpp").when(mixed, "mixed").otherwise(F.col("family"))
+    return rows.select("project", F.when(F.col("firmware") > 0, "firmware").otherwise(F.coalesce("family", F.lit("c_cpp"))).alias("family"), F.when(F.col("firmware") > 0, F.col("firmware")).otherwise(F.coalesce("files", F.lit(0))).alias("files"),
+                       F.coalesce("second", F.lit(0)).alias("second"), kind.alias("project_type"))
+
+
+def treemap(files: DataFrame, depth: int = 2) -> DataFrame:
+    """The area a file takes in a tree map, by lines or else by size, and the group it falls in: up to ``depth`` folders, else its extension."""
     parts = F.split("path", "/")
     lines = F.col("code") + F.col("comment") + F.col("blank")
     scaled = F.log2(F.col("size") + 1) * F.when(F.col("ext").isin(*BINARY_EXT), 2.2).otherwise(5.0)
-    group = F.when(F.size(parts) > 2, F.concat_ws("/", F.slice(parts, 1, 2))).when(F.size(parts) == 2, parts[0]).otherwise(F.coalesce("ext", F.lit("")))
+    group = F.when(F.size(parts) > 1, F.concat_ws("/", F.slice(parts, 1, F.least(F.size(parts) - 1, F.lit(depth))))).otherwise(F.coalesce("ext", F.lit("")))
     return known_files(files).select("file_id", "project", F.round(F.when(lines > 0, lines.cast("double")).otherwise(scaled), 4).alias("metric"), group.alias("group_key"))
 
 

@@ -115,3 +115,14 @@ def health_inputs(files: DataFrame, symbols: DataFrame, texts: DataFrame, compon
 
 def health(files: DataFrame, symbols: DataFrame, texts: DataFrame, components: DataFrame, modularity: DataFrame) -> DataFrame:
     return health_scores(health_inputs(files, symbols, texts, components, modularity)).drop("mean_complexity", "functions")
+
+
+def backfill(commits: DataFrame, inputs: DataFrame, existing: DataFrame | None = None, bucket: str = "week", keep: int = 500) -> DataFrame:
+    """Health of past commits: the newest of each project and week, or day, by commits(sha, project, date, author), scored from inputs(project, sha, ...) as :func:`health_scores` takes, and
+    merged with snapshots that exist already, which win. Nothing is checked out: the inputs are tables keyed by commit.
+    """
+    from codestrata.operators.history import merge_history, newest_per_bucket
+
+    picked = newest_per_bucket(commits, bucket).select("project", "bucket", "sha", "date")
+    new = health_scores(picked.join(inputs, ["project", "sha"])).select("project", "bucket", "sha", "date", "score", "band", "debt_minutes")
+    return merge_history(existing if existing is not None else new.limit(0), new, ["project", "bucket"], "bucket", keep)

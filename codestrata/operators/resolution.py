@@ -24,8 +24,14 @@ EDGE_KINDS = {
     "resource_hint": "import", "call": "call", "inherit": "inherit", "inferred": "inferred"}
 NAME_PARTS = 16  # of the writers of one data file, each paired with all of its readers
 # System functions by category, for calls that leave the project.
-SYSTEM = {"io": "open read write close print printf fprintf puts gets fopen fclose readline log", "memory": "malloc free calloc realloc memcpy memset memmove alloc dealloc", "string": "strlen strcpy strcat strcmp format replace split join trim",
-          "time": "sleep time now clock delay wait", "process": "exec spawn fork system exit abort run", "network": "connect listen bind accept send recv fetch request", "math": "abs sqrt pow floor ceil round min max"}
+SYSTEM = {
+    "open": "io", "read": "io", "write": "io", "close": "io", "print": "io", "printf": "io", "fprintf": "io", "puts": "io", "gets": "io", "fopen": "io", "fclose": "io", "readline": "io", "log": "io",
+    "malloc": "memory", "free": "memory", "calloc": "memory", "realloc": "memory", "memcpy": "memory", "memset": "memory", "memmove": "memory", "alloc": "memory", "dealloc": "memory",
+    "strlen": "string", "strcpy": "string", "strcat": "string", "strcmp": "string", "format": "string", "replace": "string", "split": "string", "join": "string", "trim": "string", "sleep": "time",
+    "time": "time", "now": "time", "clock": "time", "delay": "time", "wait": "time", "exec": "process", "spawn": "process", "fork": "process", "system": "process", "exit": "process",
+    "abort": "process", "run": "process", "connect": "network", "listen": "network", "bind": "network", "accept": "network", "send": "network", "recv": "network", "fetch": "network",
+    "request": "network", "abs": "math", "sqrt": "math", "pow": "math", "floor": "math", "ceil": "math", "round": "math", "min": "math", "max": "math",
+}
 
 
 def edge_kind(edge_type: Column) -> Column:
@@ -185,7 +191,7 @@ def classify_calls(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     target = known_symbols(symbols).where(F.col("kind").isin(*CALLABLE_KINDS)).select("project", "file_id", F.col("name").alias("callee")).distinct()
     here = target.select("file_id", "callee").distinct().withColumn("here", F.lit(True))
     places = target.groupBy("project", "callee").agg(F.countDistinct("file_id").alias("places"))
-    pairs = [F.lit(x) for category, names in SYSTEM.items() for n in names.split() for x in (n, category)]
+    pairs = [F.lit(x) for pair in SYSTEM.items() for x in pair]
     system = F.element_at(F.create_map(*pairs), F.lower("callee"))
     rows = calls.join(here, ["file_id", "callee"], "left").join(places, ["project", "callee"], "left")
     kind = (F.when(F.col("here"), "internal").when(F.col("places") == 1, "external").when(F.col("places") > 1, "ambiguous").when(system.isNotNull(), F.concat(F.lit("system:"), system)).otherwise("unknown"))

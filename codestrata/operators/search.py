@@ -96,7 +96,7 @@ def search_index(files: DataFrame, texts: DataFrame, most_bytes: int = 2 << 20)
 
 def search_stream(index: DataFrame, term: str, **options) -> Iterator[dict]:
     """The hits of a search file by file in order of project and path, as they come; the driver holds one partition at a time."""
-    hits = grep(index, "path", term, **options) if "project" not in index.columns else grep(index.withColumn("at", F.struct("project", "path")), "at", term, **options).select("at.project", "at.path", "line", "text")
+    hits = grep(index, "path", term, **options) if "project" not in index.columns else grep(index.withColumn("place", F.struct("project", "path")), "place", term, **options).select("place.project", "place.path", "line", "text")
     keys = [c for c in ("project", "path") if c in hits.columns]
     for r in hits.orderBy(*keys, "line").toLocalIterator():
         yield r.asDict()

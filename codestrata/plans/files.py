@@ -7,9 +7,9 @@ from codestrata.plans.registry import query
 from codestrata.tables import read
 
 _TYPE = "CASE WHEN {0} IN (" + ", ".join(f"'{x}'" for x in f.BINARY_EXT) + ") THEN 'binary' " + " ".join(
-    f"WHEN {{0}} IN ({', '.join(repr(v) for v in values.split())}) THEN '{name}'" for name, values in f.FILE_TYPES.items()) + " ELSE 'other' END"
+    f"WHEN {{0}} = '{ext}' THEN '{name}'" for ext, name in f.FILE_TYPES.items()) + " ELSE 'other' END"
 _KIND = _TYPE.format("ext")
-_FAMILY = "CASE " + " ".join(f"WHEN ext IN ({', '.join(repr(v) for v in values.split())}) THEN '{name}'" for name, values in f.FAMILIES.items()) + " END"
+_FAMILY = "CASE " + " ".join(f"WHEN ext = '{ext}' THEN '{name}'" for ext, name in f.FAMILIES.items()) + " END"
 _F = """WITH f AS (SELECT DISTINCT file_id, project, path, label, lower(ext) ext, coalesce(size, 0) size, coalesce(loc.code, 0) code, coalesce(loc.comment, 0) "comment", coalesce(loc.blank, 0) blank,
  coalesce(func_count, 0) func_count, CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) ELSE '_root' END module FROM files)"""
 _TEST = "regexp_matches(lower(replace({0}, '\\', '/')), '" + f.TEST_PATH.replace("{", "{{") + "')"
@@ -29,9 +29,11 @@ query("f_top_languages", _F + """, n AS (SELECT project, coalesce(ext, '') ext,
 SELECT project, CASE WHEN nth <= 4 THEN ext ELSE 'others' END AS name, CAST(sum(files) AS BIGINT) files FROM r GROUP BY 1, 2""")(_files(f.top_languages))
 query("f_module_summary", _F + f""", m AS (SELECT project, module, count(*) FILTER ({_KIND} NOT IN ('binary', 'other')) file_count, CAST(coalesce(sum(func_count) FILTER ({_KIND} NOT IN ('binary', 'other')), 0) AS BIGINT) func_count,
 count(*) FILTER ({_KIND} IN ('binary', 'other')) other_count FROM f GROUP BY 1, 2) SELECT *, (row_number() OVER (PARTITION BY project ORDER BY module) - 1) % 15 colour FROM m""")(_files(f.module_summary))
-query("f_project_types", _F + f""", n AS (SELECT project, {_FAMILY} family, count(*) files FROM f WHERE {_FAMILY} IS NOT NULL GROUP BY 1, 2),
-r AS (SELECT *, lead(files, 1, 0) OVER (PARTITION BY project ORDER BY files DESC, family) "second" FROM n QUALIFY row_number() OVER (PARTITION BY project ORDER BY files DESC, family) = 1)
-SELECT *, CASE WHEN "second" / files > 0.35 THEN 'mixed' ELSE family END project_type FROM r""")(_files(f.project_types))
+query("f_project_types", _F + f""", w AS (SELECT project, count(*) FILTER (ext IN {f.FIRMWARE_EXT}) firmware, count(*) FILTER (ext IN {f.REACT_EXT}) react, count(*) FILTER (ext IN ('.ts', '.tsx')) typed FROM f GROUP BY 1),
+n AS (SELECT project, {_FAMILY} family, count(*) files FROM f WHERE {_FAMILY} IS NOT NULL GROUP BY 1, 2 UNION ALL SELECT project, 'react', react FROM w WHERE react > 0 AND react > typed * 0.5),
+r AS (SELECT *, lead(files, 1, 0) OVER o "second" FROM n WINDOW o AS (PARTITION BY project ORDER BY files DESC, list_position({list(f.FAMILY_ORDER)}, family)) QUALIFY row_number() OVER o = 1)
+SELECT w.project, CASE WHEN firmware > 0 THEN 'firmware' ELSE coalesce(family, 'c_cpp') END family, CASE WHEN firmware > 0 THEN firmware ELSE coalesce(files, 0) END files, coalesce("second", 0) "second",
+CASE WHEN firmware > 0 THEN 'firmware' WHEN family IS NULL THEN 'c_cpp' WHEN "second" / files > 0.35 THEN 'mixed' ELSE family END project_type FROM w LEFT JOIN r USING (project)""")(_files(f.project_types))
 query("f_treemap", _F + f"""SELECT file_id, project, round(CASE WHEN code + "comment" + blank > 0 THEN code + "comment" + blank ELSE log2(size + 1) * CASE WHEN ext IN {f.BINARY_EXT} THEN 2.2 ELSE 5.0 END END, 4) metric,
 CASE WHEN len(string_split(path, '/')) > 2 THEN array_to_string(string_split(path, '/')[1:2], '/') WHEN len(string_split(path, '/')) = 2 THEN split_part(path, '/', 1) ELSE coalesce(ext, '') END group_key FROM f""")(_files(f.treemap))
 query("f_folder_rollup", _F + """, a AS (SELECT project, func_count, string_split(path, '/') p FROM f), b AS (SELECT project, func_count, p, unnest(range(0, len(p))) n FROM a)

@@ -66,6 +66,17 @@ coalesce(x.c, 0) imports, coalesce(y2.c, 0) imported_by, coalesce(x.l, '') uses,
     lambda s, d: search.explain(g.module_edges(read(s, d, "module_edges")), read(s, d, "modules").select(F.col("project").alias("scope"), F.col("id").alias("node")).where("scope IS NOT NULL"), "a"))
 
 
+def _by_letter(e):
+    return g.modularity(e, e.select("scope", F.explode(F.array("s", "t")).alias("node")).distinct().withColumn("community", F.substring("node", 1, 1)))
+
+
+def _dominant(s, d):
+    """The community most files of a module are in, of the communities of files by imports."""
+    e = _file_edges(s, d).withColumn("weight", F.lit(1).cast("long"))
+    labels = g.large_communities(g.communities(e))
+    return g.dominant_community(labels, labels.select("scope", "node", fl.module_of(F.col("node")).alias("file")))
+
+
 def _starts(edges):
     """The most imported module of each project."""
     return g.top_targets(edges, 1).select("scope", F.col("node").alias("start"))
@@ -83,6 +94,9 @@ query("g_neighbourhood", _R + _START + """, u AS (SELECT scope, s, t FROM y UNIO
 b(scope, start, node, hops) AS (SELECT scope, start, start, 0 FROM st UNION SELECT b.scope, start, u.t, hops + 1 FROM b JOIN u ON u.scope = b.scope AND u.s = b.node WHERE hops < 2)
 SELECT scope, start, node, min(hops) hops FROM b GROUP BY 1, 2, 3""")(_edges(lambda e: g.distances(e, _starts(e), 2, directed=False)))
 query("g_shortest_path")(_edges(lambda e: g.shortest_path(e, _pairs(e))))
+query("g_path_lengths", _R + """, u AS (SELECT scope, s, t FROM y UNION SELECT scope, t, s FROM y), pr AS (SELECT scope, min(least(s, t)) a, max(greatest(s, t)) b FROM e GROUP BY 1 HAVING min(least(s, t)) <> max(greatest(s, t))),
+b(scope, a, node, hops) AS (SELECT scope, a, a, 0 FROM pr UNION SELECT b.scope, b.a, u.t, hops + 1 FROM b JOIN u ON u.scope = b.scope AND u.s = b.node WHERE hops < 8)
+SELECT pr.scope, pr.a, pr.b, min(hops) hops FROM pr JOIN b ON b.scope = pr.scope AND b.node = pr.b GROUP BY 1, 2, 3""")(_edges(lambda e: g.shortest_path(e, _pairs(e)).drop("path")))
 query("g_components", _R + """, x AS (SELECT DISTINCT scope, s, t FROM y), r(scope, a, b) AS (SELECT scope, s, t FROM x UNION SELECT r.scope, a, t FROM r JOIN x ON x.scope = r.scope AND x.s = r.b),
 m AS (SELECT p.scope, p.a node, greatest(p.a, max(p.b)) component FROM r p JOIN r q ON p.scope = q.scope AND p.a = q.b AND p.b = q.a GROUP BY 1, 2)
 SELECT *, count(*) OVER (PARTITION BY scope, component) AS size FROM m QUALIFY size > 1""")(_edges(g.strong_components))
@@ -90,8 +104,10 @@ query("g_cycle_report", _R + """, x AS (SELECT DISTINCT scope, s, t FROM y), r(s
 m AS (SELECT p.scope, p.a node, greatest(p.a, max(p.b)) component FROM r p JOIN r q ON p.scope = q.scope AND p.a = q.b AND p.b = q.a GROUP BY 1, 2), n AS (SELECT scope, component, count(*) AS size FROM m GROUP BY 1, 2 HAVING count(*) > 1)
 SELECT *, CASE WHEN size >= 10 THEN 'critical' WHEN size >= 5 THEN 'warn' ELSE 'info' END tier FROM n""")(_edges(lambda e: g.cycle_report(g.strong_components(e))))
 query("g_communities")(_edges(g.communities))
+query("g_communities_gain", _W + " SELECT DISTINCT scope, TRUE AS no_worse FROM e WHERE s <> t")(_edges(lambda e: g.modularity(e, g.communities(e)).join(_by_letter(e).select("scope", F.col("modularity").alias("other")), "scope").select("scope", (F.col("modularity") >= F.col("other")).alias("no_worse"))))
+query("g_dominant_community")(lambda s, d: _dominant(s, d))
 query("g_modularity")(_edges(lambda e: g.modularity(e, g.communities(e))))
 query("g_modularity_by_letter", _W + """, u AS (SELECT scope, least(s, t) a, greatest(s, t) b, sum(weight) weight FROM e WHERE s <> t GROUP BY 1, 2, 3), k AS (SELECT scope, left(a, 1) ca, left(b, 1) cb, weight FROM u),
 m AS (SELECT scope, sum(weight) m FROM k GROUP BY 1), i AS (SELECT scope, ca c, sum(weight) w FROM k WHERE ca = cb GROUP BY 1, 2), n AS (SELECT scope, c, sum(weight) w FROM (SELECT scope, ca c, weight FROM k UNION ALL SELECT scope, cb, weight FROM k) GROUP BY 1, 2)
 SELECT n.scope, round(sum(coalesce(i.w, 0) / m - pow(n.w / (2 * m), 2)), 6) modularity, count(*) communities FROM n JOIN m ON m.scope = n.scope LEFT JOIN i ON i.scope = n.scope AND i.c = n.c GROUP BY 1""")(
-    _edges(lambda e: g.modularity(e, e.select("scope", F.explode(F.array("s", "t")).alias("node")).distinct().withColumn("community", F.substring("node", 1, 1)))))
+    _edges(_by_letter))

@@ -33,7 +33,7 @@ pk AS (SELECT project, folder, ext FROM c WHERE ext IN ('.go', '.java', '.kt', '
 SELECT c.project, c.path, CASE WHEN EXISTS (SELECT 1 FROM ie WHERE ie.project = c.project AND ie.s = c.path) THEN 'entry' ELSE 'isolated' END AS role FROM c
 WHERE NOT EXISTS (SELECT 1 FROM ie WHERE ie.project = c.project AND ie.t = c.path) AND NOT EXISTS (SELECT 1 FROM pk WHERE pk.project = c.project AND pk.folder = c.folder AND pk.ext = c.ext)
 AND NOT (coalesce(c.ext, '') IN ('.c', '.cpp', '.cc', '.cxx') AND EXISTS (SELECT 1 FROM hd WHERE hd.project = c.project AND hd.folder = c.folder AND hd.stem = c.stem))""")(lambda s, d: r.unreached(read(s, d, "files"), _edges(s, d)))
-_SYSTEM = " ".join(f"WHEN lower(callee) IN ({', '.join(repr(n) for n in names.split())}) THEN 'system:{c}'" for c, names in r.SYSTEM.items())
+_SYSTEM = " ".join(f"WHEN lower(callee) = '{n}' THEN 'system:{c}'" for n, c in r.SYSTEM.items())
 _LEADS = f"""h AS (SELECT DISTINCT file_id, name FROM s WHERE {_CALLABLE}), p AS (SELECT project, name, count(DISTINCT file_id) places FROM s WHERE {_CALLABLE} GROUP BY 1, 2),
 cf AS (SELECT cl.project, cl.file_id, cl.sid, cl.callee, CASE WHEN h.name IS NOT NULL THEN 'internal' WHEN places = 1 THEN 'external' WHEN places > 1 THEN 'ambiguous' {_SYSTEM} ELSE 'unknown' END leads_to
 FROM cl LEFT JOIN h ON h.file_id = cl.file_id AND h.name = cl.callee LEFT JOIN p ON p.project = cl.project AND p.name = cl.callee)"""
@@ -51,7 +51,12 @@ SELECT DISTINCT cl.project, cl.file_id, cl.callee, coalesce(own, central) target
 query("e_call_flows", f"WITH {_S}, {_CALLS}, {_LEADS} SELECT project, leads_to, count(*) calls, count(DISTINCT callee) callees FROM cf GROUP BY 1, 2")(
     lambda s, d: r.call_flows(r.classify_calls(_calls(s, d), read(s, d, "symbols"))))
 _USAGE = lambda s, d: r.type_usage(read(s, d, "symbols"))
-query("e_file_symbol_graph")(lambda s, d: r.file_symbol_graph(_USAGE(s, d), read(s, d, "symbols")))
+query("e_file_symbol_graph", f"""WITH {_S}, t AS (SELECT DISTINCT project, file_id, sid, name FROM s WHERE {_TYPE}), g AS (SELECT DISTINCT sid, signature FROM symbols WHERE signature IS NOT NULL),
+c AS (SELECT DISTINCT project, file_id, s.sid, unnest(regexp_extract_all(signature, '\\b([A-Z]\\w{{2,}})\\b', 1)) ref FROM s JOIN g USING (sid) WHERE {_CALLABLE}),
+l AS (SELECT file_id, name, min(sid) x FROM t GROUP BY 1, 2), u AS (SELECT project, name, min(sid) x FROM t GROUP BY 1, 2 HAVING count(*) = 1),
+us AS (SELECT DISTINCT c.sid src, coalesce(l.x, u.x) dst FROM c LEFT JOIN l ON l.file_id = c.file_id AND l.name = c.ref LEFT JOIN u ON u.project = c.project AND u.name = c.ref WHERE coalesce(l.x, u.x) IS NOT NULL),
+a AS (SELECT sid, min(file_id) f FROM s GROUP BY 1), e AS (SELECT sf.f sf, df.f df FROM us JOIN a sf ON sf.sid = src JOIN a df ON df.sid = dst), x AS (SELECT sf file_id, sf, df FROM e UNION ALL SELECT df, sf, df FROM e WHERE sf <> df)
+SELECT file_id, count(*) FILTER (sf = df) AS inside, count(*) FILTER (sf <> df AND file_id = df) incoming, count(*) FILTER (sf <> df AND file_id = sf) outgoing FROM x GROUP BY 1""")(lambda s, d: r.file_symbol_graph(_USAGE(s, d), read(s, d, "symbols")))
 query("e_neighbours", f"""WITH {_S}, {_INHERIT}, n AS (SELECT src, dst, count(*) edges FROM (SELECT DISTINCT * FROM i) GROUP BY 1, 2), b AS (SELECT src sid, 'out' direction, dst other, edges FROM n UNION ALL SELECT dst, 'in', src, edges FROM n)
 SELECT *, row_number() OVER (PARTITION BY sid, direction ORDER BY edges DESC, other) AS rank FROM b QUALIFY rank <= 80""")(lambda s, d: r.neighbours(y.inheritance(read(s, d, "symbols"))))
 query("o_project", _F + f""", {_RESOLVED}, m AS (SELECT project, count(DISTINCT module) modules, count(*) files FROM f GROUP BY 1), cr AS (SELECT project, count(*) n FROM ie WHERE split_part(s, '/', 1) <> split_part(t, '/', 1) GROUP BY 1),

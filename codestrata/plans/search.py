@@ -91,7 +91,12 @@ def t_entropy(s, d):
     return read(s, d, "symbols").where("name <> ''").select("name").distinct().select("name", F.round(t.entropy(F.col("name")), 6).alias("entropy"))
 
 
-@query("t_query_tokens")
+_STOP = ", ".join(f"'{w}'" for w in t.STOPWORDS)
+
+
+@query("t_query_tokens", f"""WITH r AS (SELECT item_id, unnest(regexp_extract_all(text, '[\\p{{L}}_][\\p{{L}}\\p{{N}}_./-]*')) raw, generate_subscripts(regexp_extract_all(text, '[\\p{{L}}_][\\p{{L}}\\p{{N}}_./-]*'), 1) i FROM eval_items),
+p AS (SELECT item_id, i, lower(unnest(regexp_split_to_array(raw, '[./-]+'))) tok, generate_subscripts(regexp_split_to_array(raw, '[./-]+'), 1) j FROM r), k AS (SELECT item_id, tok, min((i, j)) pos FROM p WHERE length(tok) >= 3 AND tok NOT IN ({_STOP}) GROUP BY 1, 2),
+a AS (SELECT item_id, string_agg(tok, ' ' ORDER BY pos) tokens FROM k GROUP BY 1) SELECT e.item_id, CASE WHEN e.text IS NOT NULL THEN coalesce(tokens, '') END tokens FROM eval_items e LEFT JOIN a USING (item_id)""")
 def t_query_tokens(s, d):
     return read(s, d, "eval_items").select("item_id", F.array_join(t.query_tokens(F.col("text")), " ").alias("tokens"))
 

@@ -58,3 +58,23 @@ def run_to_end(spark: SparkSession, schema, path: str, transform: Callable[[Data
     finally:
         q.stop()
     return spark.table(name)
+
+
+def progress(spark: SparkSession) -> float:
+    """The share of the tasks of all running stages that are done, from 0 to 1; 1 where nothing runs."""
+    tracker = spark.sparkContext.statusTracker()
+    stages = [i for s in tracker.getActiveStageIds() if (i := tracker.getStageInfo(s))]
+    total = sum(i.numTasks for i in stages)
+    return sum(i.numCompletedTasks for i in stages) / total if total else 1.0
+
+
+def progress_stream(spark: SparkSession, running: Callable[[], bool], every: float = 0.5) -> Iterator[float]:
+    """Progress of work in another thread while it is ``running``, never falling, and 1 at the end."""
+    import time
+
+    seen = 0.0
+    while running():
+        seen = max(seen, min(progress(spark), 0.99))
+        yield seen
+        time.sleep(every)
+    yield 1.0

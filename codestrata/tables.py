@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
+import json
 import os
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +50,17 @@ def materialize(df: DataFrame, label: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cached(spark: SparkSession, folder: str, key: dict, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table that ``build`` makes, kept in a folder under a key, such as a head commit, a window and a revision. A key seen before is read; a table half written is made again."""
+    name = hashlib.sha256(json.dumps(key, sort_keys=True, default=str).encode()).hexdigest()[:24]
+    path = f"{folder.rstrip('/')}/{name}.parquet"
+    jvm = spark.sparkContext._jvm
+    done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def release(spark: SparkSession | None = None) -> None:
     """Remove the tables written so far, of one session or of all; for long sessions, once the results that read them are done with."""
     kept = []
