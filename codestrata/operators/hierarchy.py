@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from codestrata.tables import materialize
 
@@ -75,17 +75,17 @@ def contract(links: DataFrame, paths: bool = False, max_rounds: int = 200) -> Da
             .otherwise(F.lit("keep"))).drop("kids")
         spliced = marked.where(F.col("mark") == "splice").select(
             F.col("node").alias("upper"), F.col("upper").alias("over"), F.col("seg").alias("over_seg"))
-        seen = Observation()
-        count = lambda mark: F.count(F.when(F.col("mark") == mark, 1)).alias(mark)
         moved = marked.join(spliced, "upper", "left").select(
             "node", F.coalesce("over", "upper").alias("upper"), "mark", F.when(F.col("over").isNull(), F.col("seg")).otherwise(joined).alias("seg"))
-        moved = materialize(moved.observe(seen, count("rake"), count("keep")), "contracted")  # the only job of the round; it counts its marks itself
-        if not seen.get["rake"]:  # what is left, spliced nodes included, leads into circles only
+        moved = materialize(moved, "contracted")  # the one table a round; what it holds is asked of its column of marks, which takes no shuffle of rows
+        any_of = lambda mark: F.coalesce(F.bool_or(F.col("mark") == mark), F.lit(False)).alias(mark)
+        seen = moved.agg(any_of("rake"), any_of("keep")).first()
+        if not seen["rake"]:  # what is left, spliced nodes included, leads into circles only
             core = state
             break
         records.append(moved.where(F.col("mark") != "keep").drop("mark"))
         state = moved.where(F.col("mark") == "keep").drop("mark")
-        if not seen.get["keep"]:
+        if not seen["keep"]:
             break
     else:
         raise RuntimeError(f"contraction did not end within {max_rounds} rounds")
