@@ -34,6 +34,7 @@ class Parsed:
     calls_by_function: list[dict] = field(default_factory=list)  # caller, line, callees
     symbols: list[dict] = field(default_factory=list)
     hints: list[dict] = field(default_factory=list)
+    links: list[dict] = field(default_factory=list)  # source, target, type, line: what a type states about another beside its bases
     defines: list[str] = field(default_factory=list)  # names that other files of the page may use without importing them
     uses: list[str] = field(default_factory=list)
     diag: str | None = None
@@ -227,7 +228,7 @@ def scan_generic(text: str, ext: str) -> Parsed:
         return re.sub(r"\s+", " ", re.split(r"[{\n]", text[max(first, 0) : stop].lstrip("\n"))[0]).strip()[:200]
 
     for m in re.finditer(spec["type"], clean, re.M):
-        body = _body(clean, m.end(), style)
+        body = _body(clean, m.end() if style == "brace" else m.end(2 if m[2] else 1), style)
         end = body[1] if body else m.end()
         start = m.start() + len(m.group()) - len(m.group().lstrip())
         bases = [re.sub(r"[<(].*|\b(?:public|private|protected|virtual)\b", "", x).strip() for x in re.split(r",|\b(?:implements|extends|with)\b", m[2] or "")]
@@ -258,6 +259,12 @@ def scan_generic(text: str, ext: str) -> Parsed:
         out.functions.append(function(s, head))
         out.calls_by_function.append({"caller": name, "line": line, "callees": [c for c in dict.fromkeys(CALL.findall(inner)) if c not in NOT_CALLS]})
     out.calls = [c for c in dict.fromkeys(CALL.findall(clean)) if c not in NOT_CALLS]
+    if family == "ruby":
+        for m in re.finditer(r"(?m)^[ \t]*(?P<word>include|extend|prepend|@behaviour)\s+\(?(?P<name>[A-Z][\w.:]*)|^[ \t]*defimpl\s+(?P<protocol>[A-Z][\w.]*)\s*,\s*for:\s*(?P<of>[A-Z][\w.]*)", clean):
+            owner = m["of"] or next((o for x, y, o in reversed(owners) if x < m.start() < y), None)
+            if owner:
+                kind = "protocol_impl" if m["protocol"] else "behaviour_impl" if m["word"] == "@behaviour" else f"mixin_{m['word']}"
+                out.links.append({"source": owner, "target": m["protocol"] or m["name"], "type": kind, "line": lines.of(m.end())})
     if family == "js":
         out.defines = list(dict.fromkeys(re.findall(r"\b(?:window|globalThis|self)\.([A-Za-z_$][\w$]*)\s*=(?!=)|(?m:^(?:async\s+)?(?:function\s*\*?|class|var|let|const)\s+([A-Za-z_$][\w$]*))", clean)))
         out.defines = list(dict.fromkeys(x or y for x, y in out.defines))
@@ -551,7 +558,7 @@ _SYMBOL = ("struct<kind:string,name:string,line:int,end_line:int,bases:array<str
            "type_refs:array<string>>")
 _HINT = "struct<type:string,target:string,line:int,via:string,subtype:string,origin:string,confidence:double>"
 COLUMNS = {"file_id": "long", "path": "string", "sha": "string", "version": "string", "code": "int", "comment": "int", "blank": "int", "imports": "array<string>", "functions": f"array<{_FUNCTION}>", "calls": "array<string>",
-           "calls_by_function": "array<struct<caller:string,line:int,callees:array<string>>>", "symbols": f"array<{_SYMBOL}>", "hints": f"array<{_HINT}>", "defines": "array<string>", "uses": "array<string>", "diag": "string"}
+           "calls_by_function": "array<struct<caller:string,line:int,callees:array<string>>>", "symbols": f"array<{_SYMBOL}>", "hints": f"array<{_HINT}>", "links": "array<struct<source:string,target:string,type:string,line:int>>", "defines": "array<string>", "uses": "array<string>", "diag": "string"}
 SCHEMA = ", ".join(f"{k} {v}" for k, v in COLUMNS.items())
 
 
@@ -571,7 +578,7 @@ def parse_files(files: DataFrame, texts: DataFrame, cache: DataFrame | None = No
             out = []
             for k, path, ext, text, sha, made in zip(b["file_id"], b["path"], b["ext"], b["text"], b["sha"], b["version"]):
                 p = scan(text, ext)
-                out.append((k, path, sha, made, *count_lines(text or "", ext or ""), p.imports, p.functions, p.calls, p.calls_by_function, p.symbols, p.hints, p.defines, p.uses, p.diag))
+                out.append((k, path, sha, made, *count_lines(text or "", ext or ""), p.imports, p.functions, p.calls, p.calls_by_function, p.symbols, p.hints, p.links, p.defines, p.uses, p.diag))
             yield pd.DataFrame(out, columns=list(COLUMNS))
 
     fresh = spread(fresh.select("file_id", "path", "ext", "text", "sha", "version")).mapInPandas(run, SCHEMA)

@@ -85,6 +85,21 @@ def central_definitions(calls: DataFrame, symbols: DataFrame, edges: DataFrame)
     return calls.select("project", "file_id", "callee").distinct().join(best, ["project", "callee"]).join(here, ["project", "file_id", "callee"], "left").select("project", "file_id", "callee", F.coalesce("own", "central").alias("target"))
 
 
+def stated_links(parsed: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(project, src, dst, type, line): what types state about others beside their bases, mixins, behaviours and protocols, between symbols(sid, project, file_id, name, kind).
+
+    The source is the type of that name in the file. The target is a type or module of the file by the last part of its name, else the only one of the project. Each (src, dst, type) once, at its first line.
+    """
+    last = lambda c: F.regexp_extract(c, r"([^.:]+)$", 1)
+    s = known_symbols(symbols).where(~F.col("kind").isin(*CALLABLE_KINDS)).select("project", "file_id", "sid", last("name").alias("name")).distinct()
+    rows = parsed.select("file_id", F.explode("links").alias("l")).select("file_id", last("l.source").alias("source"), last("l.target").alias("target"), "l.type", "l.line")
+    from_ = s.groupBy("project", "file_id", F.col("name").alias("source")).agg(F.min("sid").alias("src"))
+    here = s.groupBy("file_id", F.col("name").alias("target")).agg(F.min("sid").alias("here"))
+    only = s.groupBy("project", F.col("name").alias("target")).agg(F.min("sid").alias("only"), F.count("*").alias("n")).where("n = 1").drop("n")
+    hit = rows.join(from_, ["file_id", "source"]).join(here, ["file_id", "target"], "left").join(only, ["project", "target"], "left").withColumn("dst", F.coalesce("here", "only"))
+    return hit.where("dst IS NOT NULL AND dst <> src").groupBy("project", "src", "dst", "type").agg(F.min("line").alias("line"))
+
+
 def link_symbols(pairs: DataFrame, edges: DataFrame, symbols: DataFrame) -> DataFrame:
     """(project, s, t, link): what links two files of pairs(project, s, t): the first caller and callee of edges(src, dst), by line and name, that lead from one to the other, else 'import edge'."""
     at = known_symbols(symbols).groupBy("sid").agg(F.min(F.struct("file", "line", "name")).alias("a"))

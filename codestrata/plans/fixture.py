@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codestrata.operators import calibration, files as fl, graph, parse, quality, resolution as r, symbols as y
+from codestrata.operators import calibration, files as fl, graph, history, parse, quality, resolution as r, symbols as y
 from codestrata.plans.registry import query
 from codestrata.tables import materialize
 
@@ -23,6 +23,8 @@ SOURCES = {
     "fw/Pkg.dec": "[Guids]\n  # Names the tank.\n  gTankGuid = { 1 }\n",
     "fw/form.vfr": "prompt = STRING_TOKEN(STR_TANK);\n",
     "fw/text.uni": "#string STR_TANK #language en \"Tank\"\n",
+    "lib/tank.rb": "# What holds water.\nmodule Vessel\nend\n\nclass Tank\n  include Vessel\n  extend Shared::Locks\nend\n",
+    "lib/locks.rb": "module Locks\nend\n",
     "tests/test_shop.py": "def test_sell():\n    assert sell()\n",
 }
 
@@ -65,7 +67,8 @@ query("fx_symbols", _values(
     ("src/Depot.java", "class", "Depot", 4, 17, None, True, False, None, "Holds things.", "", "Shelf", "Shelf Crate"), ("src/Depot.java", "method", "stow", 10, 13, "Depot", True, True, 3, "Adds one.", "@Override", "", "Crate"),
     ("src/Depot.java", "method", "drop", 14, 16, "Depot", False, False, 1, None, "", "", ""), ("src/base/Shelf.java", "class", "Shelf", 2, 6, None, True, False, None, None, "", "", ""),
     ("src/base/Shelf.java", "method", "drop", 3, 5, "Shelf", True, False, 1, None, "", "", ""), ("fw/Pkg.dec", "guid", "gTankGuid", 3, 3, None, True, False, None, "Names the tank.", "", "", ""),
-    ("fw/text.uni", "string", "STR_TANK", 1, 1, None, True, False, None, None, "", "", ""), ("tests/test_shop.py", "function", "test_sell", 1, 2, None, True, False, 1, None, "", "", "")))(
+    ("fw/text.uni", "string", "STR_TANK", 1, 1, None, True, False, None, None, "", "", ""), ("tests/test_shop.py", "function", "test_sell", 1, 2, None, True, False, 1, None, "", "", ""),
+    ("lib/tank.rb", "module", "Vessel", 2, 3, None, True, False, None, "What holds water.", "", "", ""), ("lib/tank.rb", "class", "Tank", 5, 8, None, True, False, None, None, "", "", "Vessel Locks"), ("lib/locks.rb", "module", "Locks", 1, 2, None, True, False, None, None, "", "", "")))(
     lambda s, d: symbols(s).select(F.col("file").alias("path"), "kind", "name", "line", "end_line", "parent", "is_public", "is_static", "complexity", "doc", _names("decorators"), _names("bases"), _names("type_refs")))
 query("fx_calls_by_function", _values(
     "path, caller, line, callee", ("app/main.py", "load", 8, "fetch"), ("app/main.py", "_run", 15, "run"), ("app/main.py", "sell", 19, "dump"), ("app/main.py", "sell", 19, "open"), ("app/main.py", "sell", 19, "fetch"),
@@ -85,6 +88,7 @@ query("fx_global_edges", _values("s, t, type, origin, via", ("web/panel.js", "we
 query("fx_candidates", _values(
     "source, target, signal, confidence, evidence", ("app/main.py", "tools/job.py", "shared_file", 0.65, "writes/reads sales.json"), ("app/main.py", "tools/job.py", "subprocess", 0.8, 'subprocess.run(["python", "job.py"])')))(
     lambda s, d: r.candidates(files(s), texts(s), symbols(s), fl.import_edges(files(s), texts(s))).drop("project"))
+query("fx_stated_links", _values("src, dst, type, line", ("Tank", "Vessel", "mixin_include", 6), ("Tank", "Locks", "mixin_extend", 7)))(lambda s, d: _named(s, r.stated_links(parsed(s), symbols(s))))
 query("fx_inheritance", _values("src, dst, type", ("Shop", "Store", "inherit"), ("Depot", "Shelf", "inherit")))(lambda s, d: _named(s, y.inheritance(symbols(s))))
 query("fx_overrides", _values("src, dst", ("Shop.load", "Store.load"), ("Depot.drop", "Shelf.drop")))(lambda s, d: _named(s, y.overrides(symbols(s))))
 query("fx_call_edges", _values(
@@ -130,6 +134,9 @@ def _tree(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame([(n, x[0], x[1], x[1].rsplit("/", 1)[-1], "", 0, None, 0) for n, x in enumerate(rows)], "file_id long, project string, path string, label string, ext string, size long, loc struct<code:int,comment:int,blank:int>, func_count int")
 
 
+query("fx_touched_complexity", _values("branch, files, mean_complexity, hot_files", ("x", 3, 4.5, 1), ("y", 1, None, 0)))(lambda s, d: history.touched_complexity(
+    s.createDataFrame([("p", "x", "a"), ("p", "x", "b"), ("p", "x", "b"), ("p", "x", "c"), ("p", "y", "z")], "project string, branch string, path string"),
+    s.createDataFrame([("p", "a", 3.0), ("p", "b", 6.0), ("q", "c", 9.0)], "project string, path string, mean double"), s.createDataFrame([("p", "b")], "project string, path string")).drop("project"))
 _LOOP = [("p", a, b) for a, b in (("a", "b"), ("b", "c"), ("c", "a"), ("b", "a"), ("x", "y"), ("y", "z"), ("z", "x"), ("c", "x"))]
 query("fx_cycle_examples", _values("component, hops, path", ("c", 2, "a > b > a"), ("z", 3, "x > y > z > x")))(
     lambda s, d: (lambda e: graph.cycle_examples(e, graph.strong_components(e)).drop("scope"))(s.createDataFrame(_LOOP, "scope string, s string, t string")))

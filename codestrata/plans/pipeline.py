@@ -63,7 +63,7 @@ def r_symbol_pages(s, d):
     return reports.symbol_pages(read(s, d, "files"), read(s, d, "symbols"))
 
 
-@query("h_window_days", """SELECT i - 100 AS asked, i % 97 * 60 AS configured, coalesce(greatest(7, least(3650, CASE WHEN i % 3 > 0 THEN i - 100 END)), CASE WHEN i % 97 * 60 BETWEEN 7 AND 3650 THEN i % 97 * 60 END, 180) AS days FROM range(5000) t(i)""")
+@query("h_window_days", """SELECT i - 100 AS asked, i % 97 * 60 AS configured, coalesce(CASE WHEN i % 3 > 0 THEN greatest(7, least(3650, i - 100)) END, CASE WHEN i % 97 * 60 BETWEEN 7 AND 3650 THEN i % 97 * 60 END, 180) AS days FROM range(5000) t(i)""")
 def h_window_days(s, d):
     rows = s.range(5000).select((F.col("id") - 100).alias("asked"), (F.col("id") % 97 * 60).alias("configured"), F.when(F.col("id") % 3 > 0, F.col("id") - 100).alias("given"))
     return rows.select("asked", "configured", reports.window_days(F.col("given"), F.col("configured")).cast("long").alias("days"))

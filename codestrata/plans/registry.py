@@ -23,6 +23,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def collect() -> tuple[dict[str, Query], dict[str, str]]:
     """All queries of the library's own modules."""
-    from codestrata.plans import files, fixture, graphs, history, pipeline, resolution, search, security_cases, structure, symbols  # noqa: F401 - they register their queries
+    from codestrata.plans import cases, files, fixture, graphs, history, pipeline, resolution, search, security_cases, structure, symbols  # noqa: F401 - they register their queries
 
     return dict(QUERIES), dict(SQL)

@@ -83,7 +83,7 @@ def clamp_days(days: Column) -> Column:
 
 def window_days(asked: Column, configured: Column, otherwise: int = 180) -> Column:
     """How many days a history covers: what is asked for, within bounds; else what the project sets, if that is within bounds; else ``otherwise``."""
-    return F.coalesce(clamp_days(asked), F.when(configured.between(*DAYS), configured), F.lit(otherwise))
+    return F.coalesce(F.when(asked.isNotNull(), clamp_days(asked)), F.when(configured.between(*DAYS), configured), F.lit(otherwise))
 
 
 def symbol_pages(files: DataFrame, symbols: DataFrame, shown: int = 120) -> DataFrame:

@@ -93,4 +93,4 @@ def test_trust_kind_and_projections(spark):
     p = fixture.parsed(spark)
     assert rows(parse.function_rows(p).where("path = 'app/store.py'"), "id", "label", "is_public") == [(0, "load", True), (1, "fetch", True), (2, "tidy", True)]
     ids = rows(parse.symbol_rows(p, fixture.files(spark)), "sym_id")
-    assert len(ids) == len(set(ids)) == 20 and ("sym_0_0",) in ids
+    assert len(ids) == len(set(ids)) == 23 and ("sym_0_0",) in ids
