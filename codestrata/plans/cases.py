@@ -12,28 +12,28 @@ from codestrata.sources import git, reports
 
 
 def _cases(name: str, schema: str, columns: str, rows: list[tuple], given: int, **exprs):
-    """A query that applies column expressions to the first ``given`` columns of the rows; the others are what must come out."""
+    """A query that applies column expressions, made when it runs, to the first ``given`` columns of the rows; the others are what must come out."""
     names = [c.split()[0] for c in schema.split(", ")]
-    query(name, _values(columns, *rows))(lambda s, d: s.createDataFrame([x[:given] for x in rows], schema).select(*names, *(e.alias(n) for n, e in exprs.items())))
+    query(name, _values(columns, *rows))(lambda s, d: s.createDataFrame([x[:given] for x in rows], schema).select(*names, *(e().alias(n) for n, e in exprs.items())))
 
 
 c = F.col
-_cases("fx_week_start", "day string", "day, monday", [("2024-01-03", "2024-01-01"), ("2024-01-01", "2024-01-01"), ("2023-12-31", "2023-12-25"), ("soon", "soon")], 1, monday=t.week_start(c("day")))
-_cases("fx_text_functions", "x string", "x, collapsed, snip, rounded", [("  a \t b\nc ", "a b c", "a b", 6), ("", "", "", 0), ("one", "one", "one", 3)], 1, collapsed=t.collapse(c("x")), snip=t.snippet(c("x")), rounded=t.clamp(F.length(F.trim("x")) - F.when(F.length("x") > 5, 1).otherwise(0), 0, 10).cast("int"))
-_cases("fx_line_numbers", "x string, needle string", "x, needle, line", [("a\nb\nc", "c", 3), ("a", "a", 1), ("a", "z", None)], 2, line=t.line_number(c("x"), c("needle")))
-_cases("fx_downgrade", "severity string", "severity, lower", [("high", "medium"), ("medium", "low"), ("low", "low")], 1, lower=t.downgrade(c("severity")))
-_cases("fx_globs", "path string", "path, any_py, in_src, one_letter", [("src/a.py", True, True, True), ("a.pyc", False, False, False), ("src/bb.js", False, True, False)], 1, any_py=t.glob_match(c("path"), "*.py"), in_src=t.glob_match(c("path"), "src/*"), one_letter=t.glob_match(c("path"), "?.[jp]*y"))
-_cases("fx_normal_paths", "path string", "path, normal", [("a/./b//../c.py", "a/c.py"), ("..\\x\\y", "../x/y"), ("a/../../b", "../b"), ("", "")], 1, normal=t.normal_path(c("path")))
-_cases("fx_snake", "name string", "name, snake", [("UserController", "user_controller"), ("parseHTTPRequest", "parse_http_request"), ("plain", "plain"), ("a1B", "a1_b")], 1, snake=t.snake(c("name")))
-_cases("fx_script_json", "x string", "x, held", [("</script>", '{"x":"\\u003c/script\\u003e"}'), ("a & b", '{"x":"a \\u0026 b"}')], 1, held=t.script_json(F.struct("x")))
-_cases("fx_flow_questions", "question string, seeds int", "question, seeds, flows", [("How does a reach b?", 0, True), ("Where is a?", 1, False), ("Where is a?", 2, True), (None, None, False), ("the call chain of x", None, True)], 2, flows=o.flow_question(c("question"), c("seeds")))
-_cases("fx_answer_clamp", "answer string, budget int", "answer, budget, shown", [("abcdef", 4, "abcd\n… 2 characters left out"), ("abc", 3, "abc")], 2, shown=o.clamp_answer(c("answer"), c("budget")))
-_cases("fx_relations", "kind string", "kind, wanted", [("calls", False), ("import", True), ("Imports", True)], 1, wanted=search.related_kinds(c("kind"), ["imports"]))
-_cases("fx_edge_kinds", "type string", "type, kind", [("guid_ref", "import"), ("call", "call"), ("inherit", "inherit"), ("inferred", "inferred"), ("unheard", "import"), (None, "import")], 1, kind=r.edge_kind(c("type")))
-_cases("fx_trust_kinds", "origin string, type string", "origin, type, kind", [("parser", "call", "parser"), (None, "inferred", "inferred"), (None, "import", "import"), (None, None, "import")], 2, kind=r.trust_kind(c("origin"), c("type")))
+_cases("fx_week_start", "day string", "day, monday", [("2024-01-03", "2024-01-01"), ("2024-01-01", "2024-01-01"), ("2023-12-31", "2023-12-25"), ("soon", "soon")], 1, monday=lambda: t.week_start(c("day")))
+_cases("fx_text_functions", "x string", "x, collapsed, snip, rounded", [("  a \t b\nc ", "a b c", "a b", 6), ("", "", "", 0), ("one", "one", "one", 3)], 1, collapsed=lambda: t.collapse(c("x")), snip=lambda: t.snippet(c("x")), rounded=lambda: t.clamp(F.length(F.trim("x")) - F.when(F.length("x") > 5, 1).otherwise(0), 0, 10).cast("int"))
+_cases("fx_line_numbers", "x string, needle string", "x, needle, line", [("a\nb\nc", "c", 3), ("a", "a", 1), ("a", "z", None)], 2, line=lambda: t.line_number(c("x"), c("needle")))
+_cases("fx_downgrade", "severity string", "severity, lower", [("high", "medium"), ("medium", "low"), ("low", "low")], 1, lower=lambda: t.downgrade(c("severity")))
+_cases("fx_globs", "path string", "path, any_py, in_src, one_letter", [("src/a.py", True, True, True), ("a.pyc", False, False, False), ("src/bb.js", False, True, False)], 1, any_py=lambda: t.glob_match(c("path"), "*.py"), in_src=lambda: t.glob_match(c("path"), "src/*"), one_letter=lambda: t.glob_match(c("path"), "?.[jp]*y"))
+_cases("fx_normal_paths", "path string", "path, normal", [("a/./b//../c.py", "a/c.py"), ("..\\x\\y", "../x/y"), ("a/../../b", "../b"), ("", "")], 1, normal=lambda: t.normal_path(c("path")))
+_cases("fx_snake", "name string", "name, snake", [("UserController", "user_controller"), ("parseHTTPRequest", "parse_http_request"), ("plain", "plain"), ("a1B", "a1_b")], 1, snake=lambda: t.snake(c("name")))
+_cases("fx_script_json", "x string", "x, held", [("</script>", '{"x":"\\u003c/script\\u003e"}'), ("a & b", '{"x":"a \\u0026 b"}')], 1, held=lambda: t.script_json(F.struct("x")))
+_cases("fx_flow_questions", "question string, seeds int", "question, seeds, flows", [("How does a reach b?", 0, True), ("Where is a?", 1, False), ("Where is a?", 2, True), (None, None, False), ("the call chain of x", None, True)], 2, flows=lambda: o.flow_question(c("question"), c("seeds")))
+_cases("fx_answer_clamp", "answer string, budget int", "answer, budget, shown", [("abcdef", 4, "abcd\n… 2 characters left out"), ("abc", 3, "abc")], 2, shown=lambda: o.clamp_answer(c("answer"), c("budget")))
+_cases("fx_relations", "kind string", "kind, wanted", [("calls", False), ("import", True), ("Imports", True)], 1, wanted=lambda: search.related_kinds(c("kind"), ["imports"]))
+_cases("fx_edge_kinds", "type string", "type, kind", [("guid_ref", "import"), ("call", "call"), ("inherit", "inherit"), ("inferred", "inferred"), ("unheard", "import"), (None, "import")], 1, kind=lambda: r.edge_kind(c("type")))
+_cases("fx_trust_kinds", "origin string, type string", "origin, type, kind", [("parser", "call", "parser"), (None, "inferred", "inferred"), (None, "import", "import"), (None, None, "import")], 2, kind=lambda: r.trust_kind(c("origin"), c("type")))
 _cases("fx_skipped_paths", "path string", "path, skipped, with_build, with_dist", [("a/build/x", True, False, True), ("dist/x", True, True, False), ("build", False, False, False), ("a/b.py", False, False, False), ("node_modules/x/y", True, True, True)], 1,
-       skipped=fl.is_skipped(c("path")), with_build=fl.is_skipped(c("path"), include_build=True), with_dist=fl.is_skipped(c("path"), include=("dist",)))
-_cases("fx_window_days", "asked int, configured int", "asked, configured, days", [(3, None, 7), (9000, 30, 3650), (None, 30, 30), (None, 3, 180), (None, None, 180), (90, 30, 90)], 2, days=reports.window_days(c("asked"), c("configured")))
+       skipped=lambda: fl.is_skipped(c("path")), with_build=lambda: fl.is_skipped(c("path"), include_build=True), with_dist=lambda: fl.is_skipped(c("path"), include=("dist",)))
+_cases("fx_window_days", "asked int, configured int", "asked, configured, days", [(3, None, 7), (9000, 30, 3650), (None, 30, 30), (None, 3, 180), (None, None, 180), (90, 30, 90)], 2, days=lambda: reports.window_days(c("asked"), c("configured")))
 
 _LOG = "COMMIT aa 2024-01-02 Ann B\n\n3\t1\tx.py\n-\t-\tlogo.png\nCOMMIT bb 2024-01-03 Cy\nnoise\nCOMMIT cc 2024-01-04 Di\n1\t0\ty\n"
 query("fx_log", _values("project, sha, date, author, path, added, removed", ("p", "aa", "2024-01-02", "Ann B", "x.py", 3, 1), ("p", "aa", "2024-01-02", "Ann B", "logo.png", 0, 0), ("p", "bb", "2024-01-03", "Cy", None, 0, 0), ("p", "cc", "2024-01-04", "Di", "y", 1, 0)))(

@@ -94,3 +94,12 @@ def test_trust_kind_and_projections(spark):
     assert rows(parse.function_rows(p).where("path = 'app/store.py'"), "id", "label", "is_public") == [(0, "load", True), (1, "fetch", True), (2, "tidy", True)]
     ids = rows(parse.symbol_rows(p, fixture.files(spark)), "sym_id")
     assert len(ids) == len(set(ids)) == 23 and ("sym_0_0",) in ids
+
+
+def test_queries_are_named_without_a_session():
+    import subprocess
+    import sys
+
+    from conftest import REPO
+    got = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()) > len(e.oracle_sql()) > 100 and set(e.oracle_sql()) <= set(e.queries()))"], cwd=REPO, capture_output=True, text=True)
+    assert got.stdout.strip() == "True", got.stderr[-500:]
