@@ -189,9 +189,9 @@ def pack_documents(documents: DataFrame, windows: DataFrame, tokenizer: str | No
 
 
 def check(packed: DataFrame, documents: DataFrame) -> DataFrame:
-    """Per window size, what must hold of a packing: (window_name, texts placed, gaps in texts, overlaps or gaps in windows, windows too full, few_windows).
+    """(window_name, lost, gaps, split, overlaps, overfull, few_windows): what must hold of a packing, per window size.
 
-    ``gaps`` counts the texts whose pieces don't follow one another or don't add up, ``overlaps`` the windows whose pieces don't stand end to end from 0, ``overfull`` those that hold more
+    ``lost`` is the number of texts that stand nowhere, ``gaps`` counts the texts whose pieces don't follow one another or don't add up, ``overlaps`` the windows whose pieces don't stand end to end from 0, ``overfull`` those that hold more
     than their capacity, ``split`` the pieced texts that a window would have held. ``few_windows`` tells that there are at most 1 % more windows than tokens need.
     """
     by = ["window_name", "capacity"]
@@ -202,8 +202,8 @@ def check(packed: DataFrame, documents: DataFrame) -> DataFrame:
     rooms = held.groupBy(*by, "window_id").agg(F.sum("length").alias("n"), F.max(F.col("position") + F.col("length")).alias("end"), F.min("position").alias("first"), F.count("*").alias("pieces"), F.countDistinct("position").alias("starts"))
     room = rooms.groupBy(*by).agg(F.count(F.when((F.col("n") != F.col("end")) | (F.col("first") != 0) | (F.col("pieces") != F.col("starts")), 1)).alias("overlaps"), F.count(F.when(F.col("n") > F.col("capacity"), 1)).alias("overfull"),
                                   (F.count("*") <= F.ceil(F.sum("n") / F.first("capacity")) * 1.01 + 1).alias("few_windows"))
-    lost = documents.select("doc_id").distinct().agg(F.count("doc_id").alias("all"))
-    return text.join(room, by, "left").crossJoin(F.broadcast(lost)).select("window_name", (F.col("all") - F.col("texts")).alias("lost"), "gaps", "split", F.coalesce("overlaps", F.lit(0)).alias("overlaps"), F.coalesce("overfull", F.lit(0)).alias("overfull"), F.coalesce("few_windows", F.lit(True)).alias("few_windows"))
+    known = documents.select("doc_id").distinct().count()
+    return text.join(room, by, "left").select("window_name", (F.lit(known) - F.col("texts")).alias("lost"), "gaps", "split", F.coalesce("overlaps", F.lit(0)).alias("overlaps"), F.coalesce("overfull", F.lit(0)).alias("overfull"), F.coalesce("few_windows", F.lit(True)).alias("few_windows"))
 
 
 def fill_report(packed: DataFrame) -> DataFrame:
