@@ -192,8 +192,10 @@ def strong_components(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
         colour = materialize(live.select("scope", F.col("s").alias("node")).distinct().withColumn("colour", F.col("node")), "colour")
         while True:
             pushed = live.join(colour.select("scope", F.col("node").alias("s"), "colour"), ["scope", "s"]).select("scope", F.col("t").alias("node"), "colour")
-            new = materialize(colour.withColumnRenamed("colour", "old").join(pushed.groupBy("scope", "node").agg(F.max("colour").alias("top")), ["scope", "node"], "left")
-                              .select("scope", "node", F.greatest("old", F.coalesce("top", "old")).alias("colour"), "old"), "colour")
+            # What reaches a colour's node reaches all of that colour: jumping to its colour spreads along a chain in a number of rounds that grows with its logarithm where names are mixed.
+            beyond = colour.select("scope", F.col("node").alias("old"), F.col("colour").alias("jump"))
+            new = materialize(colour.withColumnRenamed("colour", "old").join(pushed.groupBy("scope", "node").agg(F.max("colour").alias("top")), ["scope", "node"], "left").join(beyond, ["scope", "old"], "left")
+                              .select("scope", "node", F.greatest("old", F.coalesce("top", "old"), F.coalesce("jump", "old")).alias("colour"), "old"), "colour")
             moved = not new.where("colour <> old").isEmpty()
             colour = new.drop("old")
             if not moved:

@@ -33,12 +33,12 @@ def p2_found(spark, d):
 
 
 _PATHS = _HIERARCHY + """, pa AS (SELECT link, sid, list_append(list(top ORDER BY depth DESC), sid) AS path FROM up GROUP BY 1, 2)
-SELECT link, sid, CASE WHEN depth >= 200 THEN 'cycle' ELSE root END root, CASE WHEN depth >= 200 THEN -1 ELSE depth END depth, CASE WHEN depth < 200 THEN path END AS path FROM tops JOIN pa USING (link, sid)"""
+SELECT link, sid, CASE WHEN depth >= 200 THEN 'cycle' ELSE root END root, CASE WHEN depth >= 200 THEN -1 ELSE depth END depth, CASE WHEN depth < 200 THEN array_to_string(path, ' > ') END AS path FROM tops JOIN pa USING (link, sid)"""
 
 
 @query("p2_hierarchy", _PATHS)
 def p2_hierarchy(spark, d):
-    return hierarchy.symbol_hierarchy(read(spark, d, "symbols"))
+    return hierarchy.symbol_hierarchy(read(spark, d, "symbols")).withColumn("path", F.array_join("path", " > "))
 
 
 @query("p2_descendants", _PAIRS)

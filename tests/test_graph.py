@@ -36,6 +36,17 @@ def test_components_and_distances(spark):
     assert g.strong_components(edges(spark, pairs).limit(0)).count() == 0
 
 
+def test_a_long_circle_is_one_component(spark, monkeypatch):
+    names = [f"n{random.Random(i).randrange(10**9):09}" for i in range(64)]
+    ring = [(names[i], names[(i + 1) % 64]) for i in range(64)]
+    written = []
+    plain = g.materialize
+    monkeypatch.setattr(g, "materialize", lambda df, label="t": written.append(label) or plain(df, label))
+    got = g.strong_components(edges(spark, ring)).collect()
+    assert {x["component"] for x in got} == {max(names)} and {x["size"] for x in got} == {64}
+    assert written.count("colour") <= 40  # 64 rounds if colours went one link a round
+
+
 def test_paths_and_communities(spark):
     e = edges(spark, [("a", "b"), ("b", "c"), ("c", "d"), ("a", "e"), ("z", "y")])
     pairs = spark.createDataFrame([("p", "d", "e"), ("p", "a", "z")], "scope string, a string, b string")
