@@ -19,8 +19,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from codestrata.tables import materialize, spread
 
-SAMPLE = 20_000  # labelled rows the forest is trained on, at most
 TREES, DEPTH, SEED = 100, 6, 7
+LEVELS = [i / 32 for i in range(33)]  # quantiles of the labelled files of either kind at which a tree may split, least and greatest value among them
+PART = 8192  # labelled files a partition in training
 LANGUAGE_FILES = 30  # files of a language from which it has medians of its own; those of rarer ones are taken from all files
 OWN_WEIGHT = 3.0  # how much the labelled files of the project's own weigh in training beside all other labelled ones, since most files are hand-written
 FALSE_ALARMS = 0.0005  # share of held-out files of the project's own that may lie above the threshold
@@ -162,44 +163,66 @@ def file_features(files: DataFrame, texts: DataFrame) -> DataFrame:
         .na.fill(0.0, _COLUMNS).select("file_id", "project", "path", "ext", "notice", "empty", *FEATURES))
 
 
-def _forest(labelled: DataFrame):
+def _coder(labelled: DataFrame):
+    """A function that adds ``features``: of each feature the number of its bin. Bins are cut by quantiles of all labelled files of either kind, halfway between the values on either side."""
+    from pyspark.ml.feature import Bucketizer, VectorAssembler
+
+    codes = [f"code_{c}" for c in FEATURES]
+    binned = lambda cuts: Bucketizer(splitsArray=[[-math.inf, *c, math.inf] for c in cuts], inputCols=FEATURES, outputCols=codes)
+    kinds = labelled.groupBy("label").agg(*(F.percentile_approx(c, LEVELS, 10_000).alias(c) for c in FEATURES)).collect()  # two rows of at most 33 values a feature
+    values = binned([sorted({v for r in kinds for v in r[c]}) for c in FEATURES]).transform(labelled).select(F.posexplode(F.array(*(F.struct(F.col(c).alias("v"), F.col(f"code_{c}").alias("bin")) for c in FEATURES))))
+    ends = [[] for _ in FEATURES]
+    for r in sorted(values.groupBy("pos", "col.bin").agg(F.min("col.v").alias("low"), F.max("col.v").alias("high")).collect()):  # at most 67 rows a feature
+        ends[r["pos"]].append((r["low"], r["high"]))
+    middle = lambda below, above: at if (at := (below + above) / 2) > below else above
+    to_codes = binned([[middle(x[1], y[0]) for x, y in zip(e, e[1:])] or [0.0] for e in ends])
+    to_vector = VectorAssembler(inputCols=codes, outputCol="features")
+    return lambda rows: to_vector.transform(to_codes.transform(rows).withColumns({c: F.col(c).cast("int") for c in codes})).drop(*codes)  # without the cast they'd count as categories
+
+
+def _forest(coded: DataFrame, n: int):
+    """A function that adds the forest's ``probability``, after training on all ``n`` rows, laid out by file so that it is the same forest whatever the partitions.
+
+    Trees look for splits in a sample of maxBins squared rows unless there are fewer, so maxBins is the root of the rows; codes have few values, so that no feature gets more bins for it.
+    """
     from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    to_vector = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, minInstancesPerNode=2, featureSubsetStrategy="sqrt", weightCol="weight").fit(to_vector.transform(labelled))
-    return lambda rows: forest.transform(to_vector.transform(rows)).withColumn("probability", vector_to_array("probability")[1]).drop("features", "rawPrediction", "prediction")
+    laid = coded.repartition(-(-n // PART), "file_id").sortWithinPartitions("file_id")
+    forest = RandomForestClassifier(
+        numTrees=TREES, maxDepth=DEPTH, seed=SEED, minInstancesPerNode=2, featureSubsetStrategy="sqrt", weightCol="weight", maxBins=max(2 * len(LEVELS) + 1, math.isqrt(n) + 1)).fit(laid)
+    return lambda rows: forest.transform(rows).withColumn("probability", vector_to_array("probability")[1]).drop("features", "rawPrediction", "prediction")
 
 
-def classify(rows: DataFrame, sample: int = SAMPLE) -> tuple[DataFrame, float]:
+def classify(rows: DataFrame) -> tuple[DataFrame, float]:
     """``rows`` with the forest's probability, and the threshold: half of the votes, or more where held-out files of the project's own come higher.
 
-    The forest is trained on at most ``sample`` files with a notice, by hash. For the threshold another one is trained on half of them and asked about
+    The forest is trained on all files with a notice. For the threshold another one is trained on half of them, by hash, and asked about
     the other half. Where there are not labels of both kinds, the probability is 0.
     """
     labelled = materialize(
         rows.where(F.col("notice").isNotNull() & ~F.col("empty")).withColumn("label", (F.col("notice") != "own").cast("double"))
-        .orderBy(F.xxhash64("file_id")).limit(sample).select("label", F.pmod(F.xxhash64("file_id", F.lit(SEED)), F.lit(2)).alias("half"), *FEATURES), "labelled")
+        .select("file_id", "label", F.pmod(F.xxhash64("file_id", F.lit(SEED)), F.lit(2)).alias("half"), *FEATURES), "labelled")
     kinds = {(r["half"], r["label"]): r["count"] for r in labelled.groupBy("half", "label").count().collect()}  # at most four
     n = [sum(c for (_, label), c in kinds.items() if label == kind) for kind in (0.0, 1.0)]
     if not all(n):
         return rows.withColumn("probability", F.lit(0.0)), 0.5
-    labelled = labelled.withColumn("weight", F.when(F.col("label") == 1, 1.0).otherwise(OWN_WEIGHT * n[1] / n[0]))
+    code = _coder(labelled)
+    coded = code(labelled).withColumn("weight", F.when(F.col("label") == 1, 1.0).otherwise(OWN_WEIGHT * n[1] / n[0])).select("file_id", "label", "half", "weight", "features")
     threshold = 0.5
     if len(kinds) == 4:
-        held = _forest(labelled.where("half = 0"))(labelled.where("half = 1 AND label = 0"))
-        threshold = max(threshold, held.agg(F.percentile_approx("probability", 1 - FALSE_ALARMS, 10_000)).first()[0])
-    return _forest(labelled)(rows), threshold
+        held = _forest(coded.where("half = 0"), kinds[0, 0.0] + kinds[0, 1.0])(coded.where("half = 1 AND label = 0")).select("probability")
+        threshold = max(threshold, held.orderBy(F.desc("probability")).limit(int(kinds[1, 0.0] * FALSE_ALARMS) + 1).agg(F.min("probability")).first()[0])
+    return _forest(coded, sum(n))(code(rows)), threshold
 
 
-def not_handwritten(files: DataFrame, texts: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def not_handwritten(files: DataFrame, texts: DataFrame) -> DataFrame:
     """(file_id, notice, probability) of the files that aren't hand-written.
 
     A file with a notice is what its notice says, which is what the forest learns from; of all others those come out that the forest gives a probability above
     the threshold of :func:`classify`. Empty files, and the project's own markdown, never do. Repeated rows count once; a null path or extension gives no hint.
     """
-    rows, threshold = classify(file_features(files, texts), sample)
+    rows, threshold = classify(file_features(files, texts))
     markdown = F.coalesce(F.lower("ext").isin(".md", ".markdown"), F.lit(False)) | F.coalesce(F.col("path").rlike(r"(?i)\.(md|markdown)$"), F.lit(False))
     own_text = markdown & (F.col("vendor_path") == 0)
     return (

@@ -150,6 +150,23 @@ def test_files(spark):
     assert handwritten.not_handwritten(f.limit(0), x).count() == 0 and handwritten.not_handwritten(f, x.limit(0)).count() == 0
 
 
+def test_all_labels_train(spark):
+    """Beyond 20,000 files with a notice, those late by hash are of a kind of their own; the same forest comes from any partitions."""
+    f = handwritten.F
+    late = f.expr("place > 20000")
+    ids = spark.range(24_000).withColumn("place", f.expr("row_number() OVER (ORDER BY xxhash64(id))")).selectExpr("id file_id", "place")
+    kinds = ids.select("file_id", f.when(late | f.expr("file_id % 2 = 0"), "generated").otherwise("own").alias("notice"), f.when(late, -5.0).otherwise(f.expr("5.0 * (1 - file_id % 2)")).alias("digits"))
+    asked = spark.createDataFrame([(-1, None, -5.0), (-2, None, 0.0), (-3, None, 5.0)], "file_id long, notice string, digits double")
+    rows_ = kinds.union(asked).select("file_id", "notice", f.lit(False).alias("empty"), *(c if c == "digits" else f.pmod(f.xxhash64("file_id", f.lit(c)), f.lit(100)).cast("double").alias(c) for c in handwritten.FEATURES))
+    seen = []
+    for parts in (2, 7):
+        got, threshold = handwritten.classify(rows_.repartition(parts))
+        seen.append((threshold, {r["file_id"]: r["probability"] for r in got.where("file_id < 0").collect()}))
+    threshold, p = seen[0]
+    assert p[-1] > threshold and p[-3] > threshold and p[-2] <= threshold
+    assert seen[0] == seen[1]
+
+
 @pytest.mark.parametrize("head,want", [
     ("// Code generated by x. DO NOT EDIT.\n", "generated"), ("# Output of `x --emit y`. Manual changes are lost on the next run.\n", "generated"), ("/*\n * machine-made from a.g4 (x)\n */\n", "generated"), ("// @license foo 1.2.0\n", "vendored"),
     ("// foo v1.2.0 | (c) foo contributors | MIT\n", "vendored"), ("// Copyright the project team, internal use.\n", "own"), ("// Not generated any more: please edit freely.\n", "own"), ("// writes: \"@generated by us\"\n", None), ("// 由 x 自动生成，请勿手动修改\n", "generated"), ("/* x bundle */\n", "minified"), ("# x payload\n", "data"), ("", None)])
